@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, linededup, lm, quality, tokencount, toxicity, urlfilter
+from . import bpe, decontaminate, html, linededup, lm, ngramjoin, quality, tokencount, toxicity, urlfilter
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_html_extraction": html.op8_html_extraction,
         "op9_url_filters": urlfilter.op9_url_filters,
+        "op10_ngram_jaccard_join": ngramjoin.op10_ngram_jaccard_join,
     }
 
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_quality_rules": quality.OP2_SQL,
         "op3_line_dedup": linededup.OP3_SQL,
         "op9_url_filters": urlfilter.OP9_SQL,
+        "op10_ngram_jaccard_join": ngramjoin.OP10_SQL,
     }
