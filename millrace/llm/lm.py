@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, crc_fold, materialise, small_batches, table
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 10 << 20
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 ITERATIONS, TOLERANCE = 25, 1e-4
 END = b"\n"  # no word: words hold no white space
