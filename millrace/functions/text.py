@@ -138,7 +138,7 @@ def blank(c: Column) -> Column:
 
 def label_list(c: Column) -> Column:
     """Parts between commas and bars, trimmed, without empty ones."""
-    return F.filter(F.transform(F.split(c, r"[,|]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"[,|]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def low_information(verdict: Column, phrases: tuple[str, ...], prefixes: tuple[str, ...], at_least: int = 40) -> Column:

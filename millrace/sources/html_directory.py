@@ -143,7 +143,8 @@ def card_drafts(listed: DataFrame, source_type: str, category_map: dict[str, str
     names = F.create_map(*(F.lit(x) for pair in category_map.items() for x in pair))
     known = F.try_element_at(names, F.lower(F.trim(category)))
     tags = label_list(F.col(labels))
-    platforms = F.array_compact(F.array(*(F.when(F.exists(tags, lambda x, w=w: F.lower(x).contains(w)), F.lit(w)) for w in ("web", "desktop", "mobile"))))
+    named = lambda word: F.when(F.exists(tags, lambda x: F.lower(x).contains(word)), F.lit(word))
+    platforms = F.array_compact(F.array(*map(named, ("web", "desktop", "mobile"))))
     return listed.select(
         collapsed(F.col("name")).alias("name"),
         F.lit(source_type).alias("source_type"),
