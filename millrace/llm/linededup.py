@@ -18,7 +18,8 @@ with one row for each line, which adaptive execution splits. Ranks are written t
 numbering must not change when a lost task is run again.
 
 Order of places: doc_id (null last), then md5 of doc_id and text, then line. Defined results: rows of equal doc_id and
-text are one document and share its result; null or empty texts stay as they are; other columns pass through.
+text are one document and share its result; null or empty texts stay as they are; other columns pass through,
+but columns of the names n_lines and n_deleted are replaced.
 """
 
 from __future__ import annotations
@@ -106,13 +107,16 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = copies(docs, min_words).withColumn("run", F.col("number") - F.row_number().over(near)).groupBy("_key", "run")
     runs = runs.agg(F.min("number").alias("head"), F.max("number").alias("tail"))
     gone = runs.groupBy("_key").agg(F.collect_list(F.struct("head", "tail")).alias("_gone"))
-    both = _key(docs.select(*(F.col(f"`{c}`") for c in columns))).join(gone, "_key", "left")
+    # columns of docs travel in one struct, out of the way of the names used here
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "doc_id", "text")
+    both = _key(held).drop("doc_id", "text").join(gone, "_key", "left").withColumn("text", F.col("row.text"))
     deleted = lambda x, i: F.exists("_gone", lambda r: (r["head"] <= i) & (i <= r["tail"]))
     rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~deleted(x, i)), "\n")
     n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(_WORD)))
     n_deleted = F.aggregate("_gone", F.lit(0), lambda n, r: n + r["tail"] - r["head"] + 1)
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
     return both.select(
-        *(F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest).alias(c) if c == "text" else F.col(f"`{c}`") for c in columns),
+        *(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in columns),
         n_lines.cast("long").alias("n_lines"),
         F.coalesce(n_deleted, F.lit(0)).cast("long").alias("n_deleted"),
     )

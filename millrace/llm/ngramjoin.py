@@ -20,7 +20,8 @@ of the nodes that keep their sets.
 
 Defined results: null, empty and wordless texts have n_shingles 0, link with nothing and are their own component; fewer
 than five words are one shingle; rows that repeat a text share its component; component_id is the least doc_id that is
-not null; other columns pass through, but columns of the names n_shingles and component_id are replaced.
+not null; other columns pass through, but columns of the names n_shingles, component_id and
+component_node are replaced.
 """
 
 from __future__ import annotations
@@ -303,32 +304,37 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns `keep`) with n_shingles, component_id and _root (a number of the component, null without words)."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_shingles", "component_id", "_near", "_root")]
+    """docs (or its columns `keep`) with n_shingles, component_id and component_node (the component's node, null without words)."""
+    made = ("n_shingles", "component_id", "component_node")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
 
     def values(_, batch: pa.RecordBatch) -> list[dict]:
         return [{"n": len(s), "node": node_of(s)} for s in shingle_sets(batch.column("text"), words)]
 
-    own = list(dict.fromkeys([*keep, "doc_id"]))
-    marked = with_column_from_text(docs, "_near", "struct<n:bigint,node:bigint>", values, keep=own).withColumn("_node", F.col("_near.node"))
-    small = with_column_from_text(docs, "_near", "struct<n:bigint,node:bigint>", values, keep=["doc_id"])
-    least = small.where("_near.node is not null").groupBy(F.col("_near.node").alias("node")).agg(F.min("doc_id").alias("low"))
+    # columns of docs travel in one struct, out of the way of the names used here
+    held = docs.select(_row(keep), "doc_id", "text")
+    marked = with_column_from_text(held, "near", "struct<n:bigint,node:bigint>", values, keep=["row", "doc_id"]).withColumn("node", F.col("near.node"))
+    small = with_column_from_text(docs.select("doc_id", "text"), "near", "struct<n:bigint,node:bigint>", values, keep=["doc_id"])
+    least = small.where("near.node is not null").groupBy(F.col("near.node").alias("node")).agg(F.min("doc_id").alias("low"))
     rooted = materialise(least.join(components(docs, words, percent), "node", "left").withColumn("root", F.coalesce("root", "node")))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
-    where = rooted.join(lowest, "root").select(F.col("node").alias("_node"), F.col("root").alias("_root"), F.col("lowest").alias("_lowest"))
-    out = marked.join(where, "_node", "left")
-    component = F.when(F.col("_node").isNull(), F.col("doc_id")).otherwise(F.col("_lowest"))
-    return out.select(*(F.col(f"`{c}`") for c in keep), F.col("_near.n").alias("n_shingles"), component.alias("component_id"), "_root")
+    out = marked.join(rooted.join(lowest, "root").select("node", "root", "lowest"), "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("lowest"))
+    return out.select(*(F.col("row")[c].alias(c) for c in keep), F.col("near.n").alias(made[0]), component.alias(made[1]), F.col("root").alias(made[2]))
+
+
+def _row(columns: list[str]):
+    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs with one document of each component: the least doc_id; rows that share it are told apart by their text."""
-    columns = docs.columns
-    found = near_duplicates(docs, words, percent)
-    found = found.where(F.col("_root").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
-    place = Window.partitionBy("_root").orderBy(F.xxhash64("text"), *(F.xxhash64(f"`{c}`") for c in columns))
-    kept = found.where("_root is not null").withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
-    return kept.union(found.where("_root is null")).select(*(F.col(f"`{c}`") for c in columns))
+    """docs with one document of each component: the least doc_id (null only if all are); rows that share it are told
+    apart by a hash of their columns. Documents without words stay."""
+    found = near_duplicates(docs.select(_row(docs.columns), "doc_id", "text"), words, percent, keep=["row", "doc_id"])
+    found = found.where(F.col("component_node").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    place = Window.partitionBy("component_node").orderBy(F.xxhash64(F.to_json("row")))
+    kept = found.where("component_node is not null").withColumn("place", F.row_number().over(place)).where("place = 1").drop("place")
+    return kept.union(found.where("component_node is null")).select("row.*")
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
