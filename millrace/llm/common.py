@@ -71,11 +71,13 @@ def with_column_from_text(
 ) -> DataFrame:
     """df (or its columns `keep`) with a column `name` of type `kind`; values(texts, batch) gives it for each Arrow batch.
 
-    A column of that name is replaced. A null text is empty. Texts do not travel back to the JVM unless kept."""
+    A column of that name is replaced; values() sees it if it is of that type. A null text is empty. Texts do not travel back to the JVM unless kept."""
     spark = df.sparkSession
     small_batches(spark)
     keep = [c for c in (df.columns if keep is None else keep) if c != name]
-    source = df if name in df.columns else df.withColumn(name, F.lit(None).cast(kind))
+    empty = F.lit(None).cast(kind).alias(name)
+    same = name in df.columns and df.schema[name].dataType == df.select(empty).schema[name].dataType
+    source = df if same else df.withColumn(name, empty)
     source = source.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*keep, text, name])))
     out = T.StructType([*(source.schema[c] for c in keep), T.StructField(name, source.schema[name].dataType)])
     target = to_arrow_schema(out)
