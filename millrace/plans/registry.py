@@ -39,7 +39,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog, ingest, reports, rules, state, text  # noqa: F401  they register themselves
+    from . import catalog, ingest, reports, rules, state, text, trust  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 
