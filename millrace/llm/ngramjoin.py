@@ -5,13 +5,16 @@ component of every text. Equal sets are one node, so copies never meet as pairs.
 
 1. Signatures. All shingles of all texts feed a frequency sketch of fixed size. Shingles are ordered by the sketch's
    class, rare first, then by hash. Of a set of n shingles that must share t = ceil(0.8 n) with any partner, the first
-   n - t + DEPTH are its signature: two linked sets share DEPTH signature shingles or more, under any order. Only the
-   signature shingles of two or more nodes go on, and only nodes with enough of them keep their sets.
-2. Groups. Nodes of one min-hash (of three) are compared with two leaders, the first and the last of them; what links
-   is a group. So a group of many near copies costs two comparisons a member and not all pairs.
-3. Matrix. Each group stores the union of its members' signatures. Group pairs that share fewer than DEPTH shingles,
-   or whose sizes cannot reach the similarity, stay closed. Only the others are opened: their members that share DEPTH
-   signature shingles are compared, whole set with whole set. This step makes the result exact.
+   n - t + depth(n) are its signature, depth(n) being a twelfth of n, or four if that is more: two linked sets share as many
+   signature shingles as the depth of the smaller, under any order. Only signature shingles of two or more nodes go
+   on, and only nodes with enough of them keep their sets. (Sets of three or fewer can only link with equal ones.)
+2. Groups. Nodes of one min-hash (of five) are compared with the node among them whose signature is the most common,
+   then those that it does not hold with the most common of themselves; what links is a group. So a group of many
+   near copies costs some comparisons a member and not all pairs.
+3. Matrix. Each group stores the union of its members' signatures. Group pairs that share fewer shingles than their
+   smallest members need, or whose sizes cannot reach the similarity, stay closed. Only the others are opened: the
+   members of the smaller group are compared with those of the larger, whole set with whole set, in blocks of bounded
+   size. This step makes the result exact.
 
 Every comparison is exact but for hash collisions: shingles and nodes are 64-bit hashes. Signatures travel as one packed
 row for each task and bucket, of which a bucket's task needs linear memory; a hot shingle costs each task one entry for
@@ -26,21 +29,27 @@ component_node are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .common import arrow_schema, materialise, small_batches, table, with_column_from_text
 from .lm import mixed
 
 WORDS = 5
 PERCENT = 80
-DEPTH = 4
-HASHES = 3
+LEAST_DEPTH, DEPTH_SHARE = 4, 12
+HASHES = 5
+ROUNDS = 2
+#: Groups below FEW members are compared in pairs; larger ones in blocks of about so many members and queries.
+FEW, MEMBERS, QUERIES = 8, 256, 2048
 #: Places of the sketch and of the bitmap; powers of two.
 SKETCH = 1 << 22
 BITMAP = 1 << 26
@@ -86,64 +95,74 @@ def node_of(shingles: np.ndarray) -> int | None:
 
 def signature(shingles: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
     n = len(shingles)
-    size = n - -(-percent * n // 100) + DEPTH
+    if 100 * n < percent * (n + 1):  # one shingle more or less is too much: it links with equal sets only
+        return shingles[:0]
+    least = -(-percent * n // 100)
+    size = n - least + min(least, max(LEAST_DEPTH, n // DEPTH_SHARE))
     if size >= n:
         return shingles
     return shingles[np.lexsort((shingles, classes[_place(shingles, SKETCH)]))[:size]]
 
 
+def _depth(n: Column, percent: int) -> Column:
+    """Signature shingles that two linked sets share, n being the size of the smaller (or a bound below it)."""
+    return F.least(F.ceil(n * percent / 100.0 - 1e-9), F.greatest(F.lit(LEAST_DEPTH).cast("bigint"), F.floor(n / DEPTH_SHARE)))
+
+
 def _place(hashes: np.ndarray, places: int) -> np.ndarray:
     return (hashes >> np.uint64(65 - int(places).bit_length())).astype(np.int64)
 
 
-def gathered(df: DataFrame, size: int, dtype: type, values: Callable[[pa.RecordBatch, np.ndarray], None], join: np.ufunc) -> np.ndarray:
-    """An array of fixed size that each task fills by values(batch, array) and that `join` puts together, slice by slice."""
-    import zlib
+def _slices(own: np.ndarray) -> list[dict]:
+    width = len(own) // SLICES
+    parts = ((k, own[k * width : (k + 1) * width]) for k in range(SLICES))
+    return [{"slice": k, "data": zlib.compress(p.tobytes(), 1)} for k, p in parts if p.any()]
+
 
+def joined(df: DataFrame, size: int, dtype: type, join: np.ufunc) -> np.ndarray:
+    """An array of fixed size out of the (slice, data) that tasks made: each slice is joined in one place."""
     schema = "slice int, data binary"
     target, width = arrow_schema(schema), size // SLICES
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = None
-        for batch in batches:
-            own = np.zeros(size, dtype) if own is None else own
-            values(batch, own)
-        if own is not None:
-            parts = [(k, own[k * width : (k + 1) * width]) for k in range(SLICES)]
-            rows = [(k, zlib.compress(p.tobytes(), 1)) for k, p in parts if p.any()]
-            yield pa.RecordBatch.from_pylist([{"slice": k, "data": d} for k, d in rows], schema=target)
-
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, data in zip(batch.column("slice").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 part = np.frombuffer(zlib.decompress(data), dtype)
                 sums[k] = join(sums[k], part) if k in sums else part
-        rows = [{"slice": k, "data": zlib.compress(p.tobytes(), 1)} for k, p in sums.items()]
-        yield pa.RecordBatch.from_pylist(rows, schema=target)
+        yield pa.RecordBatch.from_pylist([{"slice": k, "data": zlib.compress(p.tobytes(), 1)} for k, p in sums.items()], schema=target)
 
     out = np.zeros(size, dtype)
-    for k, data in df.mapInArrow(fill, schema).repartition(SLICES, "slice").mapInArrow(merge, schema).collect():
+    for k, data in df.select("slice", "data").repartition(SLICES, "slice").mapInArrow(merge, schema).collect():
         out[k * width : (k + 1) * width] = np.frombuffer(zlib.decompress(data), dtype)
     return out
 
 
-def frequency_classes(texts: DataFrame, words: int) -> np.ndarray:
-    """The whole log2 of the sketch's count at each place."""
+def signed(docs: DataFrame, words: int) -> DataFrame:
+    """(doc_id, node, n) of each document, and (slice, data) of each task's frequency sketch, in one pass over the texts."""
+    rows = StructType([docs.schema["doc_id"], *StructType.fromDDL("node bigint, n bigint, slice int, data binary").fields])
+    target = to_arrow_schema(rows)
 
-    def count(batch: pa.RecordBatch, own: np.ndarray) -> None:
-        sets = shingle_sets(batch.column("text"), words)
-        if sets:
-            np.add(own, np.bincount(_place(np.concatenate(sets), SKETCH), minlength=SKETCH).astype(np.uint32), out=own)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in batches:
+            sets = shingle_sets(batch.column("text"), words)
+            if any(len(s) for s in sets):
+                own = np.zeros(SKETCH, np.uint32) if own is None else own
+                np.add(own, np.bincount(_place(np.concatenate(sets), SKETCH), minlength=SKETCH).astype(np.uint32), out=own)
+            none = [None] * len(sets)
+            columns = [batch.column("doc_id"), [node_of(s) for s in sets], [len(s) for s in sets], none, none]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+        if own is not None:
+            yield pa.RecordBatch.from_pylist([{**r, "doc_id": None, "node": None, "n": None} for r in _slices(own)], schema=target)
 
-    sums = gathered(texts, SKETCH, np.uint32, count, np.add)
-    return np.log2(np.maximum(sums, 1)).astype(np.uint8)
+    return docs.select("doc_id", "text").mapInArrow(run, rows)
 
 
 def shared_postings(texts: DataFrame, classes, words: int, percent: int) -> DataFrame:
-    """(shingle, node) of the signature shingles that two or more nodes have."""
+    """(shingle, node, m) of the signature shingles that two or more nodes have, m being their number."""
     buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packs, out = "bucket int, shingles binary, nodes binary", "shingle bigint, node bigint"
+    packs, out = "bucket int, shingles binary, nodes binary", "shingle bigint, node bigint, m bigint"
     packs_schema, out_schema = arrow_schema(packs), arrow_schema(out)
 
     def full(shingles: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
@@ -161,10 +180,11 @@ def shared_postings(texts: DataFrame, classes, words: int, percent: int) -> Data
         shingles, nodes, held = [], [], 0
         for batch in batches:
             for s in shingle_sets(batch.column("text"), words):
-                if len(s):
-                    shingles.append(signature(s, classes.value, percent))
-                    nodes.append(np.full(len(shingles[-1]), node_of(s), np.int64))
-                    held += len(nodes[-1])
+                own = signature(s, classes.value, percent)
+                if len(own):
+                    shingles.append(own)
+                    nodes.append(np.full(len(own), node_of(s), np.int64))
+                    held += len(own)
             if held >= HELD_POSTINGS:
                 yield full(shingles, nodes)
                 shingles, nodes, held = [], [], 0
@@ -184,9 +204,10 @@ def shared_postings(texts: DataFrame, classes, words: int, percent: int) -> Data
             s, n = s[order], n[order]
             new = np.concatenate([[True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])])
             s, n = s[new], n[new]
-            same = s[1:] == s[:-1]
-            several = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-            yield pa.RecordBatch.from_arrays([pa.array(s[several].view(np.int64)), pa.array(n[several])], schema=out_schema)
+            starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            m = np.diff(np.append(starts, len(s)))
+            m = np.repeat(m, m)
+            yield pa.RecordBatch.from_arrays([pa.array(s[m > 1].view(np.int64)), pa.array(n[m > 1]), pa.array(m[m > 1])], schema=out_schema)
 
     return texts.mapInArrow(ask, packs).repartition(buckets, "bucket").mapInArrow(meet, out)
 
@@ -196,11 +217,17 @@ def sets_of(texts: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
     schema = "node bigint, n bigint, shingles array<bigint>, least array<bigint>"
     target = arrow_schema(schema)
 
-    def mark(batch: pa.RecordBatch, own: np.ndarray) -> None:
-        at = _place(mixed(batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), BITMAP)
-        np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    parts = arrow_schema("slice int, data binary")
 
-    bits = texts.sparkSession.sparkContext.broadcast(gathered(chosen.select("node"), BITMAP // 8, np.uint8, mark, np.bitwise_or))
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(BITMAP // 8, np.uint8)
+        for batch in batches:
+            at = _place(mixed(batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)), BITMAP)
+            np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_pylist(_slices(own), schema=parts)
+
+    bits = joined(chosen.select("node").mapInArrow(mark, "slice int, data binary"), BITMAP // 8, np.uint8, np.bitwise_or)
+    bits = texts.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -236,12 +263,19 @@ def _near_sizes(a, b, percent: int):
     return (100 * a >= percent * b) & (100 * b >= percent * a)
 
 
-def star_pairs(sets: DataFrame) -> DataFrame:
-    """Pairs of each node with the first and the last node that has its min-hash, for each of the min-hashes."""
-    each = sets.select("node", F.posexplode("least").alias("which", "hash"))
-    ends = each.groupBy("which", "hash").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    near = each.join(ends, ["which", "hash"]).select("node", F.explode(F.array("first", "last")).alias("leader"))
-    return near.where("node != leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+def star_pairs(members: DataFrame, percent: int, others_only: bool = False) -> DataFrame:
+    """Pairs of members (node, n, cap, root, heat, least) with the hottest member that has their min-hash, if it is of
+    another group; for each of the min-hashes. With others_only, of the members that are not of the hottest one's
+    group, the hottest takes its place."""
+    each = members.select("node", "n", "cap", "root", "heat", F.posexplode("least").alias("which", "hash"))
+    for again in (True, False) if others_only else (False,):
+        top = F.max_by(F.struct("node", "root", "n", "cap"), F.struct("heat", "node")).alias("top")
+        ends = each.groupBy("which", "hash").agg(top, F.min("root").alias("lo"), F.max("root").alias("hi"))
+        apart = each.join(ends.where("lo < hi").select("which", "hash", "top"), ["which", "hash"]).where("root <> top.root")
+        if again:
+            each = apart.drop("top")
+    apart = apart.where(_near_sizes(F.col("n"), F.col("top.n"), percent) & (F.col("n") <= F.col("top.cap")) & (F.col("top.n") <= F.col("cap")))
+    return apart.select(F.least("node", "top.node").alias("a"), F.greatest("node", "top.node").alias("b")).distinct()
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -263,44 +297,114 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", F.col("b").alias("root")).distinct())
 
 
-def open_pairs(postings: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different groups, out of the groups that the matrix cannot rule out."""
-    held = postings.join(groups, "node", "left").select("shingle", "node", "n", F.coalesce("root", "node").alias("g"))
-    mixed_only = held.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("shingle")
-    held = materialise(held.join(mixed_only, "shingle", "left_semi"))
-    matrix = held.groupBy("shingle", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    sides = [matrix.select("shingle", *(F.col(c).alias(c + k) for c in ("g", "lo", "hi"))) for k in "12"]
-    shared = sides[0].join(sides[1], "shingle").where("g1 < g2").groupBy("g1", "g2").agg(F.count("*").alias("c"), *(f(c).alias(c) for f, c in ((F.min, "lo1"), (F.max, "hi1"), (F.min, "lo2"), (F.max, "hi2"))))
+def links_between(postings: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between groups, out of those that the matrix cannot rule out: enough to connect what links.
+
+    postings: (shingle, node, n, cap). The bounds on sizes hold for the members of a group that have the shingle, so
+    they are part of the join."""
+    held = postings.join(groups, "node", "left").withColumn("g", F.coalesce("root", "node")).drop("root")
+    several = held.groupBy("shingle").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("shingle")
+    held = materialise(held.join(several, "shingle", "left_semi"))
+    rest = F.ceil(F.col("n") * percent / 100.0 - 1e-9) - _depth(F.col("n"), percent)  # shingles outside the signature
+    matrix = held.groupBy("shingle", "g").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("cap").alias("cap"), F.max(rest).alias("rest"))
+    one, two = (matrix.select(*(F.col(c).alias(c + k) for c in matrix.columns)) for k in "12")
     may = (100 * F.col("hi1") >= percent * F.col("lo2")) & (100 * F.col("hi2") >= percent * F.col("lo1"))
-    opened = shared.where(may & (F.col("c") >= _needed(F.greatest("lo1", "lo2"), percent))).select("g1", "g2")
-    opened = materialise(opened)
-    first = held.select("shingle", F.col("g").alias("g1"), F.col("node").alias("a"), F.col("n").alias("na"))
-    second = held.select("shingle", F.col("g").alias("g2"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = opened.join(first, "g1").join(second, ["shingle", "g2"]).where(_near_sizes(F.col("na"), F.col("nb"), percent))
-    met = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), F.max(F.greatest("na", "nb")).alias("n"))
-    return met.where(F.col("c") >= _needed(F.col("n"), percent)).select("a", "b")
+    may = may & (F.col("lo1") <= F.col("cap2")) & (F.col("lo2") <= F.col("cap1"))
+    shared = one.join(two, (F.col("shingle1") == F.col("shingle2")) & (F.col("g1") < F.col("g2")) & may)
+    lows = [F.min(c).alias(c) for c in ("lo1", "lo2")]
+    shared = shared.groupBy("g1", "g2").agg(F.count("*").alias("c"), F.max(F.greatest("rest1", "rest2")).alias("rest"), *lows)
+    # of the signature that ends first, what both have lies in both signatures
+    most = F.col("c") + F.col("rest")
+    bound = (F.col("c") >= _depth(F.least("lo1", "lo2"), percent)) & (100 * most >= percent * (F.col("lo1") + F.col("lo2") - most))
+    members = held.select("node", "g", "n", "cap").distinct()
+    return opened_groups(shared.where(bound).select("g1", "g2"), members, sets, percent)
+
+
+def opened_groups(opened: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of the members of the smaller group of each pair with the larger group.
+
+    Groups below FEW members are compared pair by pair. Larger ones come in blocks of members and of queries, each a
+    task's unit of bounded size; a query needs one link with a block, as a group is connected already."""
+    size = members.groupBy("g").agg(F.count("*").alias("size"))
+    sized = opened.join(size.select(F.col("g").alias("g1"), F.col("size").alias("s1")), "g1").join(size.select(F.col("g").alias("g2"), F.col("size").alias("s2")), "g2")
+    first = F.col("s1") <= F.col("s2")
+    sides = sized.select(F.when(first, F.col("g1")).otherwise(F.col("g2")).alias("g"), F.when(first, F.col("g2")).otherwise(F.col("g1")).alias("to"), F.greatest("s1", "s2").alias("size"))
+    asked = materialise(sides.join(members, "g").select(F.col("node").alias("x"), F.col("n").alias("nx"), F.col("cap").alias("capx"), "to", "size").distinct())
+    own = members.withColumnRenamed("g", "to")
+    near = _near_sizes(F.col("nx"), F.col("n"), percent) & (F.col("nx") <= F.col("cap")) & (F.col("n") <= F.col("capx"))
+    pairs = asked.where(F.col("size") < FEW).join(own, "to").where(near).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+
+    many = asked.where(F.col("size") >= FEW)
+    counts = many.groupBy("to").agg(F.count("*").alias("asking"), F.max("size").alias("size"))
+    blocks = counts.select("to", F.ceil(F.col("size") / MEMBERS).alias("mb"), F.ceil(F.col("asking") / QUERIES).alias("qb"))
+    block = lambda node, n: F.pmod(F.xxhash64(node), n)
+    all_of = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    left = many.select("to", F.col("x").alias("node")).join(blocks, "to").select("to", "node", block("node", F.col("qb")).alias("q"), all_of(F.col("mb")).alias("m"))
+    right = own.select("to", "node").join(blocks, "to").select("to", "node", block("node", F.col("mb")).alias("m"), all_of(F.col("qb")).alias("q"))
+    left, right = (d.join(sets.select("node", "shingles"), "node").select("to", "m", "q", "node", "shingles") for d in (left, right))
+    left = left.toDF("to_x", "m_x", "q_x", "x", "asked")  # both sides come from the same sets
+    schema = "a bigint, b bigint"
+    target = arrow_schema(schema)
+
+    def run(queries: pa.Table, held: pa.Table) -> pa.Table:
+        found = _first_links(queries, held, percent) if queries.num_rows and held.num_rows else []
+        return pa.Table.from_pylist([{"a": a, "b": b} for a, b in found], schema=target)
+
+    met = left.groupBy("to_x", "m_x", "q_x").cogroup(right.groupBy("to", "m", "q")).applyInArrow(run, schema)
+    return linked(pairs.distinct(), sets, percent).union(met)
+
+
+def _first_links(queries: pa.Table, held: pa.Table, percent: int) -> list[tuple[int, int]]:
+    """(query, member) with the similarity, one for each query that has any."""
+    lists = held.column("shingles").combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    tokens, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], np.repeat(np.arange(len(sizes)), sizes)[order]
+    nodes, out = held.column("node").to_pylist(), []
+    for node, own in zip(queries.column("x").to_pylist(), queries.column("asked"), strict=True):
+        q = own.values.to_numpy()
+        low, high = np.searchsorted(tokens, q, "left"), np.searchsorted(tokens, q, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        common = np.bincount(owner[at], minlength=len(sizes))
+        hit = np.flatnonzero(100 * common >= percent * (len(q) + sizes - common))
+        if len(hit):
+            out.append((node, nodes[hit[0]]))
+    return out
+
 
+def eligible(postings: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """(node, n, cap, heat) of the nodes that may link: cap is the largest size that a partner can have, heat how common
+    the signature is.
 
-def _needed(n, percent: int):
-    """Signature shingles that a set of n shares with any set it links with."""
-    return F.least(F.lit(DEPTH), F.ceil(n * percent / 100.0 - 1e-9).cast("int"))
+    Signature shingles that no other node has leave at most e = n - that many to share, and a partner of size s needs
+    100 e >= percent (n + s - e)."""
+    n, c = F.col("n"), F.col("c")
+    least = F.ceil(n * percent / 100.0 - 1e-9)
+    size = F.least(n, n - least + _depth(n, percent))
+    cap = F.floor((n - size + c) * (100 + percent) / percent + 1e-9) - n
+    met = postings.groupBy("node").agg(F.count("*").alias("c"), F.sum(F.log2("m")).alias("heat")).join(nodes.select("node", "n"), "node")
+    met = met.where(c >= _depth(F.floor(n * percent / 100), percent)).select("node", "n", (F.col("heat") / size).alias("heat"), cap.alias("cap"))
+    return met.where(100 * F.col("cap") >= percent * n)
 
 
-def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(node, root) of all nodes that link with another."""
+def components(docs: DataFrame, nodes: DataFrame, classes: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(node, root) of all nodes that link with another. nodes: (node, n)."""
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select("text")
-    classes = spark.sparkContext.broadcast(frequency_classes(texts, words))
-    postings = materialise(shared_postings(texts, classes, words, percent))
-    chosen = materialise(postings.groupBy("node").agg(F.count("*").alias("c")))
+    postings = materialise(shared_postings(texts, spark.sparkContext.broadcast(classes), words, percent))
+    chosen = materialise(eligible(postings, nodes, percent))
     sets = materialise(sets_of(texts, chosen, words))
-    enough = sets.join(chosen, "node").where(F.col("c") >= _needed(F.col("n"), percent)).select("node", "n")
-    postings = postings.join(enough, "node")
-    stars = materialise(linked(star_pairs(sets), sets, percent))
-    groups = materialise(connected(stars))
-    rest = linked(open_pairs(postings, groups, percent), sets, percent)
-    return connected(stars.union(materialise(rest)))
+    members = sets.select("node", "least").join(chosen, "node")
+    edges, groups = None, None
+    for k in range(ROUNDS):
+        rooted = members.withColumn("root", F.col("node")) if groups is None else members.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        stars = materialise(linked(star_pairs(rooted, percent, k > 0), sets, percent))
+        edges = stars if edges is None else edges.union(stars)
+        groups = materialise(connected(edges))
+    rest = links_between(postings.drop("m").join(chosen.drop("heat"), "node"), groups, sets, percent)
+    return connected(edges.union(materialise(rest)))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, keep: list[str] | None = None) -> DataFrame:
@@ -311,20 +415,27 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     def values(_, batch: pa.RecordBatch) -> list[dict]:
         return [{"n": len(s), "node": node_of(s)} for s in shingle_sets(batch.column("text"), words)]
 
-    # columns of docs travel in one struct, out of the way of the names used here
-    held = docs.select(_row(keep), "doc_id", "text")
-    marked = with_column_from_text(held, "near", "struct<n:bigint,node:bigint>", values, keep=["row", "doc_id"]).withColumn("node", F.col("near.node"))
-    small = with_column_from_text(docs.select("doc_id", "text"), "near", "struct<n:bigint,node:bigint>", values, keep=["doc_id"])
-    least = small.where("near.node is not null").groupBy(F.col("near.node").alias("node")).agg(F.min("doc_id").alias("low"))
-    rooted = materialise(least.join(components(docs, words, percent), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    small_batches(docs.sparkSession)
+    once = materialise(signed(docs, words))
+    classes = np.log2(np.maximum(joined(once.where("slice is not null"), SKETCH, np.uint32, np.add), 1)).astype(np.uint8)
+    small = once.where("slice is null").select("doc_id", "node", "n")
+    nodes = materialise(small.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n").alias("n")))
+    rooted = nodes.select("node", "low").join(components(docs, nodes, classes, words, percent), "node", "left")
+    rooted = materialise(rooted.withColumn("root", F.coalesce("root", "node")))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("lowest"))
+    if set(keep) <= {"doc_id"}:
+        marked = small.select(_row(keep), "doc_id", "node", "n")
+    else:  # columns of docs travel in one struct, out of the way of the names used here
+        held = docs.select(_row(keep), "doc_id", "text")
+        marked = with_column_from_text(held, "near", "struct<n:bigint,node:bigint>", values, keep=["row", "doc_id"]).select("row", "doc_id", "near.*")
     out = marked.join(rooted.join(lowest, "root").select("node", "root", "lowest"), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("lowest"))
-    return out.select(*(F.col("row")[c].alias(c) for c in keep), F.col("near.n").alias(made[0]), component.alias(made[1]), F.col("root").alias(made[2]))
+    return out.select(*(F.col("row")[c].alias(c) for c in keep), F.col("n").alias(made[0]), component.alias(made[1]), F.col("root").alias(made[2]))
 
 
-def _row(columns: list[str]):
-    return F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
+def _row(columns: list[str]) -> Column:
+    """The columns as one struct; a struct needs a field, so that none is a null."""
+    return (F.struct(*(F.col(f"`{c}`") for c in columns)) if columns else F.lit(None).cast("struct<none:int>")).alias("row")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
