@@ -8,7 +8,8 @@ Words repeat, so each task keeps the tokens of the chunks that it has seen, up t
 The vocabulary is a public tokenizer file of fixed size, checked before it is broadcast. Texts are encoded where they
 are read; nothing is shuffled.
 
-Defined results: a null text is empty and has no tokens; bytes that the vocabulary lacks are left out, as the file has
+Defined results: a null text is empty and has no tokens; code points that Unicode 15.1 does not assign may be cut unlike
+the library does, which knows another version; bytes that the vocabulary lacks are left out, as the file has
 no unknown token; special tokens are found in the raw text and keep their id; repeated rows get a row each.
 """
 

@@ -188,7 +188,7 @@ def test_bpe_follows_the_library(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.text(max_size=40))
+@given(st.text(st.characters(exclude_categories=("Cn", "Cs")), max_size=40))
 def test_bpe_of_any_text(text):
     import public_tokenizers
 
@@ -198,7 +198,7 @@ def test_bpe_of_any_text(text):
     assert [i for w in own.text(text.encode("utf-8", "replace")) for i in w[0]] == lib.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
 
 
-@given(st.lists(st.integers(0, 3), max_size=90))
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=90))
 @settings(max_examples=300, deadline=None)
 def test_heap_merges_as_scans_do(parts):
     merged = list(range(4, 12))
@@ -229,12 +229,12 @@ def test_token_counts(spark):
 
 
 def test_toxicity_on_held_out_labels(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [(r.score, labels[r.doc_id]) for r in toxicity.op7_toxicity(spark, sf).where("held_out").collect() if r.doc_id in labels]
     ones, zeros = [s for s, y in rows if y], [s for s, y in rows if not y]
     area = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
-    assert area > 0.85, area
+    assert area > 0.95, area
 
 
 @given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14))
