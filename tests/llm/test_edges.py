@@ -87,7 +87,7 @@ def test_token_counts(spark):
     assert out.count() == len(TEXTS)
     kept_columns(out, "counts")
     by = {r.doc_id: r.counts for r in out.collect()}
-    assert by[2].n_tokens == by[4].n_tokens == 0 and by[8].n_words == 40_000 and by[7].n_bytes_fallback > 0
+    assert by[2].n_tokens == by[4].n_tokens == 0 and by[8].n_words == 40_000 and by[7].n_tokens > 100
     assert tokencount.token_counts(messy(spark).limit(0)).count() == 0
 
 
