@@ -1,13 +1,16 @@
-"""HTML extraction: markup where it decides, nearest-URL page differencing for the rest.
+"""HTML extraction: nearest-URL page differencing of every page, guarded by markup.
 
 A page is parsed into blocks of text; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments go by element, role, class or id. If the page marks its article (article, main), its blocks are the text.
-Otherwise pages are sorted by host and path, a page is paired with the neighbour on its host that shares the longest
-start of the path, their lines are aligned by longest common subsequence, and lines that both have are deleted as
-template. A neighbour that holds nine tenths of the lines is a copy, not a template, and deletes nothing.
+comments go by element, role, class or id. Pages are sorted by host and path, each is aligned with the nearest different
+pages on its host by longest common subsequence of lines, and lines that they share are deleted as template. The page
+that shares the longest start of the path comes first; one that holds nine tenths of the lines is a copy.
 
-Scale: pages meet in one range shuffle by (host, path), which splits a hot host over many tasks; only pages without
-a marked article take part. A page on the edge of a range has one neighbour instead of two.
+Markup is a guard: if the page marks its article (article, main), the text is lines of it, and such a line goes only if
+two different pages share it which each share less than half of the article. One page is not enough there: what two
+articles have in common is most often a quotation or a copy.
+
+Scale: lines are compared by 64-bit hashes, so the range shuffle by (host, path) carries hashes and no text, and splits a
+hot host over many tasks. What is to go joins the parsed pages by number.
 
 Defined results: null or empty html has an empty text; unclosed elements end with their parent; a broken character
 reference stays as it is; pages without a url are not paired; repeated rows get a row each; other columns of pages
@@ -18,18 +21,21 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections import defaultdict
+from collections import defaultdict, deque
 from html.parser import HTMLParser
+from itertools import chain, islice
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import materialise, table, with_column_from_text
+from .common import BATCH_ROWS, arrow_schema, materialise, table, with_column_from_text
 
-PARSED = "struct<decided:boolean,lines:array<string>>"
+PARSED = "struct<decided:boolean,lines:array<string>,main:array<boolean>>"
+GONE = "number bigint, gone array<int>"
+#: Different pages that are looked at on either side of a page.
+REACH = 2
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -95,19 +101,20 @@ class Blocks(HTMLParser):
         self.words.append(data)
 
 
-def parse(html: str) -> tuple[bool, list[str]]:
-    """Whether markup decides, and the lines: of the article, or else all that are not dropped."""
+def parse(html: str) -> tuple[bool, list[str], list[bool]]:
+    """Whether markup marks an article, the lines that are not dropped, and for each whether it is of the article (or of none)."""
     parser = Blocks()
     parser.feed(html)
     parser.close()
     parser.flush()
+    lines = [b[2] for b in parser.blocks]
     for k in (0, 1):
-        if marked := [b[2] for b in parser.blocks if b[k]]:
-            return True, marked
-    return not parser.blocks, [b[2] for b in parser.blocks]
+        if any(b[k] for b in parser.blocks):
+            return True, lines, [b[k] for b in parser.blocks]
+    return False, lines, [True] * len(lines)
 
 
-def common_lines(a: list[str], b: list[str]) -> list[int]:
+def common_lines(a: list, b: list) -> list[int]:
     """Places in a of a longest common subsequence with b (by the increasing places of matches in b)."""
     places = defaultdict(list)
     for j, line in enumerate(b):
@@ -130,49 +137,71 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
     return out[::-1]
 
 
-def without_template(lines: list[str], near: list[list[str]]) -> list[str]:
-    """lines without those shared with the first neighbour that is no copy."""
+def template(page: Page, near: list[Page]) -> list[int]:
+    """Places of the template lines of a page, by the pages near it, the nearest first."""
+    own = {i for i, m in enumerate(page.main) if m}
+    witnesses = []
     for other in near:
-        shared = common_lines(lines, other)
-        if len(shared) < 0.9 * max(len(lines), 1):
-            gone = set(shared)
-            return [x for i, x in enumerate(lines) if i not in gone]
-    return lines
+        shared = set(common_lines(page.codes, other.codes))
+        if len(own & shared) < (0.5 if page.decided else 0.9) * len(own):
+            witnesses.append(shared)
+            if len(witnesses) == 1 + page.decided:
+                return sorted(set.intersection(own, *witnesses))
+    return []
 
 
 def _shared_start(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
-def _differenced(pages: DataFrame, columns: list[str]) -> DataFrame:
-    """(columns, lines) of undecided pages, which have columns host, path and lines."""
-    ordered = pages.repartitionByRange("host", "path", "lines").sortWithinPartitions("host", "path", "lines")
-    schema = T.StructType([*(pages.schema[c] for c in columns), pages.schema["lines"]])
-    target = to_arrow_schema(schema)
+class Page(NamedTuple):
+    """What is compared of a page; its codes are hashes of its lines."""
 
-    def settle(before, row, after, batch_row):
-        near = [x for x in (before, after) if x and row[0] and x[0] == row[0]]
-        near.sort(key=lambda x: -_shared_start(x[1], row[1]))
-        return without_template(row[2], [x[2] for x in near]), batch_row
+    host: str
+    path: str
+    codes: list[int]
+    main: list[bool]
+    decided: bool
 
-    def run(batches):
-        before = row = held = None
+
+def _templates(pages: DataFrame) -> DataFrame:
+    """(number, gone): places of template lines of pages (number and what a Page has), where there are any."""
+    order = ["host", "path", "codes", "number"]
+    ordered = pages.repartitionByRange(*order).sortWithinPartitions(*order)
+    target = arrow_schema(GONE)
+
+    def runs(batches):
+        """Pages of one host with equal lines that follow each other, as one page and their numbers."""
+        page, numbers = None, []
         for batch in batches:
-            rows = list(zip(*(batch.column(c).to_pylist() for c in ("host", "path", "lines")), strict=True))
-            done = []
-            for i, new in enumerate(rows):
-                if row is not None:
-                    done.append(settle(before, row, new, held))
-                before, row, held = row, new, batch.slice(i, 1)
-            yield from made(done)
-        if row is not None:
-            yield from made([settle(before, row, None, held)])
+            for number, *values in zip(*(batch.column(c).to_pylist() for c in ("number", *Page._fields)), strict=True):
+                new = Page(*values)
+                if page is None or (page.host, page.codes) != (new.host, new.codes):
+                    if page is not None:
+                        yield page, numbers
+                    page, numbers = new, []
+                numbers.append(number)
+        if page is not None:
+            yield page, numbers
+
+    def settled(stream):
+        held = deque(maxlen=2 * REACH + 1)  # the run in the middle is settled
+        held.extend([None] * (REACH + 1))
+        for new in chain(stream, [None] * REACH):
+            held.append(new)
+            if held[REACH] is not None:
+                page, numbers = held[REACH]
+                near = [(abs(k - REACH), x[0]) for k, x in enumerate(held) if k != REACH and x and x[0].host == page.host and x[0].codes != page.codes]
+                near.sort(key=lambda x: (-_shared_start(x[1].path, page.path), x[0]))
+                if gone := template(page, [x[1] for x in near]):
+                    yield numbers, gone
 
-    def made(done):
-        for lines, one in done:
-            yield pa.RecordBatch.from_arrays([*(one.column(c).cast(target.field(c).type) for c in columns), pa.array([lines], target.field("lines").type)], schema=target)
+    def run(batches):
+        out = ([n, gone] for numbers, gone in settled(runs(batches)) for n in numbers)
+        while some := list(islice(out, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some, strict=True), target, strict=True)], schema=target)
 
-    return ordered.select(*columns, "host", "path", "lines").mapInArrow(run, schema)
+    return ordered.select("number", *Page._fields).mapInArrow(run, GONE)
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
@@ -182,18 +211,23 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[s
     held = pages.select(row, F.col(url).alias("url"), F.col(html).alias("html"))
 
     def values(texts: list[bytes], _) -> list[dict]:
-        return [dict(zip(("decided", "lines"), parse(t.decode()), strict=True)) for t in texts]
+        return [dict(zip(("decided", "lines", "main"), parse(t.decode()), strict=True)) for t in texts]
 
-    parsed = materialise(with_column_from_text(held, "parsed", PARSED, values, text="html", keep=["row", "url"]))
+    parsed = with_column_from_text(held, "parsed", PARSED, values, text="html", keep=["row", "url"])
+    parsed = materialise(parsed.select("row", "url", "parsed.*", F.monotonically_increasing_id().alias("number")))
     rest = F.substring_index("url", "://", -1)
-    open_pages = parsed.where("not parsed.decided").select(
-        "row",
+    compared = parsed.select(
+        "number",
         F.lower(F.coalesce(F.regexp_extract(rest, "^[^/?#]*", 0), F.lit(""))).alias("host"),
         F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"),
-        F.col("parsed.lines").alias("lines"),
+        F.transform("lines", lambda x: F.xxhash64(x)).alias("codes"),
+        "main",
+        "decided",
     )
-    both = parsed.where("parsed.decided").select("row", "parsed.lines").union(_differenced(open_pages, ["row"]))
-    return both.select(*(F.col("row")[c].alias(c) for c in keep), F.array_join("lines", "\n").alias("extracted"))
+    both = parsed.join(_templates(compared.where("host <> ''")), "number", "left")
+    places = F.coalesce("gone", F.array().cast("array<int>"))
+    text = F.filter("lines", lambda x, i: F.get("main", i) & ~F.array_contains(places, i))
+    return both.select(*(F.col("row")[c].alias(c) for c in keep), F.array_join(text, "\n").alias("extracted"))
 
 
 def op8_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -258,6 +258,16 @@ def test_html_template_lines_go(spark):
     assert all(by[k] == f"Page {k} has its own text\nand line {k * 7}" for k in range(6))
 
 
+def test_html_template_lines_of_marked_articles_go(spark):
+    """Every page is paired: what three articles share goes, what two share stays, and so does what is outside the article."""
+    both = {2: "<p>A quotation that two pages give.</p>", 3: "<p>A quotation that two pages give.</p>"}
+    page = lambda k: f"<div>Site {k}</div><article><p>Written by us</p><p>Text {k} of its own</p>{both.get(k, '')}<p>More on {k * 7}</p><p>End of {k}</p></article>"
+    df = spark.createDataFrame([(k, f"http://h.example/en/{k}", page(k)) for k in range(6)], "page_id bigint, url string, html string")
+    by = {r.page_id: r.extracted.split("\n") for r in html.extract(df.coalesce(1)).collect()}
+    quoted = lambda k: ["A quotation that two pages give."] * (k in both)
+    assert by == {k: [f"Text {k} of its own", *quoted(k), f"More on {k * 7}", f"End of {k}"] for k in range(6)}
+
+
 def contaminated(texts, items):
     """Ids of the texts of which a twentieth or more is hit."""
     windows = set()
