@@ -38,9 +38,13 @@ def identity_keys(records: DataFrame, key: str, urls: tuple[str, ...] = URLS) ->
 def strong_matches(drafts: DataFrame, apps: DataFrame, order: list[Column], draft: str = "draft_id", app: str = "app_id") -> DataFrame:
     """(draft, app, kind): the first app in order that shares a key with the draft, by its first kind of key.
 
-    A shared developer's domain needs similar names too; only those pairs are compared by name."""
+    A shared developer's domain needs similar names too; only those pairs are compared by name. All drafts of one value
+    of another kind share its first app, so that only it is joined."""
     left = identity_keys(drafts, draft)
     right = identity_keys(apps, app)
+    alone = right.where("kind <> 3").join(apps, app)
+    alone = first_by(alone, ["kind", "value"], *order, F.col(app).asc()).select(right.columns)
+    right = right.where("kind = 3").unionByName(alone)
     met = left.join(right, ["kind", "value"]).groupBy(draft, app).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
     named = met.join(drafts.select(draft, F.col("name").alias("_a")), draft).join(apps.withColumnRenamed("name", "_b"), app)
     by_name = F.element_at("kinds", 1) == 3

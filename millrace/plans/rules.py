@@ -148,10 +148,24 @@ def weak_top5(t: Tables) -> DataFrame:
     SELECT draft_id, app_id, kind FROM r WHERE r = 1"""
 )
 def first_match_wins(t: Tables) -> DataFrame:
-    """Drafts against apps: the first app by quality that shares an identity key."""
+    """Drafts against apps, as first_match_wins_all, for the first drafts."""
+    return _first_matches(t, t.customer.where("c_custkey < 300"))
+
+
+@query(
+    """WITH d AS (SELECT c_custkey AS draft_id, ['small','red','blue','hot','green'][c_custkey % 5 + 1] || ' ring' AS name FROM customer),
+    b AS (SELECT p_name AS name, p_partkey AS app_id, 4 AS kind FROM part QUALIFY row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey) = 1)
+    SELECT draft_id, app_id, kind FROM d JOIN b USING (name)"""
+)
+def first_match_wins_all(t: Tables) -> DataFrame:
+    """All drafts against apps: the first app by quality that shares an identity key."""
+    return _first_matches(t, t.customer)
+
+
+def _first_matches(t: Tables, customers: DataFrame) -> DataFrame:
     none = {c: F.lit("") for c in identity.URLS}
     first = F.element_at(F.array(*map(F.lit, ("small", "red", "blue", "hot", "green"))), (F.col("c_custkey") % 5 + 1).cast("int"))
-    drafts = t.customer.where("c_custkey < 300").select(F.col("c_custkey").alias("draft_id"), F.concat(first, F.lit(" ring")).alias("name"), F.lit("").alias("slug_hint"))
+    drafts = customers.select(F.col("c_custkey").alias("draft_id"), F.concat(first, F.lit(" ring")).alias("name"), F.lit("").alias("slug_hint"))
     apps = t.part.select(F.col("p_partkey").alias("app_id"), F.col("p_name").alias("name"), F.lit("").alias("slug_hint"), "p_size")
     return identity.strong_matches(drafts.withColumns(none), apps.withColumns(none), [F.desc("p_size")])
 

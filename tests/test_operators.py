@@ -163,3 +163,17 @@ def test_decisions_of_nothing(spark):
     empty = rules.decided(spark.range(0), [("x", F.lit(True))])
     assert rules.decision_report(empty, "n_ok").first().asDict() == {"evaluated": 0, "n_ok": 0}
     assert rules.blocker_counts(empty).count() == 0
+
+
+def test_first_match_of_every_draft(spark):
+    """No draft is left out by its id, and rows before and after the reduction to the best app of a key are the same."""
+    from millrace.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    got = {r.draft_id: r.app_id for r in registry.queries()["first_match_wins_all"](spark, sf).collect()}
+    best = {}
+    for r in spark.read.parquet(f"{sf}/part.parquet").orderBy(F.desc("p_size"), "p_partkey").collect():
+        best.setdefault(r.p_name, r.p_partkey)
+    names = ("small", "red", "blue", "hot", "green")
+    keys = [r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").collect()]
+    assert max(got) >= 300 and got == {k: best[n] for k in keys if (n := f"{names[k % 5]} ring") in best}
