@@ -89,6 +89,20 @@ def related(items: DataFrame, bridge: DataFrame, item: str, through: str) -> Dat
     return pairs.select(item, "other").distinct()
 
 
+def related_top(bridge: DataFrame, item: str, through: str, n: int, *order: str) -> DataFrame:
+    """(item, other, rank): the first n others that share a value of the bridge, by the columns `order` of it (names,
+    with - before those that fall), then by item.
+
+    The first n + 1 items of a value hold the first n others of each of its items, so that no pair of further items is made."""
+    places = [F.col(c[1:]).desc() if c[0] == "-" else F.col(c).asc() for c in order]
+    columns = [c.lstrip("-") for c in order]
+    best = top_by(bridge.select(through, item, *columns).distinct(), [through], n + 1, *places, F.col(item).asc())
+    others = best.select(through, F.col(item).alias("other"), *columns)
+    pairs = bridge.select(through, item).distinct().join(others, through).where(F.col(item) != F.col("other"))
+    pairs = pairs.select(item, "other", *columns).distinct()
+    return top_by(pairs, [item], n, *places, F.asc("other")).select(item, "other", "rank")
+
+
 def ordered_pair(df: DataFrame, a: str, b: str) -> DataFrame:
     """df with a and b so that a is the lesser one."""
     return df.withColumns({a: F.least(a, b), b: F.greatest(a, b)})

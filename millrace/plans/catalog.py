@@ -164,11 +164,25 @@ def exists_probe(t: Tables) -> DataFrame:
     SELECT * FROM r WHERE rank <= 6"""
 )
 def similar_items_top6(t: Tables) -> DataFrame:
-    recent = t.lineitem.where(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz"))
-    links = recent.select(F.col("l_partkey").alias("app_id"), F.col("l_suppkey").alias("platform_id")).distinct()
-    pairs = rel.related(views.apps(t), links, "app_id", "platform_id")
-    scored = pairs.join(t.part.select(F.col("p_partkey").alias("other"), "p_size"), "other")
-    return rel.top_by(scored, ["app_id"], 6, F.desc("p_size"), F.asc("other")).select("app_id", "other", "rank")
+    """As similar_items_top6_all, over the links of late lines."""
+    return _similar(t, t.lineitem.where(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz")))
+
+
+@query(
+    """WITH b AS (SELECT DISTINCT l_partkey AS app, l_suppkey AS s FROM lineitem),
+    p AS (SELECT DISTINCT x.app AS app_id, y.app AS other FROM b x JOIN b y USING (s) WHERE x.app <> y.app),
+    r AS (SELECT app_id, other, CAST(row_number() OVER (PARTITION BY app_id ORDER BY p_size DESC, other) AS INTEGER) AS rank FROM p JOIN part ON p_partkey = other)
+    SELECT * FROM r WHERE rank <= 6"""
+)
+def similar_items_top6_all(t: Tables) -> DataFrame:
+    """For each app the six best others that share a platform."""
+    return _similar(t, t.lineitem)
+
+
+def _similar(t: Tables, lines: DataFrame) -> DataFrame:
+    sizes = t.part.select(F.col("p_partkey").alias("app_id"), "p_size")
+    links = lines.select(F.col("l_partkey").alias("app_id"), F.col("l_suppkey").alias("platform_id")).distinct().join(sizes, "app_id")
+    return rel.related_top(links, "app_id", "platform_id", 6, "-p_size")
 
 
 @query(

@@ -177,3 +177,12 @@ def test_first_match_of_every_draft(spark):
     names = ("small", "red", "blue", "hot", "green")
     keys = [r.c_custkey for r in spark.read.parquet(f"{sf}/customer.parquet").collect()]
     assert max(got) >= 300 and got == {k: best[n] for k in keys if (n := f"{names[k % 5]} ring") in best}
+
+
+def test_similar_items_over_the_whole_bridge(spark):
+    from millrace.plans import registry
+    from tests.parity import connect, difference
+
+    sf = "/root/testdata/sf0.01"
+    name = "similar_items_top6_all"
+    assert difference(registry.queries()[name](spark, sf), connect(sf).sql(registry.oracle_sql()[name])) is None
