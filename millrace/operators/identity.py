@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,6 +27,35 @@ def name_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def _pieces(name: str, least: float) -> tuple[list[str], list[str]]:
+    """Keys of a name as the second and as the first of a pair with a ratio of `least` or more.
+
+    Such a pair of n and m letters differs by d = (1 - least)(n + m) insertions and deletions at most. Of d + 1 pieces of
+    the second name one is whole in the first, moved by d places at most."""
+    part, whole, n = [], [], len(name)
+    for other in range(math.ceil(n * least / (2 - least) - 1e-9), math.floor(n * (2 - least) / least + 1e-9) + 1) if n else ():
+        d = math.floor((1 - least) * (n + other) + 1e-9)
+        for i in range(d + 1):
+            a, b = i * n // (d + 1), (i + 1) * n // (d + 1)
+            part.append(f"{other},{n},{i},{name[a:b]}")
+            a, b = i * other // (d + 1), (i + 1) * other // (d + 1)
+            whole += {f"{n},{other},{i},{name[k : k + b - a]}" for k in range(max(0, a - d), min(n - (b - a), a + d) + 1)}
+    return part, whole
+
+
+def close_pairs(names: DataFrame, key: str, name: str, least: float = WEAK) -> DataFrame:
+    """(key + 1, key + 2): pairs, either way round, of which each with a ratio of `least` or more is one. None is lost."""
+
+    @F.pandas_udf("struct<part:array<string>,whole:array<string>>")
+    def pieces(x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_pieces((p or "").lower().strip(), least - 1e-6) for p in x], columns=["part", "whole"])
+
+    keyed = names.select(key, pieces(F.col(name)).alias("_keys"))
+    first = keyed.select(F.col(key).alias(f"{key}1"), F.explode("_keys.whole").alias("_piece"))
+    second = keyed.select(F.col(key).alias(f"{key}2"), F.explode("_keys.part").alias("_piece"))
+    return first.join(second, "_piece").where(F.col(f"{key}1") != F.col(f"{key}2")).drop("_piece").distinct()
+
+
 def identity_keys(records: DataFrame, key: str, urls: tuple[str, ...] = URLS) -> DataFrame:
     """(key, kind, value) of each record: repositories (1), urls (2), the developer's domain (3), the slug (4)."""
     kinds = [F.struct(F.lit(1).alias("kind"), repo_identity(F.col(u)).alias("value")) for u in urls]

@@ -134,11 +134,13 @@ def keep_first_dedup(t: Tables) -> DataFrame:
 
 @query()
 def weak_top5(t: Tables) -> DataFrame:
-    """For each name the five most similar names that share a word, of one brand or very similar."""
-    names = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("id"), F.min("p_brand").alias("brand")).withColumn("word", F.explode(F.split("p_name", " ")))
-    a, b = (names.select("word", *(F.col(c).alias(c + s) for c in ("id", "p_name", "brand"))) for s in "12")
-    pairs = a.join(b, "word").where("id1 <> id2").drop("word").distinct()
-    return identity.weak_matches(pairs, "id1", "id2", F.col("p_name2"), F.col("p_name1"), F.col("brand1") == F.col("brand2")).select("id1", "id2", "score", "rank")
+    """For each name the five most similar names, of one brand or very similar."""
+    names = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("id"), F.min("p_brand").alias("brand"))
+    a, b = (names.select(*(F.col(c).alias(c + s) for c in ("id", "p_name", "brand"))) for s in "12")
+    branded = a.join(b, F.col("brand1") == F.col("brand2")).where("id1 <> id2").select("id1", "id2")
+    pairs = branded.union(identity.close_pairs(names, "id", "p_name")).distinct().join(a, "id1").join(b, "id2")
+    same = F.coalesce(F.col("brand1") == F.col("brand2"), F.lit(False))
+    return identity.weak_matches(pairs, "id1", "id2", F.col("p_name2"), F.col("p_name1"), same).select("id1", "id2", "score", "rank")
 
 
 @query(

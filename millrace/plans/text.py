@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import relational as rel, search
-from ..operators.identity import name_ratio
+from ..operators.identity import WEAK, close_pairs, name_ratio
 from ..sources.html_directory import cards
 from ..tables import Tables
 from . import views
@@ -61,11 +61,13 @@ def trigram_self_similar(t: Tables) -> DataFrame:
 
 @query()
 def ratio_name_pairs(t: Tables) -> DataFrame:
-    """Pairs of names of the same first word with their matching-block ratio."""
+    """Pairs of names with their matching-block ratio: those of the same first word, and all of a ratio of WEAK or more."""
     names = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("k")).withColumn("block", F.element_at(F.split("p_name", " "), 1))
     a, b = (names.select("block", F.col("k").alias(f"k{s}"), F.col("p_name").alias(f"name{s}")) for s in "12")
-    pairs = a.join(b, "block").where("k1 < k2")
-    return pairs.withColumn("ratio", F.round(name_ratio(F.col("name1"), F.col("name2")), 6)).select("k1", "k2", "ratio")
+    close = close_pairs(names, "k", "p_name").where("k1 < k2")
+    pairs = a.join(b, "block").where("k1 < k2").select("k1", "k2").union(close).distinct().join(a.drop("block"), "k1").join(b, "k2")
+    scored = pairs.withColumn("ratio", F.round(name_ratio(F.col("name1"), F.col("name2")), 6))
+    return scored.where((F.col("ratio") >= WEAK) | (F.element_at(F.split("name1", " "), 1) == F.col("block"))).select("k1", "k2", "ratio")
 
 
 _POSTINGS = f"""WITH f AS (SELECT item_id AS id, text AS a, '' AS c FROM benchmark UNION ALL SELECT doc_id + 1000000, lang || ' ' || source, text FROM documents),

@@ -186,3 +186,25 @@ def test_similar_items_over_the_whole_bridge(spark):
     sf = "/root/testdata/sf0.01"
     name = "similar_items_top6_all"
     assert difference(registry.queries()[name](spark, sf), connect(sf).sql(registry.oracle_sql()[name])) is None
+
+
+def test_similar_names_by_brute_force(spark, tmp_path):
+    """Every pair that the rules of weak_top5 and ratio_name_pairs take, among names that share no word too."""
+    from millrace.plans import registry
+
+    named = ["cold ring", "old ring", "cold plate", "old bolt", "old plate", "cold bolt", "a much longer name of an app", "a much longer nameof anapp", "much longer name of an app", "x", "xy"]
+    rows = [(i, n, f"Brand#{i % 3}") for i, n in enumerate(named)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    for sf in (str(tmp_path), "/root/testdata/sf0.01"):
+        parts = spark.read.parquet(f"{sf}/part.parquet").groupBy("p_name").agg(F.min("p_partkey").alias("id"), F.min("p_brand").alias("brand")).collect()
+        ratio = {(a.id, b.id): round(difflib.SequenceMatcher(None, b.p_name, a.p_name).ratio(), 6) for a in parts for b in parts if a.id != b.id}
+        brand, name = {r.id: r.brand for r in parts}, {r.id: r.p_name for r in parts}
+        weak = {}
+        for (a, b), r in ratio.items():
+            if r >= 0.92 or brand[a] == brand[b] and r >= 0.65:
+                weak.setdefault(a, []).append((-r, b))
+        want = {(a, b, -r, k) for a, found in weak.items() for k, (r, b) in enumerate(sorted(found)[:5], 1)}
+        assert {tuple(r) for r in registry.queries()["weak_top5"](spark, sf).collect()} == want
+        got = {(r.k1, r.k2): r.ratio for r in registry.queries()["ratio_name_pairs"](spark, sf).collect()}
+        first = lambda k: name[k].split(" ")[0]
+        assert got == {(a, b): ratio[b, a] for a, b in ratio if a < b and (ratio[b, a] >= 0.92 or first(a) == first(b))}
