@@ -3,14 +3,17 @@
 A page is parsed into blocks of text; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
 comments go by element, role, class or id. Pages are sorted by host and path, each is aligned with the nearest different
 pages on its host by longest common subsequence of lines, and lines that they share are deleted as template. The page
-that shares the longest start of the path comes first; one that holds nine tenths of the lines is a copy.
+that shares the longest start of the path comes first. One that holds nine tenths of the lines is a copy if the lines
+left on both are alike too (near copies differ by an edit, articles under one template by all they say), and then the
+next is asked, up to eight runs of different pages on either side; with copies only, nothing is deleted.
 
 Markup is a guard: if the page marks its article (article, main), the text is lines of it, and such a line goes only if
 two different pages share it which each share less than half of the article. One page is not enough there: what two
 articles have in common is most often a quotation or a copy.
 
 Scale: lines are compared by 64-bit hashes, so the range shuffle by (host, path) carries hashes and no text, and splits a
-hot host over many tasks. What is to go joins the parsed pages by number.
+hot host over many tasks. Ranges get the runs of lines before and after them from the driver (eight on either side of a
+range), so the text does not depend on where ranges end. What is to go joins the parsed pages by number.
 
 Defined results: null or empty html has an empty text; unclosed elements end with their parent; a broken character
 reference stays as it is; pages without a url are not paired; repeated rows get a row each; other columns of pages
@@ -21,21 +24,21 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections import defaultdict, deque
+from collections import Counter, defaultdict
 from html.parser import HTMLParser
 from itertools import chain, islice
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BATCH_ROWS, arrow_schema, materialise, table, with_column_from_text
 
 PARSED = "struct<decided:boolean,lines:array<string>,main:array<boolean>>"
 GONE = "number bigint, gone array<int>"
-#: Different pages that are looked at on either side of a page.
-REACH = 2
+#: Runs of pages with equal lines that are looked at on either side of a page.
+REACH = 8
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -143,23 +146,41 @@ def template(page: Page, near: list[Page]) -> list[int]:
     witnesses = []
     for other in near:
         shared = set(common_lines(page.codes, other.codes))
-        if len(own & shared) < (0.5 if page.decided else 0.9) * len(own):
+        if len(own & shared) < 0.5 * len(own) or not page.decided and not _copies(page, other, shared):
             witnesses.append(shared)
             if len(witnesses) == 1 + page.decided:
                 return sorted(set.intersection(own, *witnesses))
     return []
 
 
+def _copies(page: Page, other: Page, shared: set[int]) -> bool:
+    """Whether pages with these shared places are near copies: most lines are shared, and most others are alike."""
+    if len(shared) < 0.9 * len(page.codes):
+        return False
+    gone = Counter(page.codes[i] for i in shared)
+    left = [x for i, x in enumerate(page.words) if i not in shared]
+    theirs = []
+    for code, words in zip(other.codes, other.words, strict=True):
+        if gone[code]:
+            gone[code] -= 1
+        else:
+            theirs.append(words)
+    few, many = sorted((left, theirs), key=len)
+    alike = sum(any(a == c or b == d for c, d in map(tuple, many)) for a, b in map(tuple, few))
+    return 2 * alike >= len(few)
+
+
 def _shared_start(a: str, b: str) -> int:
     return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
 class Page(NamedTuple):
-    """What is compared of a page; its codes are hashes of its lines."""
+    """What is compared of a page: hashes of its lines, and of each line the least and greatest hash of its words."""
 
     host: str
     path: str
     codes: list[int]
+    words: list[list[int]]
     main: list[bool]
     decided: bool
 
@@ -167,41 +188,82 @@ class Page(NamedTuple):
 def _templates(pages: DataFrame) -> DataFrame:
     """(number, gone): places of template lines of pages (number and what a Page has), where there are any."""
     order = ["host", "path", "codes", "number"]
-    ordered = pages.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = materialise(pages.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    context = _context(dealt, order)
+    ordered = dealt.repartition("part").sortWithinPartitions("part", *order)
     target = arrow_schema(GONE)
 
     def runs(batches):
-        """Pages of one host with equal lines that follow each other, as one page and their numbers."""
-        page, numbers = None, []
+        """By part: pages of one host with equal lines that follow each other, as one page and their numbers."""
+        part, page, numbers, found = None, None, [], []
         for batch in batches:
-            for number, *values in zip(*(batch.column(c).to_pylist() for c in ("number", *Page._fields)), strict=True):
+            for at, number, *values in zip(*(batch.column(c).to_pylist() for c in ("part", "number", *Page._fields)), strict=True):
                 new = Page(*values)
-                if page is None or (page.host, page.codes) != (new.host, new.codes):
+                if part != at or (page.host, page.codes) != (new.host, new.codes):
                     if page is not None:
-                        yield page, numbers
-                    page, numbers = new, []
+                        found.append((page, numbers))
+                    if part != at and part is not None:
+                        yield part, found
+                        found = []
+                    part, page, numbers = at, new, []
                 numbers.append(number)
         if page is not None:
-            yield page, numbers
-
-    def settled(stream):
-        held = deque(maxlen=2 * REACH + 1)  # the run in the middle is settled
-        held.extend([None] * (REACH + 1))
-        for new in chain(stream, [None] * REACH):
-            held.append(new)
-            if held[REACH] is not None:
-                page, numbers = held[REACH]
-                near = [(abs(k - REACH), x[0]) for k, x in enumerate(held) if k != REACH and x and x[0].host == page.host and x[0].codes != page.codes]
-                near.sort(key=lambda x: (-_shared_start(x[1].path, page.path), x[0]))
-                if gone := template(page, [x[1] for x in near]):
-                    yield numbers, gone
+            yield part, [*found, (page, numbers)]
+
+    def settled(part, found):
+        before, after = context.value[part]
+        while before and (before[-1].host, before[-1].codes) == (found[0][0].host, found[0][0].codes):
+            before = before[:-1]
+        while after and (after[0].host, after[0].codes) == (found[-1][0].host, found[-1][0].codes):
+            after = after[1:]
+        own = [*before[-REACH:], *(page for page, _ in found), *after[:REACH]]
+        for at, (page, numbers) in enumerate(found, len(before[-REACH:])):
+            near = [(abs(k - at), own[k]) for k in range(max(0, at - REACH), min(len(own), at + REACH + 1)) if own[k].host == page.host and own[k].codes != page.codes]
+            near.sort(key=lambda x: (-_shared_start(x[1].path, page.path), x[0]))
+            if gone := template(page, [x[1] for x in near]):
+                yield from ([n, gone] for n in numbers)
 
     def run(batches):
-        out = ([n, gone] for numbers, gone in settled(runs(batches)) for n in numbers)
+        out = chain.from_iterable(settled(*x) for x in runs(batches))
         while some := list(islice(out, BATCH_ROWS)):
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*some, strict=True), target, strict=True)], schema=target)
 
-    return ordered.select("number", *Page._fields).mapInArrow(run, GONE)
+    return ordered.select("part", "number", *Page._fields).mapInArrow(run, GONE)
+
+
+def _context(dealt: DataFrame, order: list[str]):
+    """Broadcast, by part: the pages of the runs before and after it, one more than are looked at."""
+    inside = Window.partitionBy("part").orderBy(*order)
+    same = (F.lag("host").over(inside) == F.col("host")) & (F.lag("codes").over(inside) == F.col("codes"))
+    starts = dealt.withColumn("new", ~F.coalesce(same, F.lit(False))).where("new")
+    backward = Window.partitionBy("part").orderBy(*(F.desc(c) for c in order))
+    edges = starts.withColumns({"at": F.row_number().over(inside), "left": F.row_number().over(backward)}).where(f"at <= {REACH + 1} or left <= {REACH + 1}")
+    ends, places = [], {}
+    for part, _, *values in sorted(edges.select("part", "at", *Page._fields).collect(), key=lambda r: (r[0], r[1])):
+        page = Page(*values)
+        places.setdefault(part, [len(ends), 0])
+        ends.append(page)
+        places[part][1] = len(ends)
+    near = {}
+    for part, (first, last) in places.items():
+        before, after = [], []
+        for page in reversed(ends[:first]):
+            if len(before) > REACH or page.host != ends[first].host:
+                break
+            if not before or before[-1].codes != page.codes:
+                before.append(page)
+        for page in ends[last:]:
+            if len(after) > REACH or page.host != ends[last - 1].host:
+                break
+            if not after or after[-1].codes != page.codes:
+                after.append(page)
+        near[part] = before[::-1], after
+    return dealt.sparkSession.sparkContext.broadcast(near)
+
+
+def _words(line: Column) -> Column:
+    hashes = F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
+    return F.array(F.array_min(hashes), F.array_max(hashes))
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[str] | None = None) -> DataFrame:
@@ -221,6 +283,7 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[s
         F.lower(F.coalesce(F.regexp_extract(rest, "^[^/?#]*", 0), F.lit(""))).alias("host"),
         F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit("")).alias("path"),
         F.transform("lines", lambda x: F.xxhash64(x)).alias("codes"),
+        F.transform("lines", _words).alias("words"),
         "main",
         "decided",
     )

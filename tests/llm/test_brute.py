@@ -268,6 +268,26 @@ def test_html_template_lines_of_marked_articles_go(spark):
     assert by == {k: [f"Text {k} of its own", *quoted(k), f"More on {k * 7}", f"End of {k}"] for k in range(6)}
 
 
+def test_html_pages_on_edges_copies_and_short_articles(spark):
+    """The text does not depend on partitions; copies are passed over; a short article loses a long template."""
+    frame = "".join(f"<div>Template line {i}</div>" for i in range(40))
+    own = lambda k: [" ".join(f"{w}{k}{i}" for w in ("ab", "cd", "ef", "gh")) for i in range(3)]
+    copy = lambda k: [*own(90)[:2], f"{own(90)[2]} edited{k}"]
+    texts = {k: own(k) for k in range(8)} | {k: copy(k) for k in range(20, 23)} | {k: own(50) for k in range(30, 45)}
+    page = lambda k: frame + "".join(f"<p>{x}</p>" for x in texts[k])
+    rows = [(k, f"http://{'two' if k < 2 else 'many'}.example/en/{k:03d}", page(k)) for k in texts]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for parts in (1, 3, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            assert {r.page_id: r.extracted.split("\n") for r in html.extract(df.repartition(3)).collect()} == texts, parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def contaminated(texts, items):
     """Ids of the texts of which a twentieth or more is hit."""
     windows = set()
