@@ -1,7 +1,8 @@
 """HTML extraction: nearest-URL page differencing of every page, guarded by markup.
 
 A page is parsed into blocks of text; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-comments go by element, role, class or id. Pages are sorted by host and path, each is aligned with the nearest different
+comments go by element, role, class or id; a class, id or role drops no element that holds the only article or, where
+none is marked, most of the text. Pages are sorted by host and path, each is aligned with the nearest different
 pages on its host by longest common subsequence of lines, and lines that they share are deleted as template. The page
 that shares the longest start of the path comes first. One that holds nine tenths of the lines is a copy if the lines
 left on both are alike too (near copies differ by an edit, articles under one template by all they say), and then the
@@ -55,23 +56,34 @@ _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
 
 
+class Block(NamedTuple):
+    """A text that no element drops, and which of the elements around it have a class, id or role of BOILERPLATE."""
+
+    article: bool
+    main: bool
+    text: str
+    marked: tuple[int, ...]
+    holders: tuple[int, ...]  # those of marked that are around the article or main
+
+
 class Blocks(HTMLParser):
-    """Collects (in_article, in_main, text) of the blocks that markup does not drop."""
+    """Collects the Block of each text that is not dropped by element."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[bool, bool, str]] = []
-        self.open: list[tuple[str, bool, bool, bool]] = []  # tag; dropped, in article, in main from here on
+        self.blocks: list[Block] = []
+        self.open: list[tuple[str, bool, bool, bool, tuple, tuple]] = []  # tag; dropped, in article, in main, marked, holders from here on
         self.words: list[str] = []
+        self.n_marked = 0
 
-    def state(self) -> tuple[bool, bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False, False)
+    def state(self) -> tuple[bool, bool, bool, tuple, tuple]:
+        return self.open[-1][1:] if self.open else (False, False, False, (), ())
 
     def flush(self) -> None:
         text = _SPACE.sub(" ", "".join(self.words)).strip()
-        dropped, article, main = self.state()
+        dropped, article, main, marked, holders = self.state()
         if text and not dropped:
-            self.blocks.append((article, main, text))
+            self.blocks.append(Block(article, main, text, marked, holders))
         self.words.clear()
 
     def handle_starttag(self, tag: str, attrs) -> None:
@@ -83,14 +95,21 @@ class Blocks(HTMLParser):
             return
         if tag in ("p", "li", "tr", "dt", "dd") and self.open and self.open[-1][0] == tag:
             self.open.pop()
-        dropped, article, main = self.state()
+        dropped, article, main, marked, holders = self.state()
         said = dict(attrs)
         marks = {m.lower() for a in ("class", "id", "role") for m in _PARTS.findall(said.get(a) or "")}
+        holds = tag in ("article", "main") or said.get("role") == "main"
+        inside = article or main
         article |= tag == "article"
         main |= tag == "main" or said.get("role") == "main"
-        dropped |= tag in DROPPED or tag == "header" and not (article or main) or tag not in ("html", "body") and bool(marks & BOILERPLATE)
+        dropped |= tag in DROPPED or tag == "header" and not (article or main)
         dropped |= "hidden" in said or said.get("aria-hidden") == "true" or "display:none" in (said.get("style") or "").replace(" ", "")
-        self.open.append((tag, dropped, article, main))
+        if marks & BOILERPLATE and tag not in ("html", "body") and not (holds and not inside):
+            self.n_marked += 1
+            marked = (*marked, self.n_marked)
+        if holds and not inside:
+            holders = marked
+        self.open.append((tag, dropped, article, main, marked, holders))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS or tag in DROPPED:
@@ -110,13 +129,31 @@ def parse(html: str) -> tuple[bool, list[str], list[bool]]:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = [b[2] for b in parser.blocks]
+    blocks = _kept(parser.blocks)
+    lines = [b.text for b in blocks]
     for k in (0, 1):
-        if any(b[k] for b in parser.blocks):
-            return True, lines, [b[k] for b in parser.blocks]
+        if any(b[k] for b in blocks):
+            return True, lines, [b[k] for b in blocks]
     return False, lines, [True] * len(lines)
 
 
+def _kept(blocks: list[Block]) -> list[Block]:
+    """blocks without those in an element of a boilerplate class, unless that element holds the article or most of the text.
+
+    If nothing is left by that, all are kept, and differencing settles."""
+    plain = any((b.article or b.main) and not b.marked for b in blocks)
+    held, sizes = set(), Counter()
+    for b in blocks:
+        if not plain:
+            held.update(b.holders)
+        for k in b.marked:
+            sizes[k] += len(b.text)
+    if not plain and not held:
+        whole = sum(len(b.text) for b in blocks)
+        held = {k for k, n in sizes.items() if 2 * n > whole}
+    return [b for b in blocks if held.issuperset(b.marked)] or blocks
+
+
 def common_lines(a: list, b: list) -> list[int]:
     """Places in a of a longest common subsequence with b (by the increasing places of matches in b)."""
     places = defaultdict(list)
@@ -287,7 +324,8 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", keep: list[s
         "main",
         "decided",
     )
-    both = parsed.join(_templates(compared.where("host <> ''")), "number", "left")
+    gone = materialise(_templates(compared.where("host <> ''")))  # of known size: where it is small, the texts are not shuffled
+    both = parsed.join(gone, "number", "left")
     places = F.coalesce("gone", F.array().cast("array<int>"))
     text = F.filter("lines", lambda x, i: F.get("main", i) & ~F.array_contains(places, i))
     return both.select(*(F.col("row")[c].alias(c) for c in keep), F.array_join(text, "\n").alias("extracted"))

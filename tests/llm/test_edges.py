@@ -112,6 +112,24 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_wrappers_with_boilerplate_words():
+    text = "<p>The first line of it.</p><p>The second line of it.</p>"
+    lines = ["The first line of it.", "The second line of it."]
+    ad = '<div class="ad">Buy</div>'
+    kept = lambda page: [x for x, m in zip(*html.parse(page)[1:], strict=True) if m]
+    for page in (
+        f'<div class="page with-sidebar">{ad}<article>{text}{ad}</article></div>',
+        f'<div class="layout has-nav">{ad}<main>{text}</main></div>',
+        f'<article class="post no-comments">{text}{ad}</article>',
+        f'{ad}<div class="content no-sidebar">{text}{ad}</div>',
+        f'<article>{text}</article><div class="comments"><article class="comment"><p>{"A long comment. " * 20}</p></article></div>',
+        f'<article>{text}<div class="related"><p>{"More to read. " * 20}</p></div></article>',
+    ):
+        assert kept(page) == lines, page
+    decided, lines, _ = html.parse('<div class="menu">One</div><div class="promo">Two</div>')
+    assert not decided and lines == ["One", "Two"]
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://A.B.COM?x#y", "https://x.example.com/en/7", "http://com/en/", "http://casino.org/x", "http://a.org/free/deal", "http://dealer.org/freedom", "http://a.net/de/8", "http://b.example.net/de/8", "a://b://c/casino"]
     df = spark.createDataFrame([(i, u, "own", "own") for i, u in enumerate(urls)], "page_id bigint, url string, hits string, text string")
