@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows that Arrow hands to Python at once; texts may be long, so batches stay small.
-BATCH_ROWS = 1000
+#: Rows and bytes that are worked on at once. Spark bounds what Arrow hands to Python (spark.sql.execution.arrow.maxBytesPerBatch).
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 #: Bytes of `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` words after lower-casing A-Z; all others become a space.
 _NORMAL = bytes(
@@ -26,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keeps the Arrow batches of this session small: memory follows rows times text length."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with at most BATCH_ROWS rows and about BATCH_BYTES bytes, one row at least; nothing is copied."""
+    for batch in batches:
+        step = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -72,8 +75,6 @@ def with_column_from_text(
     """df (or its columns `keep`) with a column `name` of type `kind`; values(texts, batch) gives it for each Arrow batch.
 
     A column of that name is replaced; values() sees it if it is of that type. A null text is empty. Texts do not travel back to the JVM unless kept."""
-    spark = df.sparkSession
-    small_batches(spark)
     keep = [c for c in (df.columns if keep is None else keep) if c != name]
     empty = F.lit(None).cast(kind).alias(name)
     same = name in df.columns and df.schema[name].dataType == df.select(empty).schema[name].dataType
@@ -83,11 +84,10 @@ def with_column_from_text(
     target = to_arrow_schema(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                made = values([x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()], batch)
-                made = made if isinstance(made, pa.Array) else pa.array(made, target.field(name).type)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(target.field(c).type) for c in keep), made], schema=target)
+        for batch in sliced(batches):
+            made = values([x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()], batch)
+            made = made if isinstance(made, pa.Array) else pa.array(made, target.field(name).type)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).cast(target.field(c).type) for c in keep), made], schema=target)
 
     return source.mapInArrow(run, out)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, crc_fold, materialise, small_batches, table
+from .common import arrow_schema, crc_fold, materialise, sliced, table
 
 BATCH_BYTES = 10 << 20
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
@@ -107,7 +107,7 @@ def packed(docs: DataFrame) -> DataFrame:
             held[tuning], sizes[tuning] = [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, target, strict=True)], schema=target)
 
-        for batch in batches:
+        for batch in sliced(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for row in zip(batch.column("doc_id").to_pylist(), batch.column("fold").to_pylist(), texts, strict=True):
                 tuning, text = row[1] == TUNING, row[2] or b""
@@ -119,7 +119,6 @@ def packed(docs: DataFrame) -> DataFrame:
             if held[tuning]:
                 yield full(tuning)
 
-    small_batches(docs.sparkSession)
     fold = crc_fold(F.col("doc_id"), FOLDS).cast("int").alias("fold")
     return materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fold, "text").mapInArrow(run, PACKS))
 

@@ -8,6 +8,8 @@ component of every text. Equal sets are one node, so copies never meet as pairs.
    n - t + depth(n) are its signature, depth(n) being a twelfth of n, or four if that is more: two linked sets share as many
    signature shingles as the depth of the smaller, under any order. Only signature shingles of two or more nodes go
    on, and only nodes with enough of them keep their sets. (Sets of three or fewer can only link with equal ones.)
+   Of these sets all shingles are counted once: those that no other has cannot be shared, which bounds the size of a
+   partner.
 2. Groups. Nodes of one min-hash (of five) are compared with the node among them whose signature is the most common,
    then those that it does not hold with the most common of themselves; what links is a group. So a group of many
    near copies costs some comparisons a member and not all pairs.
@@ -30,7 +32,7 @@ component_node are replaced.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import arrow_schema, materialise, small_batches, table, with_column_from_text
+from .common import arrow_schema, materialise, sliced, table, with_column_from_text
 from .lm import mixed
 
 WORDS = 5
@@ -54,7 +56,8 @@ FEW, MEMBERS, QUERIES = 8, 256, 2048
 SKETCH = 1 << 22
 BITMAP = 1 << 26
 SLICES = 64
-HELD_POSTINGS = 4_000_000
+#: Postings that a task holds before it sends them on, and that a bucket is meant to get; each takes 16 bytes.
+PACK_POSTINGS, BUCKET_POSTINGS = 500_000, 2_000_000
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = (np.arange(1, HASHES + 1, dtype=np.uint64) * _TIMES)[:, None]
 
@@ -133,7 +136,7 @@ def joined(df: DataFrame, size: int, dtype: type, join: np.ufunc) -> np.ndarray:
         yield pa.RecordBatch.from_pylist([{"slice": k, "data": zlib.compress(p.tobytes(), 1)} for k, p in sums.items()], schema=target)
 
     out = np.zeros(size, dtype)
-    for k, data in df.select("slice", "data").repartition(SLICES, "slice").mapInArrow(merge, schema).collect():
+    for k, data in df.select("slice", "data").repartitionById(SLICES, F.col("slice")).mapInArrow(merge, schema).collect():
         out[k * width : (k + 1) * width] = np.frombuffer(zlib.decompress(data), dtype)
     return out
 
@@ -145,11 +148,11 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for batch in batches:
+        for batch in sliced(batches):
             sets = shingle_sets(batch.column("text"), words)
             if any(len(s) for s in sets):
                 own = np.zeros(SKETCH, np.uint32) if own is None else own
-                np.add(own, np.bincount(_place(np.concatenate(sets), SKETCH), minlength=SKETCH).astype(np.uint32), out=own)
+                np.add.at(own, _place(np.concatenate(sets), SKETCH), np.uint32(1))
             none = [None] * len(sets)
             columns = [batch.column("doc_id"), [node_of(s) for s in sets], [len(s) for s in sets], none, none]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c.cast(f.type) for c, f in zip(columns, target, strict=True)], schema=target)
@@ -159,57 +162,86 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, rows)
 
 
-def shared_postings(texts: DataFrame, classes, words: int, percent: int) -> DataFrame:
-    """(shingle, node, m) of the signature shingles that two or more nodes have, m being their number."""
-    buckets = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packs, out = "bucket int, shingles binary, nodes binary", "shingle bigint, node bigint, m bigint"
-    packs_schema, out_schema = arrow_schema(packs), arrow_schema(out)
-
-    def full(shingles: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-        s, n = np.concatenate(shingles), np.concatenate(nodes)
-        bucket = (s % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((n, s, bucket))
-        s, n, bucket = s[order], n[order], bucket[order]
-        new = np.concatenate([[True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])])  # copies in one task count once
-        s, n, bucket = s[new], n[new], bucket[new]
-        edges = np.searchsorted(bucket, np.arange(buckets + 1))
+def _met(source: DataFrame, postings: Callable, buckets: int, give: Callable, schema: str) -> DataFrame:
+    """Brings the postings (shingle, node) of all rows together by ranges of the shingles' hashes.
+
+    postings(batch) gives the shingles and the node of each row, if it has some; give(shingles, nodes, m) turns the postings
+    of a range, in order and without repeats, into columns of schema, m being how many nodes have the shingle. A task
+    sends each range one packed row for PACK_POSTINGS postings."""
+    packs = "bucket int, shingles binary, nodes binary"
+    packs_schema, out_schema = arrow_schema(packs), arrow_schema(schema)
+
+    def full(shingles: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        s = np.concatenate(shingles)
+        n = np.repeat(np.array(nodes, np.int64), [len(x) for x in shingles])
+        order = np.argsort(s)
+        s, n = s[order], n[order]
+        edges = np.searchsorted((s >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist()
         rows = [{"bucket": k, "shingles": s[a:b].tobytes(), "nodes": n[a:b].tobytes()} for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
         return pa.RecordBatch.from_pylist(rows, schema=packs_schema)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, nodes, held = [], [], 0
-        for batch in batches:
-            for s in shingle_sets(batch.column("text"), words):
-                own = signature(s, classes.value, percent)
-                if len(own):
+        shingles, nodes, held, seen = [], [], 0, set()
+        for batch in sliced(batches):
+            for own, node in postings(batch):
+                if len(own) and node not in seen:  # copies in one pack count once
+                    seen.add(node)
                     shingles.append(own)
-                    nodes.append(np.full(len(own), node_of(s), np.int64))
+                    nodes.append(node)
                     held += len(own)
-            if held >= HELD_POSTINGS:
-                yield full(shingles, nodes)
-                shingles, nodes, held = [], [], 0
+                if held >= PACK_POSTINGS:
+                    yield full(shingles, nodes)
+                    shingles, nodes, held, seen = [], [], 0, set()
         if held:
             yield full(shingles, nodes)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles: dict[int, list[bytes]] = {}
-        nodes: dict[int, list[bytes]] = {}
+        s, n = [], []
         for batch in batches:
-            for k, s, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "shingles", "nodes")), strict=True):
-                shingles.setdefault(k, []).append(s)
-                nodes.setdefault(k, []).append(n)
-        for k in shingles:
-            s, n = np.frombuffer(b"".join(shingles[k]), np.uint64), np.frombuffer(b"".join(nodes[k]), np.int64)
+            s += [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
+            n += [np.frombuffer(x, np.int64) for x in batch.column("nodes").to_pylist()]
+        if s:
+            s, n = np.concatenate(s), np.concatenate(n)
             order = np.lexsort((n, s))
             s, n = s[order], n[order]
             new = np.concatenate([[True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])])
             s, n = s[new], n[new]
             starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             m = np.diff(np.append(starts, len(s)))
-            m = np.repeat(m, m)
-            yield pa.RecordBatch.from_arrays([pa.array(s[m > 1].view(np.int64)), pa.array(n[m > 1]), pa.array(m[m > 1])], schema=out_schema)
+            columns = give(s, n, np.repeat(m, m))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out_schema)
+
+    # a range for each task: ranges are not hashed again
+    return source.mapInArrow(ask, packs).repartitionById(buckets, F.col("bucket")).mapInArrow(meet, schema)
+
+
+def _buckets(df: DataFrame, postings: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-postings // BUCKET_POSTINGS))
+
+
+def shared_postings(texts: DataFrame, classes, buckets: int, words: int, percent: int) -> DataFrame:
+    """(shingle, node, m) of the signature shingles that two or more nodes have, m being their number."""
 
-    return texts.mapInArrow(ask, packs).repartition(buckets, "bucket").mapInArrow(meet, out)
+    def postings(batch):
+        return ((signature(s, classes.value, percent), node_of(s)) for s in shingle_sets(batch.column("text"), words))
+
+    def give(s, n, m):
+        return s[m > 1].view(np.int64), n[m > 1], m[m > 1]
+
+    return _met(texts, postings, buckets, give, "shingle bigint, node bigint, m bigint")
+
+
+def shared_sizes(sets: DataFrame, buckets: int) -> DataFrame:
+    """(node, e) of the sets (node, shingles): how many of all its shingles a set shares with any other."""
+
+    def postings(batch):
+        lists = batch.column("shingles")
+        return ((s.values.to_numpy().view(np.uint64), node) for s, node in zip(lists, batch.column("node").to_pylist(), strict=True))
+
+    def give(_, n, m):
+        return np.unique(n[m > 1], return_counts=True)
+
+    return _met(sets.select("node", "shingles"), postings, buckets, give, "node bigint, e bigint").groupBy("node").agg(F.sum("e").alias("e"))
 
 
 def sets_of(texts: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
@@ -231,7 +263,7 @@ def sets_of(texts: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             if len(seen) > 1_000_000:
                 seen.clear()
@@ -375,27 +407,33 @@ def _first_links(queries: pa.Table, held: pa.Table, percent: int) -> list[tuple[
 
 
 def eligible(postings: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """(node, n, cap, heat) of the nodes that may link: cap is the largest size that a partner can have, heat how common
-    the signature is.
-
-    Signature shingles that no other node has leave at most e = n - that many to share, and a partner of size s needs
-    100 e >= percent (n + s - e)."""
+    """(node, n, heat) of the nodes that may link; heat: how common the signature is."""
     n, c = F.col("n"), F.col("c")
-    least = F.ceil(n * percent / 100.0 - 1e-9)
-    size = F.least(n, n - least + _depth(n, percent))
-    cap = F.floor((n - size + c) * (100 + percent) / percent + 1e-9) - n
+    size = F.least(n, n - F.ceil(n * percent / 100.0 - 1e-9) + _depth(n, percent))
     met = postings.groupBy("node").agg(F.count("*").alias("c"), F.sum(F.log2("m")).alias("heat")).join(nodes.select("node", "n"), "node")
-    met = met.where(c >= _depth(F.floor(n * percent / 100), percent)).select("node", "n", (F.col("heat") / size).alias("heat"), cap.alias("cap"))
-    return met.where(100 * F.col("cap") >= percent * n)
+    return met.where(c >= _depth(F.floor(n * percent / 100), percent)).select("node", "n", (F.col("heat") / size).alias("heat"))
+
+
+def bounded(chosen: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """chosen with cap, the largest size that a partner can have, where a partner can have any size.
+
+    All nodes that link are chosen, so what a node shares with a partner is among the e shingles that it shares with
+    any other chosen node: a partner of size s needs 100 e >= percent (n + s - e)."""
+    total = chosen.agg(F.sum("n")).first()[0] or 0
+    cap = F.floor(F.coalesce("e", F.lit(0)) * (100 + percent) / percent + 1e-9) - F.col("n")
+    both = chosen.join(shared_sizes(sets, _buckets(sets, total)), "node", "left").withColumn("cap", cap)
+    return both.where(100 * F.col("cap") >= percent * F.col("n")).select("node", "n", "cap", "heat")
 
 
 def components(docs: DataFrame, nodes: DataFrame, classes: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, root) of all nodes that link with another. nodes: (node, n)."""
     spark = docs.sparkSession
     texts = docs.select("text")
-    postings = materialise(shared_postings(texts, spark.sparkContext.broadcast(classes), words, percent))
+    most = nodes.agg(F.sum(F.least("n", F.col("n") * (100 - percent) / 100 + _depth(F.col("n"), percent)))).first()[0] or 0
+    postings = materialise(shared_postings(texts, spark.sparkContext.broadcast(classes), _buckets(docs, int(most)), words, percent))
     chosen = materialise(eligible(postings, nodes, percent))
     sets = materialise(sets_of(texts, chosen, words))
+    chosen = materialise(bounded(chosen, sets, percent))
     members = sets.select("node", "least").join(chosen, "node")
     edges, groups = None, None
     for k in range(ROUNDS):
@@ -415,7 +453,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     def values(_, batch: pa.RecordBatch) -> list[dict]:
         return [{"n": len(s), "node": node_of(s)} for s in shingle_sets(batch.column("text"), words)]
 
-    small_batches(docs.sparkSession)
     once = materialise(signed(docs, words))
     classes = np.log2(np.maximum(joined(once.where("slice is not null"), SKETCH, np.uint32, np.add), 1)).astype(np.uint8)
     small = once.where("slice is null").select("doc_id", "node", "n")

@@ -79,6 +79,49 @@ def test_jaccard_components(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter(brute_components(rows))
 
 
+def true_links(rows):
+    """All pairs of row numbers with different sets that link."""
+    sets = [w and frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) for w in (WORD.findall((t or "").translate(LOWER)) for _, t in rows)]
+    return {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if a and b and a != b and 100 * len(a & b) >= 80 * len(a | b)}
+
+
+def overlapping(rng):
+    """Texts out of a few passages and own words, so that shingles are shared in and outside of signatures."""
+    passages = [[f"p{k}x{i}" for i in range(rng.choice([20, 40, 80]))] for k in range(4)]
+    texts = []
+    for k in range(40):
+        parts = [rng.choice(passages) for _ in range(rng.choice([1, 1, 2]))]
+        own = [f"o{k}x{i}" for i in range(rng.choice([0, 1, 2, 5, 9]))]
+        texts.append(" ".join(sum(parts, []) + own if k % 2 else own + sum(parts, [])))
+    return texts
+
+
+@pytest.mark.parametrize("seed", [5])
+def test_jaccard_loses_no_link_of_overlapping_texts(spark, seed):
+    rows = list(enumerate(overlapping(random.Random(seed))))
+    got = {r.doc_id: r.component_id for r in ngramjoin.near_duplicates(documents(spark, rows), keep=["doc_id"]).collect()}
+    links = true_links(rows)
+    assert links and all(got[i] == got[j] for i, j in links)
+    assert sorted(got.items()) == [(d, c) for d, _, c in brute_components(rows)]
+
+
+@given(st.randoms(use_true_random=False))
+@settings(max_examples=200, deadline=None)
+def test_linked_sets_meet_in_their_signatures(rng):
+    """Two linked sets share as many signature shingles as the depth of the smaller, under any order."""
+    import numpy as np
+
+    classes = np.array([rng.randrange(3) for _ in range(64)], np.uint8).repeat(ngramjoin.SKETCH // 64)
+    whole = np.array(sorted({rng.randrange(1 << 64) for _ in range(rng.choice([4, 9, 30, 150]))}), np.uint64)
+    pick = lambda: whole[np.array([rng.random() > 0.08 for _ in whole])]
+    a, b = pick(), pick()
+    common = len(np.intersect1d(a, b))
+    if len(a) and len(b) and not np.array_equal(a, b) and 100 * common >= 80 * (len(a) + len(b) - common):
+        few = min(len(a), len(b))
+        depth = min(-(-80 * few // 100), max(ngramjoin.LEAST_DEPTH, few // ngramjoin.DEPTH_SHARE))
+        assert len(np.intersect1d(*(ngramjoin.signature(s, classes, 80) for s in (a, b)))) >= depth
+
+
 @pytest.mark.parametrize("n", [40, 120])
 def test_jaccard_of_one_large_group(spark, n):
     rng = random.Random(n)

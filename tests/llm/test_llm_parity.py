@@ -15,6 +15,11 @@ def test_query(spark, name):
     assert difference(q.queries()[name](spark, SF), connect(SF).sql(q.oracle_sql()[name])) is None
 
 
+def test_jaccard_join_at_the_next_size(spark):
+    sf = "/root/testdata/sf0.01"
+    assert difference(q.queries()["op10_ngram_jaccard_join"](spark, sf), connect(sf).sql(q.oracle_sql()["op10_ngram_jaccard_join"])) is None
+
+
 def test_all_are_registered():
     import __spark_entry__ as entry
 
