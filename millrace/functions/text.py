@@ -101,18 +101,36 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-#: Named character references that plain-text fields hold.
+#: Named character references that plain-text fields hold; &amp; comes last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+_NUMERIC = r"(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};)"
+
+
+def numeric_references(c: Column) -> Column:
+    """Numeric character references decoded; those of no character stay as they are. Only texts that hold one are cut up."""
+    parts = F.split(F.regexp_replace(c, _NUMERIC, "\u0000$1\u0000"), "\u0000")
+    number = lambda x: F.when(
+        x.rlike("^&#[xX]"), F.conv(F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10)
+    ).otherwise(F.regexp_extract(x, "^&#([0-9]+);$", 1)).try_cast("int")
+    valid = lambda n: ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n < 0x110000))
+    utf32 = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+    decoded = F.transform(parts, lambda x: F.when(x.rlike(f"^{_NUMERIC}$") & valid(number(x)), utf32(number(x))).otherwise(x))
+    return F.when(c.rlike(_NUMERIC), F.array_join(decoded, "")).otherwise(c)
 
 
 def stripped_html(c: Column) -> Column:
-    """Text without tags, common references decoded, white space collapsed."""
-    out = F.regexp_replace(c, "<[^>]+>", " ")
+    """Text without tags, common and numeric references decoded, white space collapsed."""
+    out = numeric_references(F.regexp_replace(c, "<[^>]+>", " "))
     for name, plain in ENTITIES:
         out = F.replace(out, F.lit(name), F.lit(plain))
     return collapsed(out)
 
 
+def context_text(html: Column, at_most: int = 12_000) -> Column:
+    """The text of a page for a model's context, which has a limit."""
+    return F.substring(stripped_html(html), 1, at_most)
+
+
 def first_sentence(c: Column) -> Column:
     """Up to the first `.`, `!` or `?` that white space follows."""
     return F.element_at(F.split(F.trim(c), r"(?<=[.!?])\s+", 2), 1)
@@ -148,3 +166,63 @@ def low_information(verdict: Column, phrases: tuple[str, ...], prefixes: tuple[s
     for p in prefixes:
         out = out | text.startswith(p)
     return out
+
+
+#: Phrases that name a developer, and the form of an address.
+NAMED_BY = r"\bby\s+([A-Z][\w .,&-]{1,80})"
+MADE_BY = r"\bMade by\s+(.+?)(?:\s+Play video|\s+Capabilities|\s+Category|$)"
+ADDRESS = r"(https?://[^\s)]+)"
+
+
+def captured(c: Column, *patterns: str) -> Column:
+    """The first group of the first pattern that the text has, trimmed; empty without any."""
+    each = (F.nullif(F.trim(F.regexp_extract(c, p, 1)), F.lit("")) for p in patterns)
+    return F.coalesce(*each, F.lit(""))
+
+
+def developer_named(c: Column) -> Column:
+    return captured(c, MADE_BY, NAMED_BY)
+
+
+def first_address(c: Column) -> Column:
+    return captured(c, ADDRESS)
+
+
+def url_quoted(c: Column) -> Column:
+    """Percent-encoded for a path; a slash stays, a space is %20."""
+    out = F.url_encode(c)
+    for code, plain in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        out = F.replace(out, F.lit(code), F.lit(plain))
+    return out
+
+
+def percent_label(c: Column, digits: int = 1) -> Column:
+    """A share as text: 0.256 is 25.6%; null is a dash."""
+    return F.coalesce(F.concat(F.format_number(c * 100, digits), F.lit("%")), F.lit("—"))
+
+
+def day_label(ts: Column) -> Column:
+    """A time as 05 Jan 2024."""
+    return F.date_format(ts, "dd MMM yyyy")
+
+
+def iso_label(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+#: Endings of English words: the pattern of a word with one, and what stays of it.
+ENDINGS = (
+    ("^(.*[^aeiou])ies$", "$1y"),
+    ("^(.*(?:ss|x|z|ch|sh))es$", "$1"),
+    ("^(.*[^su])s$", "$1"),
+    ("^(.*[aeiouy].*[^aeiou])ing$", "$1"),
+    ("^(.*[aeiouy].*[^aeiou])ed$", "$1"),
+)
+
+
+def stemmed(word: Column) -> Column:
+    """A lower-case word without plural, -ing and -ed endings; words of three letters and less stay. Index and query use the same."""
+    out = word
+    for pattern, kept in ENDINGS:
+        out = F.regexp_replace(out, pattern, kept)
+    return F.when(F.length(word) > 3, out).otherwise(word)

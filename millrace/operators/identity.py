@@ -6,7 +6,7 @@ import difflib
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import domain, repo_identity, slugify, url_identity
@@ -18,13 +18,15 @@ URLS = ("developer_url", "official_page_url", "install_url", "repo_url", "offici
 
 
 def name_ratio(a: Column, b: Column) -> Column:
-    """The matching-block ratio of two names. No built-in has it; names are short and come in Arrow batches."""
+    """The matching-block ratio of two names. No built-in has it; names are short and come in Arrow batches.
+
+    Spark takes it for non-deterministic, so that a filter on the ratio does not have it worked out again."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, (p or "").lower().strip(), (q or "").lower().strip()).ratio() if p and q else 0.0 for p, q in zip(x, y)])
 
-    return ratio(a, b)
+    return ratio.asNondeterministic()(a, b)
 
 
 def _pieces(name: str, least: float) -> tuple[list[str], list[str]]:
@@ -110,3 +112,25 @@ def one_primary(rows: DataFrame, owner: str) -> DataFrame:
     """rows (id, is_primary) so that each owner keeps one primary row at most: the first that was one."""
     firsts = rows.where("is_primary").groupBy(owner).agg(F.min("id").alias("_first"))
     return rows.join(firsts, owner, "left").withColumn("is_primary", F.coalesce(F.col("id") == F.col("_first"), F.lit(False))).drop("_first")
+
+
+def unique_slugs(records: DataFrame, key: str, base: str, size: int = 200) -> DataFrame:
+    """(key, slug): the first record of a base slug has it as it is, the others get -2, -3 and so on, without the numbers
+    that make another base slug; the base is cut so that the number fits in `size`."""
+    place = F.row_number().over(Window.partitionBy(base).orderBy(key))
+    placed = records.select(key, F.coalesce(F.nullif(F.col(base), F.lit("")), F.lit("app")).alias(base)).withColumn("_i", place)
+    end = F.regexp_extract(base, r"^(.+)-([1-9][0-9]{0,8})$", 2)
+    taken = placed.where("_i = 1").select(F.regexp_extract(base, r"^(.+)-([1-9][0-9]{0,8})$", 1).alias(base), F.try_to_number(end, F.lit("999999999")).cast("int").alias("_n"))
+    taken = taken.where("_n is not null").groupBy(base).agg(F.array_sort(F.collect_set("_n")).alias("_taken"))
+    both = placed.join(taken, base, "left")
+    number = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_i"), lambda i, n: F.when((n > 1) & (n <= i), i + 1).otherwise(i))
+    numbered = F.concat_ws("-", F.substr(base, F.lit(1), size - 1 - F.length(number.cast("string"))), number)
+    return both.select(key, F.when(F.col("_i") == 1, F.col(base)).otherwise(numbered).alias("slug"))
+
+
+def shared_domains(left: DataFrame, right: DataFrame, a: str, b: str, urls: tuple[str, ...] = URLS, ignored: tuple[str, ...] = ()) -> DataFrame:
+    """(a, b, domains) of records with a common domain in any address, but for ignored ones (hosts of many makers)."""
+    each = lambda df, key: df.select(key, F.explode(F.array_distinct(F.array(*(domain(F.col(u)) for u in urls)))).alias("_d")).where(
+        (F.col("_d") != "") & ~F.col("_d").isin(*ignored)
+    )
+    return each(left, a).join(each(right, b), "_d").groupBy(a, b).agg(F.array_sort(F.collect_set("_d")).alias("domains"))

@@ -56,6 +56,15 @@ def budget_latches(costs: DataFrame, budget: Column, at: str, order: str, cost:
     return days.groupBy("month").agg(F.sum("spent").alias("total")).join(stamps, "month", "left")
 
 
+def budget_gates(months: DataFrame, total: str, budget: str) -> DataFrame:
+    """months with the utilization of the budget and two gates: hard_stopped, and the weaker discovery_disabled. Without a
+    budget (null or 0) there is no utilization and no gate."""
+    has = F.coalesce(F.col(budget) > 0, F.lit(False))
+    reached = lambda share: has & F.coalesce(F.col(total) >= F.col(budget) * F.lit(share).cast("decimal(4,2)"), F.lit(False))
+    used = F.when(has, F.round(F.col(total).cast("double") / F.col(budget), 4))
+    return months.withColumns({"utilization": used, "hard_stopped": reached(1.0), "discovery_disabled": reached(0.8)})
+
+
 def throttled(requests: DataFrame, key: str, at: str, order: str, interval_us: int) -> DataFrame:
     """requests with start_us: when each may start if starts of a key are an interval apart.
 

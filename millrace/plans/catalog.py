@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import rank, relational as rel
+from ..operators import editorial, rank, relational as rel
 from ..tables import Tables, published, published_loose
 from . import views
 from .registry import AS_OF_TEXT, as_of, query
@@ -157,34 +157,26 @@ def exists_probe(t: Tables) -> DataFrame:
     return t.nation.join(rich, "n_nationkey", "left").select("n_nationkey", F.coalesce("r", F.lit(False)).alias("has_rich"))
 
 
-@query(
-    """WITH b AS (SELECT DISTINCT l_partkey AS app, l_suppkey AS s FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-06-01'),
+_SIMILAR = """WITH b AS (SELECT DISTINCT l_partkey AS app, l_suppkey AS s FROM lineitem),
     p AS (SELECT DISTINCT x.app AS app_id, y.app AS other FROM b x JOIN b y USING (s) WHERE x.app <> y.app),
     r AS (SELECT app_id, other, CAST(row_number() OVER (PARTITION BY app_id ORDER BY p_size DESC, other) AS INTEGER) AS rank FROM p JOIN part ON p_partkey = other)
     SELECT * FROM r WHERE rank <= 6"""
-)
-def similar_items_top6(t: Tables) -> DataFrame:
-    """As similar_items_top6_all, over the links of late lines."""
-    return _similar(t, t.lineitem.where(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz")))
 
 
-@query(
-    """WITH b AS (SELECT DISTINCT l_partkey AS app, l_suppkey AS s FROM lineitem),
-    p AS (SELECT DISTINCT x.app AS app_id, y.app AS other FROM b x JOIN b y USING (s) WHERE x.app <> y.app),
-    r AS (SELECT app_id, other, CAST(row_number() OVER (PARTITION BY app_id ORDER BY p_size DESC, other) AS INTEGER) AS rank FROM p JOIN part ON p_partkey = other)
-    SELECT * FROM r WHERE rank <= 6"""
-)
-def similar_items_top6_all(t: Tables) -> DataFrame:
-    """For each app the six best others that share a platform."""
-    return _similar(t, t.lineitem)
-
-
-def _similar(t: Tables, lines: DataFrame) -> DataFrame:
+@query(_SIMILAR)
+def similar_items_top6(t: Tables) -> DataFrame:
+    """For each app the six best others that share a platform, over all links."""
     sizes = t.part.select(F.col("p_partkey").alias("app_id"), "p_size")
-    links = lines.select(F.col("l_partkey").alias("app_id"), F.col("l_suppkey").alias("platform_id")).distinct().join(sizes, "app_id")
+    links = t.lineitem.select(F.col("l_partkey").alias("app_id"), F.col("l_suppkey").alias("platform_id")).distinct().join(sizes, "app_id")
     return rel.related_top(links, "app_id", "platform_id", 6, "-p_size")
 
 
+@query(_SIMILAR)
+def similar_items_top6_all(t: Tables) -> DataFrame:
+    """The earlier name of similar_items_top6, when that was cut by date."""
+    return similar_items_top6(t)
+
+
 @query(
     """SELECT l_suppkey AS platform_id, p_type AS category, count(DISTINCT l_partkey) AS n_apps FROM lineitem JOIN part ON p_partkey = l_partkey
     GROUP BY ALL HAVING count(DISTINCT l_partkey) >= 3"""
@@ -342,3 +334,48 @@ def slug_dispatch(t: Tables) -> DataFrame:
     categories = t.part.where(F.col("p_type").isin("ECONOMY", "SMALL")).select(F.col("p_type").alias("slug")).distinct().withColumn("c", F.lit(True))
     slugs = t.part.select(F.col("p_type").alias("slug")).distinct()
     return slugs.join(categories, "slug", "left").select("slug", F.when(F.col("c"), "category").otherwise("app").alias("kind"))
+
+
+_POSTS = """WITH p AS (SELECT o_orderkey AS post_id, CASE o_orderstatus WHEN 'P' THEN 'draft' ELSE 'published' END AS status, o_orderpriority AS post_type, o_orderdate AS published_at,
+  CASE WHEN o_orderkey % 5 = 0 THEN o_orderdate + INTERVAL 40 DAY END AS featured_until FROM orders),
+g AS (SELECT DISTINCT l_orderkey AS post_id, l_suppkey AS tag FROM lineitem)
+"""
+_POST_TIME = "2001-06-01"
+
+
+def _posts(t: Tables) -> tuple[DataFrame, DataFrame, Column]:
+    until = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderdate") + F.make_dt_interval(F.lit(40)))
+    posts = t.orders.select(
+        F.col("o_orderkey").alias("post_id"), F.when(F.col("o_orderstatus") == "P", "draft").otherwise("published").alias("status"), F.col("o_orderpriority").alias("post_type"),
+        F.col("o_orderdate").alias("published_at"), until.alias("featured_until"),
+    )
+    return posts, t.lineitem.select(F.col("l_orderkey").alias("post_id"), F.col("l_suppkey").alias("tag")), F.lit(_POST_TIME).cast("timestamp_ntz")
+
+
+@query(_POSTS + f"SELECT post_id FROM p WHERE status = 'published' AND published_at <= TIMESTAMP '{_POST_TIME}' AND post_type = '1-URGENT' AND post_id IN (SELECT post_id FROM g WHERE tag = 7)")
+def posts_listed(t: Tables) -> DataFrame:
+    posts, tags, now = _posts(t)
+    return editorial.listed(posts, tags, now, 7, "1-URGENT").select("post_id")
+
+
+@query(_POSTS + f"SELECT post_id, published_at FROM p WHERE status = 'published' AND featured_until > TIMESTAMP '{_POST_TIME}' ORDER BY published_at DESC, post_id LIMIT 5")
+def posts_featured(t: Tables) -> DataFrame:
+    posts, _, now = _posts(t)
+    return editorial.featured(posts, now).select("post_id", "published_at")
+
+
+@query(
+    _POSTS
+    + f""", v AS (SELECT * FROM p WHERE status = 'published' AND published_at <= TIMESTAMP '{_POST_TIME}'),
+    b AS (SELECT post_type, post_id AS other, row_number() OVER (PARTITION BY post_type ORDER BY published_at DESC, post_id) AS r FROM v QUALIFY r <= 4)
+    SELECT v.post_id, other, CAST(row_number() OVER (PARTITION BY v.post_id ORDER BY r) AS INTEGER) AS rank FROM v JOIN b ON v.post_type = b.post_type AND post_id <> other QUALIFY rank <= 3"""
+)
+def posts_related(t: Tables) -> DataFrame:
+    posts, _, now = _posts(t)
+    return editorial.related(posts, now)
+
+
+@query(_POSTS + "SELECT tag, count(*) AS n_posts FROM g WHERE post_id IN (SELECT post_id FROM p WHERE status = 'published') GROUP BY tag ORDER BY n_posts DESC, tag LIMIT 10")
+def tags_popular(t: Tables) -> DataFrame:
+    posts, tags, _ = _posts(t)
+    return editorial.popular_tags(posts, tags)

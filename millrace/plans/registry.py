@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import configure
 from ..tables import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,9 +26,7 @@ def query(sql: str | None = None):
 
     def register(fn: Callable[[Tables], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
-            return fn(Tables(spark, sf_dir))
+            return fn(Tables(configure(spark), sf_dir))
 
         run.__doc__ = fn.__doc__
         QUERIES[fn.__name__] = run
@@ -39,7 +38,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalog, ingest, reports, rules, state, text, trust  # noqa: F401  they register themselves
+    from . import applied, catalog, ingest, reports, rules, state, text, trust  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 

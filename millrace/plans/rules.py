@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import difflib
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import named_failures
@@ -143,15 +145,42 @@ def weak_top5(t: Tables) -> DataFrame:
     return identity.weak_matches(pairs, "id1", "id2", F.col("p_name2"), F.col("p_name1"), same).select("id1", "id2", "score", "rank")
 
 
+def _alike() -> str:
+    """Rows of SQL: names of drafts and of apps with a ratio of STRONG or more."""
+    nouns = ("ring", "bolt", "widget", "plate", "rod", "anvil", "gear", "gizmo")
+    names = [f"{a} {b}" for a in ("blue", "red", "cold", "small", "hot", "old", "new", "large") for b in nouns]
+    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
+    return ", ".join(f"('{d}', '{a}')" for d in (f"{x} ring" for x in _DRAFTED) for a in names if ratio(a, d) >= identity.STRONG)
+
+
+_DRAFTED = ("small", "red", "blue", "hot", "green", "cold")
+
+
 @query(
-    """WITH d AS (SELECT c_custkey AS draft_id, 'Brand#' || (c_custkey % 30) AS dev, ['small','red','blue','hot','green'][c_custkey % 5 + 1] || ' ring' AS name FROM customer WHERE c_custkey < 300),
-    k AS (SELECT draft_id, p_partkey AS app_id, 4 AS kind, p_size FROM d JOIN part ON p_name = d.name),
-    r AS (SELECT *, row_number() OVER (PARTITION BY draft_id ORDER BY p_size DESC, app_id, kind) AS r FROM k)
+    f"""WITH alike(dn, an) AS (VALUES {_alike()}),
+    d AS (SELECT c_custkey AS draft_id, c_custkey % 4 AS m, {list(_DRAFTED)}[c_custkey % 6 + 1] || ' ring' AS dn, c_custkey AS k FROM customer),
+    a AS (SELECT p_partkey AS app_id, p_partkey % 4 AS m, p_name AS an, p_partkey AS k, p_size FROM part),
+    x AS (SELECT draft_id, app_id, p_size, 1 AS kind FROM d JOIN a ON d.m = 0 AND a.m = 0 AND d.k % 50 = a.k % 50
+      UNION ALL SELECT draft_id, app_id, p_size, 2 FROM d JOIN a ON d.m = 1 AND a.m = 1 AND d.k % 70 = a.k % 70
+      UNION ALL SELECT draft_id, app_id, p_size, 3 FROM d JOIN a ON d.m = 2 AND a.m = 2 AND d.k % 25 = a.k % 25 JOIN alike USING (dn, an)
+      UNION ALL SELECT draft_id, app_id, p_size, 4 FROM d JOIN a ON dn = an),
+    r AS (SELECT *, row_number() OVER (PARTITION BY draft_id ORDER BY p_size DESC, app_id, kind) AS r FROM x)
     SELECT draft_id, app_id, kind FROM r WHERE r = 1"""
 )
 def first_match_wins(t: Tables) -> DataFrame:
-    """Drafts against apps, as first_match_wins_all, for the first drafts."""
-    return _first_matches(t, t.customer.where("c_custkey < 300"))
+    """All drafts against apps: the first app by quality that shares a repository, an address, the developer's domain and a
+    similar name, or a slug."""
+
+    def addresses(key: Column, repo: str, page: str, home: str, variant: str) -> dict[str, Column]:
+        of = lambda m, n, head, tail: F.when(key % 4 == m, F.concat(F.lit(head), (key % n).cast("string"), F.lit(tail))).otherwise("")
+        none = {c: F.lit("") for c in identity.URLS}
+        return none | {"repo_url": of(0, 50, repo, "/" + variant), "official_page_url": of(1, 70, page, ".example/Path/"), "developer_url": of(2, 25, "https://dev", home)}
+
+    own, key = F.col("c_custkey"), F.col("p_partkey")
+    name = F.concat(F.element_at(F.array(*map(F.lit, _DRAFTED)), (own % 6 + 1).cast("int")), F.lit(" ring"))
+    drafts = t.customer.select(own.alias("draft_id"), name.alias("name"), F.lit("").alias("slug_hint"), *(v.alias(c) for c, v in addresses(own, "https://github.com/Org", "https://www.site", ".example/team", "tool.git").items()))
+    apps = t.part.select(key.alias("app_id"), F.col("p_name").alias("name"), F.lit("").alias("slug_hint"), "p_size", *(v.alias(c) for c, v in addresses(key, "http://github.com/org", "http://site", ".example/", "Tool/issues").items()))
+    return identity.strong_matches(drafts, apps, [F.desc("p_size")])
 
 
 @query(
@@ -160,14 +189,10 @@ def first_match_wins(t: Tables) -> DataFrame:
     SELECT draft_id, app_id, kind FROM d JOIN b USING (name)"""
 )
 def first_match_wins_all(t: Tables) -> DataFrame:
-    """All drafts against apps: the first app by quality that shares an identity key."""
-    return _first_matches(t, t.customer)
-
-
-def _first_matches(t: Tables, customers: DataFrame) -> DataFrame:
+    """All drafts against apps by slugs alone."""
     none = {c: F.lit("") for c in identity.URLS}
-    first = F.element_at(F.array(*map(F.lit, ("small", "red", "blue", "hot", "green"))), (F.col("c_custkey") % 5 + 1).cast("int"))
-    drafts = customers.select(F.col("c_custkey").alias("draft_id"), F.concat(first, F.lit(" ring")).alias("name"), F.lit("").alias("slug_hint"))
+    first = F.element_at(F.array(*map(F.lit, _DRAFTED)), (F.col("c_custkey") % 5 + 1).cast("int"))
+    drafts = t.customer.select(F.col("c_custkey").alias("draft_id"), F.concat(first, F.lit(" ring")).alias("name"), F.lit("").alias("slug_hint"))
     apps = t.part.select(F.col("p_partkey").alias("app_id"), F.col("p_name").alias("name"), F.lit("").alias("slug_hint"), "p_size")
     return identity.strong_matches(drafts.withColumns(none), apps.withColumns(none), [F.desc("p_size")])
 
@@ -335,3 +360,88 @@ def queue_conflicts(t: Tables) -> DataFrame:
 def trust_badges(t: Tables) -> DataFrame:
     flags = (F.when(F.col("c_nationkey") < 5, "official"), F.when(F.col("c_acctbal") > 5000, "reviewed"), F.when(F.col("c_mktsegment") == "BUILDING", "claimed"))
     return t.customer.select("c_custkey", F.concat_ws(",", rules.badges(*(F.coalesce(f, F.lit("")) for f in flags))).alias("badges"))
+
+
+_AUTO = """WITH c AS (SELECT l_partkey AS k, count(DISTINCT l_suppkey) AS n_platforms, count(DISTINCT l_linenumber) FILTER (l_returnflag <> 'N') AS n_caps, count(*) FILTER (l_quantity > 49) AS n_bad,
+  bool_or(l_suppkey % 50 = 0) AS reg FROM lineitem GROUP BY ALL),
+f AS (SELECT p_partkey, p_size, p_partkey % 10 = 0 AS trusted, length(p_name) * 5 AS s, CASE WHEN p_size % 4 = 0 THEN 0 ELSE length(p_name) * 6 END AS l, p_type, p_brand,
+  coalesce(n_platforms, 0) AS n_platforms, coalesce(n_caps, 0) AS n_caps, coalesce(n_bad, 0) AS n_bad, coalesce(reg, false) AS reg FROM part LEFT JOIN c ON k = p_partkey)
+"""
+
+
+@query(
+    _AUTO
+    + """SELECT p_partkey AS app_id, concat_ws(',', CASE WHEN reg THEN 'mcp_source_requires_include_mcp' END, CASE WHEN p_size = 50 THEN 'mcp_platform_requires_include_mcp' END,
+    CASE WHEN p_type = 'PROMO' THEN 'mcp_listing_type_requires_include_mcp' END, CASE WHEN trusted AND s < 20 THEN 'short_description_lt_20' END,
+    CASE WHEN trusted AND s < 60 AND l < 60 THEN 'long_description_lt_60' END, CASE WHEN NOT trusted AND s < 60 THEN 'short_description_lt_60' END,
+    CASE WHEN l = 0 THEN 'long_description_required' END, CASE WHEN p_size % 9 = 0 THEN 'listing_type_required' END, CASE WHEN n_platforms = 0 THEN 'platform_required' END,
+    CASE WHEN p_size % 8 = 0 THEN 'category_required' END, CASE WHEN trusted AND n_caps < 2 THEN 'explicit_capabilities_lt_2' END, CASE WHEN NOT trusted AND n_caps < 3 THEN 'explicit_capabilities_lt_3' END,
+    CASE WHEN p_size % 7 = 0 THEN 'official_or_install_url_required' END, CASE WHEN p_size % 3 = 0 THEN 'platform_verification_unknown' END,
+    CASE WHEN p_size % 3 = 1 AND p_size % 2 = 0 THEN 'official_directory_url_required' END, CASE WHEN p_brand = 'Brand#1' THEN 'deprecated_launch_status' END,
+    CASE WHEN n_bad > 0 THEN 'link_health_failures' END, CASE WHEN p_size % 11 = 0 THEN 'pending_duplicate_candidate' END) AS blockers FROM f"""
+)
+def autopublish_blockers(t: Tables) -> DataFrame:
+    """The library's rules over parts joined with counts of their lines."""
+    line = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(
+        F.count_distinct("l_suppkey").alias("n_platforms"),
+        F.count_distinct(F.when(F.col("l_returnflag") != "N", F.col("l_linenumber"))).alias("n_capabilities"),
+        F.count_if(F.col("l_quantity") > 49).alias("n_failing_links"),
+        F.bool_or(F.col("l_suppkey") % 50 == 0).alias("reg"),
+    )
+    size = F.col("p_size")
+    filler = lambda n: F.repeat(F.lit("x"), n.cast("int"))
+    facts = t.part.join(line, "p_partkey", "left").select(
+        F.col("p_partkey").alias("app_id"),
+        F.coalesce("reg", F.lit(False)).alias("has_registry_source"),
+        (size == 50).alias("on_registry_platform"),
+        (F.col("p_type") == "PROMO").alias("is_registry_type"),
+        (F.col("p_partkey") % 10 == 0).alias("trusted"),
+        filler(F.length("p_name") * 5).alias("short_description"),
+        F.when(size % 4 == 0, "").otherwise(filler(F.length("p_name") * 6)).alias("long_description"),
+        F.when(size % 9 == 0, 0).otherwise(1).alias("n_types"),
+        "n_platforms",
+        F.when(size % 8 == 0, 0).otherwise(1).alias("n_categories"),
+        "n_capabilities",
+        F.when(size % 7 == 0, "").otherwise("https://a.example").alias("official_page_url"),
+        F.lit("").alias("install_url"),
+        F.when(size % 3 == 0, "unknown").when(size % 3 == 1, "official").otherwise("listed").alias("verification"),
+        (size % 2 == 1).alias("has_directory_url"),
+        F.when(F.col("p_brand") == "Brand#1", "deprecated").otherwise("live").alias("launch_status"),
+        "n_failing_links",
+        F.when(size % 11 == 0, 1).otherwise(0).alias("n_pending_duplicates"),
+    )
+    return rules.decided(facts, rules.autopublish_rules()).select("app_id", F.concat_ws(",", "blockers").alias("blockers"))
+
+
+@query(
+    """WITH e AS (SELECT o_custkey AS k, o_orderkey AS id, o_orderpriority LIKE '1%' AS odd, CASE o_orderstatus WHEN 'F' THEN 'verdict ' || (o_orderkey % 2) WHEN 'O' THEN 'x' ELSE '' END AS v,
+      CASE o_orderkey % 9 WHEN 0 THEN 'free' WHEN 1 THEN 'paid' WHEN 2 THEN 'odd' ELSE '' END AS p, CASE o_orderkey % 13 WHEN 0 THEN 'deprecated' WHEN 1 THEN 'beta' WHEN 2 THEN 'none' WHEN 3 THEN 'live' ELSE '' END AS s,
+      o_orderkey % 31 = 0 AS skipped FROM orders),
+    a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 = 0 THEN 'verdict 1' ELSE '' END AS av, CASE WHEN c_custkey % 3 = 0 THEN 'free' ELSE 'unknown' END AS ap FROM customer),
+    b AS (SELECT * FROM e JOIN a USING (k)),
+    f AS (SELECT k, min(id) FILTER (NOT odd AND av = '' AND length(v) > 3) AS vi, min(id) FILTER (NOT odd AND ap = 'unknown' AND p IN ('free', 'paid')) AS pi FROM b GROUP BY k),
+    g AS (SELECT f.*, x.v AS fv, y.p AS fp FROM f LEFT JOIN b x ON x.id = vi AND x.k = f.k LEFT JOIN b y ON y.id = pi AND y.k = f.k),
+    c AS (SELECT b.k, unnest([CASE WHEN odd THEN 'unsafe_review_kind:other' END, CASE WHEN NOT odd AND skipped THEN 'review_has_skipped_updates' END,
+      CASE WHEN NOT odd AND av <> '' AND v <> '' AND v <> av THEN 'review_would_overwrite_verdict' END, CASE WHEN NOT odd AND av = '' AND v <> '' AND id > vi AND v <> fv THEN 'review_conflicting_verdict' END,
+      CASE WHEN NOT odd AND s = 'none' THEN 'invalid_launch_status' END, CASE WHEN NOT odd AND s = 'deprecated' THEN 'review_proposes_deprecated' END,
+      CASE WHEN NOT odd AND s = 'beta' THEN 'review_would_change_launch_status' END, CASE WHEN NOT odd AND p = 'odd' THEN 'invalid_pricing_model' END,
+      CASE WHEN NOT odd AND p IN ('free', 'paid') AND p <> ap AND ap <> 'unknown' THEN 'review_would_overwrite_pricing_model' END,
+      CASE WHEN NOT odd AND p IN ('free', 'paid') AND ap = 'unknown' AND id > pi AND p <> fp THEN 'review_conflicting_pricing_model' END]) AS code FROM b JOIN g USING (k))
+    SELECT g.k AS app_id, coalesce((SELECT string_agg(DISTINCT code, ',' ORDER BY code) FROM c WHERE c.k = g.k), '') AS blockers, fv AS verdict, fp AS pricing_model FROM g"""
+)
+def review_plans(t: Tables) -> DataFrame:
+    """Orders as review entries of customers."""
+    key, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    entries = t.orders.select(
+        F.col("o_custkey").alias("app_id"),
+        key.alias("entry_id"),
+        F.when(F.col("o_orderpriority").startswith("1"), "other").otherwise("enriched").alias("kind"),
+        (key % 31 == 0).alias("skipped"),
+        F.when(status == "F", F.concat(F.lit("verdict "), key % 2)).when(status == "O", "x").alias("verdict"),
+        F.when(key % 13 == 0, "deprecated").when(key % 13 == 1, "beta").when(key % 13 == 2, "none").when(key % 13 == 3, "live").alias("launch_status"),
+        F.when(key % 9 == 0, "free").when(key % 9 == 1, "paid").when(key % 9 == 2, "odd").alias("pricing_model"),
+    )
+    own = F.col("c_custkey")
+    apps = t.customer.select(own.alias("app_id"), F.when(own % 4 == 0, "verdict 1").otherwise("").alias("verdict"), F.lit("live").alias("launch_status"), F.when(own % 3 == 0, "free").otherwise("unknown").alias("pricing_model"))
+    plans = rules.review_plans(entries, apps, ("live", "beta", "deprecated"), ("free", "paid", "unknown"), F.length("verdict") > 3)
+    return plans.select("app_id", F.concat_ws(",", "blockers").alias("blockers"), "verdict", "pricing_model")

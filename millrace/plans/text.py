@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import relational as rel, search
+from ..operators import relational as rel, search, trust
 from ..operators.identity import WEAK, close_pairs, name_ratio
-from ..sources.html_directory import cards
+from ..operators.identity import unique_slugs as unique
+from ..sources.html_directory import cards, detail_drafts, details, first_seen_cards, with_details
 from ..tables import Tables
 from . import views
 from .registry import query
@@ -34,11 +35,7 @@ def slugify_names(t: Tables) -> DataFrame:
 )
 def unique_slugs(t: Tables) -> DataFrame:
     """A number after the second and later apps of a slug; a group of one slug is ordered by Spark's external sort."""
-    from pyspark.sql import Window
-
-    named = t.part.select(F.col("p_partkey").alias("app_id"), tx.slugify(F.col("p_name")).alias("base"))
-    i = F.row_number().over(Window.partitionBy("base").orderBy("app_id"))
-    return named.withColumn("i", i).select("app_id", F.when(F.col("i") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", "i")).alias("slug"))
+    return unique(t.part.select(F.col("p_partkey").alias("app_id"), tx.slugify(F.col("p_name")).alias("base")), "app_id", "base")
 
 
 @query(
@@ -126,6 +123,107 @@ def suggestions_merge(t: Tables) -> DataFrame:
     return rel.merged_suggestions([rank(popular.orderBy("text").limit(8), F.asc("text")), rank(names.orderBy(F.desc("text")).limit(16), F.desc("text"))], "text", "place", 8)
 
 
+_STEM = "lexeme"
+for _pattern, _kept in tx.ENDINGS:
+    _STEM = f"regexp_replace({_STEM}, '{_pattern}', '{_kept.replace('$', chr(92))}')"
+_STEMMED = f"""WITH w AS (SELECT doc_id AS id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS lexeme, 0.4::DOUBLE AS weight FROM documents
+  UNION ALL SELECT doc_id, unnest(string_split_regex(lower(lang || ' ' || source), '[^a-z0-9]+')), 0.1::DOUBLE FROM documents),
+i AS (SELECT id, CASE WHEN length(lexeme) > 3 THEN {_STEM} ELSE lexeme END AS lexeme, max(weight) AS weight FROM w WHERE lexeme <> '' AND lexeme NOT IN ({_STOP}) GROUP BY ALL)
+"""
+
+
+@query(_STEMMED + "SELECT id, count(*) AS n_lexemes, round(sum(weight), 4) AS total FROM i GROUP BY id")
+def fts_stemmed_postings(t: Tables) -> DataFrame:
+    return _stemmed(t).groupBy("id").agg(F.count("*").alias("n_lexemes"), F.round(F.sum("weight"), 4).alias("total"))
+
+
+@query(_STEMMED + "SELECT id, round(sum(weight), 6) AS rank FROM i WHERE lexeme IN ('src1', 'er') GROUP BY id HAVING count(*) = 2")
+def fts_stemmed_match(t: Tables) -> DataFrame:
+    """A query whose words and those of the texts are stemmed alike, with the least weight class too."""
+    return search.match(_stemmed(t), "id", "SRC1 ering", stems=True)
+
+
+def _stemmed(t: Tables) -> DataFrame:
+    docs = t.documents.select(F.col("doc_id").alias("id"), F.col("text").alias("b"), F.concat_ws(" ", "lang", "source").alias("d"))
+    return search.postings(docs, "id", {"B": ["b"], "D": ["d"]}, stems=True)
+
+
+@query("SELECT p_partkey AS app_id, p_name AS name, CAST(least(100, p_size * 2) AS INTEGER) AS quality_score FROM part ORDER BY quality_score DESC, -p_partkey DESC, app_id LIMIT 24")
+def search_sorted(t: Tables) -> DataFrame:
+    """A page by the default order: quality, then newest (the greatest number here), whatever the query."""
+    found = views.apps(t).withColumns({"first_seen_at": -F.col("app_id"), "rank": F.lit(1.0)})
+    return rel.top(found, 24, *search.sort_order("relevance")).select("app_id", "name", F.col("quality_score").cast("int").alias("quality_score"))
+
+
+@query(
+    """SELECT doc_id, regexp_extract(text, '\\bby\\s+([A-Z][\\w .,&-]{1,80})', 1) AS developer, regexp_extract(text, '(https?://[^\\s)]+)', 1) AS address FROM documents"""
+)
+def captured_groups(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", tx.captured(F.col("text"), tx.NAMED_BY).alias("developer"), tx.first_address(F.col("text")).alias("address"))
+
+
+@query(
+    """SELECT o_orderkey, strftime(o_orderdate, '%d %b %Y') AS day, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso,
+    'https://r.example/servers/' || replace(o_orderpriority, ' ', '%20') AS address FROM orders"""
+)
+def display_labels(t: Tables) -> DataFrame:
+    at = F.col("o_orderdate")
+    address = F.concat(F.lit("https://r.example/servers/"), tx.url_quoted(F.col("o_orderpriority")))
+    return t.orders.select("o_orderkey", tx.day_label(at).alias("day"), tx.iso_label(at).alias("iso"), address.alias("address"))
+
+
+_DIRECTORY = """WITH c AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand, p_type AS type, p_size AS size, 'https://d.example/apps/' || p_partkey AS detail_url FROM part)
+"""
+
+
+def _listing(t: Tables) -> DataFrame:
+    """Pages of a directory made of parts: ten cards a page, the first card of a page once more on the one before it."""
+    k = F.col("p_partkey")
+    card = F.concat(F.lit('<a href="/apps/'), k, F.lit('" data-description="a '), "p_type", F.lit('">'), "p_name", F.lit("</a>"))
+    both = t.part.select(k.alias("k"), card.alias("card"), F.explode(F.array((k / 10).cast("bigint"), ((k - 1) / 10).cast("bigint"))).alias("page"))
+    pages = both.distinct().groupBy("page").agg(F.array_sort(F.collect_list(F.struct("k", "card"))).alias("c"))
+    return pages.select("page", F.lit("https://d.example/list?p=1").alias("url"), F.array_join(F.transform("c", lambda x: x["card"]), "\n").alias("html"))
+
+
+@query(_DIRECTORY + "SELECT detail_url, name, 'a ' || type AS summary, (k - 1) // 10 AS page FROM c")
+def directory_cards(t: Tables) -> DataFrame:
+    """Cards of all pages, each once, from the first page that lists it."""
+    listed = cards(_listing(t), "page").withColumn("slug", F.lit(""))
+    return first_seen_cards(listed, [F.asc("page"), F.asc("place")]).select("detail_url", "name", "summary", "page")
+
+
+@query(
+    _DIRECTORY
+    + """SELECT detail_url AS external_id, name, CASE WHEN k % 2 = 0 THEN brand ELSE 'Maker ' || size END AS developer_name, CASE WHEN k % 3 = 0 THEN 'https://s.example/' || k ELSE '' END AS official_page_url,
+    CASE type WHEN 'ECONOMY' THEN 'budget' ELSE '' END AS category, CASE WHEN size % 2 = 0 THEN 'desktop,web' ELSE '' END AS platforms,
+    CASE WHEN k % 5 = 0 THEN 'yes' END AS oauth, CASE WHEN k % 7 = 0 THEN 'yes' END AS remote, CASE WHEN size % 4 = 0 THEN 'yes' END AS write FROM c"""
+)
+def directory_drafts(t: Tables) -> DataFrame:
+    """Cards with their detail pages as drafts: the information table first, else what the paragraphs say."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    row = lambda label, value, when: F.when(when, F.concat(F.lit(f"<tr><th>{label}</th><td>"), value, F.lit("</td></tr>"))).otherwise("")
+    rows = [
+        row("Developer", F.col("p_brand"), k % 2 == 0),
+        row("Category", F.col("p_type"), F.lit(True)),
+        row("Surfaces", F.lit("Web app, Desktop"), size % 2 == 0),
+        row("Authentication", F.lit("OAuth 2"), k % 5 == 0),
+        row("Transport", F.lit("Streamable HTTP"), k % 7 == 0),
+    ]
+    text = F.concat(
+        F.lit("<p>Made by Maker "), size, F.lit(" Category &amp; more</p>"), F.when(k % 3 == 0, F.concat(F.lit("<p>See https://s.example/"), k, F.lit(" now</p>"))).otherwise(""),
+        F.when(size % 4 == 0, "<p>You can create and update.</p>").otherwise(""),
+    )
+    html = F.concat(F.lit("<html><h1>"), "p_name", F.lit("</h1><table>"), *rows, F.lit("</table>"), text, F.lit("</html>"))
+    found = details(t.part.select(k.alias("page"), F.concat(F.lit("https://d.example/apps/"), k).alias("url"), html.alias("html")), "page")
+    listed = first_seen_cards(cards(_listing(t), "page").withColumn("slug", F.lit("")), [F.asc("page"), F.asc("place")])
+    drafts = detail_drafts(with_details(listed.drop("page", "place", "slug"), found), "directory", {"economy": "budget"})
+    has = lambda c: F.col("capabilities")[c].alias(c)
+    return drafts.select(
+        "external_id", "name", "developer_name", F.coalesce("official_page_url", F.lit("")).alias("official_page_url"), F.concat_ws(",", "categories").alias("category"),
+        F.concat_ws(",", "platforms").alias("platforms"), has("oauth"), has("remote"), has("write"),
+    )
+
+
 @query(f"SELECT page_id, {_IDENTITY} AS identity FROM pages")
 def url_identity(t: Tables) -> DataFrame:
     return t.pages.select("page_id", tx.url_identity(F.col("url")).alias("identity"))
@@ -159,6 +257,26 @@ def html_strip_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.md5(tx.stripped_html(F.col("html"))).alias("digest"))
 
 
+@query(
+    """SELECT page_id, url, md5(substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
+    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')), 1, 2000)) AS digest FROM pages"""
+)
+def fetched_context(t: Tables) -> DataFrame:
+    """What a model is given of a fetched page: its text up to a limit, which is the feature (2,000 characters here)."""
+    return t.pages.select("page_id", "url", F.md5(tx.context_text(F.col("html"), 2000)).alias("digest"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, substr(text, 1, 30) AS short, list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS b FROM documents),
+    f AS (SELECT doc_id, list_filter(b, lambda x: length(x) >= 60 AND x <> trim(short))[1] AS p FROM d WHERE length(trim(short)) < 60)
+    SELECT doc_id AS app_id, substr(regexp_extract(p, '^(.*?[.!?])\\s', 1) || CASE WHEN regexp_matches(p, '^.*?[.!?]\\s') THEN '' ELSE p END, 1, 280) AS planned FROM f WHERE p IS NOT NULL"""
+)
+def trust_descriptions(t: Tables) -> DataFrame:
+    """A sentence of the long description for texts whose short one is too short."""
+    apps = t.documents.select(F.col("doc_id").alias("app_id"), F.substring("text", 1, 30).alias("short_description"), F.col("text").alias("long_description"))
+    return trust.description_backfill(apps.select("app_id"), apps)
+
+
 @query()
 def html_cards(t: Tables) -> DataFrame:
     """Links of each page as directory cards: place, name and address, first of each address."""

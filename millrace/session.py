@@ -1,22 +1,16 @@
-"""Session settings that the engine's results rely on."""
+"""Session settings that results rely on. All others are the session's own; Spark's defaults (ANSI, adaptive execution) suit."""
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: UTC and last-wins maps fix results; adaptive execution splits skewed joins and sizes partitions at run time.
-SETTINGS = {
-    "spark.sql.session.timeZone": "UTC",
-    "spark.sql.ansi.enabled": "true",
-    "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-    "spark.sql.adaptive.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.execution.arrow.pyspark.enabled": "true",
-}
+SETTINGS = {"spark.sql.session.timeZone": "UTC", "spark.sql.mapKeyDedupPolicy": "LAST_WIN"}
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Applies SETTINGS to a running session."""
+    """Applies SETTINGS to a running session. They must still hold when a result is computed, so they stay; registered
+    queries call this."""
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key) != value:
+            spark.conf.set(key, value)
     return spark

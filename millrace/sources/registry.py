@@ -37,15 +37,20 @@ def records(pages: DataFrame, lists: tuple[str, ...], raw: str = "raw") -> DataF
 
 
 def next_cursor(raw: Column) -> Column:
-    """The cursor of the following page, if it is a text."""
-    return F.nullif(F.coalesce(F.get_json_object(raw, "$.next_cursor"), F.get_json_object(raw, "$.metadata.nextCursor")), F.lit(""))
+    """The cursor of the following page; none where the first that is set is no text."""
+    page = F.try_parse_json(raw)
+    paths = ("$.next_cursor", "$.metadata.nextCursor")
+    unset = [F.coalesce(F.get_json_object(raw, p), F.lit("")).isin("", "0", "false") for p in paths]
+    texts = [F.when(F.schema_of_variant(F.try_variant_get(page, p, "variant")) == "STRING", F.get_json_object(raw, p)) for p in paths]
+    return F.nullif(F.when(~unset[0], texts[0]).otherwise(texts[1]), F.lit(""))
 
 
 def registry_drafts(each: DataFrame, source_type: str = "registry") -> DataFrame:
     """Records as drafts with error: null for a good record, else why it is a dead letter. Nothing is lost."""
     inner = F.coalesce(F.get_json_object("record", "$.server"), F.col("record"))
     s = F.col("s")
-    named = each.withColumn("s", F.from_json(inner, SERVER, {"mode": "PERMISSIVE"}))
+    # behind a generator a record is parsed once, and not again for each field
+    named = each.select("*", F.explode(F.array(F.from_json(inner, SERVER, {"mode": "PERMISSIVE"}))).alias("s"))
     kind = lambda x: F.coalesce(x["type"], x["transport_type"])
     remote = F.try_element_at(F.filter(s["remotes"], lambda x: x["url"].isNotNull()), F.lit(1))
     package = F.try_element_at(s["packages"], F.lit(1))
@@ -80,7 +85,7 @@ def registry_drafts(each: DataFrame, source_type: str = "registry") -> DataFrame
 def feed_drafts(each: DataFrame, source_type: str = "feed") -> DataFrame:
     """Feed entries as drafts: owner and repository from the full name, flags as a map of yes and no with evidence."""
     s = F.col("s")
-    named = each.withColumn("s", F.from_json("record", FEED, {"mode": "PERMISSIVE"}))
+    named = each.select("*", F.explode(F.array(F.from_json("record", FEED, {"mode": "PERMISSIVE"}))).alias("s"))
     owner = F.element_at(F.split(s["fullName"], "/"), 1)
     keys = F.array(*map(F.lit, FEED_FLAGS))
     values = F.array(*(F.when(s[f], "yes").otherwise("no") for f in FEED_FLAGS.values()))

@@ -31,6 +31,51 @@ def streaks(probes: DataFrame, threshold: int = 7) -> DataFrame:
     return probes.groupBy("app_id", "target").applyInPandasWithState(step, STREAKS, "run bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+STARTS = "key string, event_id bigint, ts timestamp, start timestamp"
+
+
+def throttled(requests: DataFrame, interval: str) -> DataFrame:
+    """When each request (key, event_id, ts) of a stream may start if starts of a key are an interval apart: the state of a
+    key is the time from which it is free. Rows of a micro-batch are taken in order of ts and event_id."""
+    step_us = pd.Timedelta(interval) // pd.Timedelta(microseconds=1)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        free = state.get[0] if state.exists else None
+        starts = []
+        for at in (rows["ts"].astype("datetime64[us]").astype("int64")).tolist():
+            start = at if free is None else max(at, free)
+            starts.append(start)
+            free = start + step_us
+        state.update((free,))
+        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"].to_numpy(), "ts": rows["ts"].to_numpy(), "start": pd.to_datetime(starts, unit="us")})
+
+    return requests.groupBy("key").applyInPandasWithState(step, STARTS, "free bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+RETAINED = "key string, n_events bigint, last_at timestamp"
+
+
+def retained(events: DataFrame, days: int, late: str = "1 hour") -> DataFrame:
+    """Counts of keys of a stream (key, ts), each put out and forgotten once the watermark is `days` past its last event:
+    state is kept for live keys only, as a retention of rows keeps a table."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            n, last = state.get
+            state.remove()
+            yield pd.DataFrame({"key": [key[0]], "n_events": [n], "last_at": pd.to_datetime([last], unit="us")})
+            return
+        n, last = state.get if state.exists else (0, 0)
+        for rows in batches:
+            n += len(rows)
+            last = max(last, int(rows["ts"].astype("datetime64[us]").astype("int64").max()))
+        state.update((n, last))
+        state.setTimeoutTimestamp(max(last // 1000 + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+
+    return events.withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, RETAINED, "n bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def over_limit(events: DataFrame, key: str, at: str, window: str, limit: int, late: str = "1 hour") -> DataFrame:
     """Tumbling windows in which a key has more events than the limit; final once the watermark passes them."""
     counted = events.withWatermark(at, late).groupBy(F.window(at, window).alias("slot"), key).agg(F.count("*").alias("n_events"))
