@@ -176,7 +176,7 @@ def _met(source: DataFrame, postings: Callable, buckets: int, give: Callable, sc
         n = np.repeat(np.array(nodes, np.int64), [len(x) for x in shingles])
         order = np.argsort(s)
         s, n = s[order], n[order]
-        edges = np.searchsorted((s >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist()
+        edges = _edges(s, buckets)
         rows = [{"bucket": k, "shingles": s[a:b].tobytes(), "nodes": n[a:b].tobytes()} for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
         return pa.RecordBatch.from_pylist(rows, schema=packs_schema)
 
@@ -209,7 +209,7 @@ def _met(source: DataFrame, postings: Callable, buckets: int, give: Callable, sc
             starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
             m = np.diff(np.append(starts, len(s)))
             columns = give(s, n, np.repeat(m, m))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=out_schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
 
     # a range for each task: ranges are not hashed again
     return source.mapInArrow(ask, packs).repartitionById(buckets, F.col("bucket")).mapInArrow(meet, schema)
@@ -232,16 +232,39 @@ def shared_postings(texts: DataFrame, classes, buckets: int, words: int, percent
 
 
 def shared_sizes(sets: DataFrame, buckets: int) -> DataFrame:
-    """(node, e) of the sets (node, shingles): how many of all its shingles a set shares with any other."""
+    """(node, e) of the sets (node, shingles): how many of all its shingles a set shares with any other.
+
+    What a range of shingles counts for each node goes on as one packed row for each range of nodes."""
+    packs, sums = "bucket int, nodes binary, counts binary", "node bigint, e bigint"
+    target = arrow_schema(sums)
 
     def postings(batch):
         lists = batch.column("shingles")
         return ((s.values.to_numpy().view(np.uint64), node) for s, node in zip(lists, batch.column("node").to_pylist(), strict=True))
 
     def give(_, n, m):
-        return np.unique(n[m > 1], return_counts=True)
+        nodes, counts = np.unique(n[m > 1].view(np.uint64), return_counts=True)
+        edges = _edges(nodes, buckets)
+        parts = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        return [k for k, _, _ in parts], [nodes[a:b].tobytes() for _, a, b in parts], [counts[a:b].tobytes() for _, a, b in parts]
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, counts = [], []
+        for batch in batches:
+            nodes += [np.frombuffer(x, np.int64) for x in batch.column("nodes").to_pylist()]
+            counts += [np.frombuffer(x, np.int64) for x in batch.column("counts").to_pylist()]
+        if nodes:
+            each, place = np.unique(np.concatenate(nodes), return_inverse=True)
+            total = np.bincount(place, np.concatenate(counts), len(each)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(total)], schema=target)
+
+    counted = _met(sets.select("node", "shingles"), postings, buckets, give, packs)
+    return counted.repartitionById(buckets, F.col("bucket")).mapInArrow(add, sums)
+
 
-    return _met(sets.select("node", "shingles"), postings, buckets, give, "node bigint, e bigint").groupBy("node").agg(F.sum("e").alias("e"))
+def _edges(hashes: np.ndarray, buckets: int) -> list[int]:
+    """Where each of the equal ranges of hashes starts in sorted hashes, and where the last one ends."""
+    return np.searchsorted((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64)).tolist()
 
 
 def sets_of(texts: DataFrame, chosen: DataFrame, words: int) -> DataFrame:
