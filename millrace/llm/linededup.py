@@ -24,7 +24,7 @@ but columns of the names n_lines and n_deleted are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, table
@@ -96,8 +96,18 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def _firsts(windows: DataFrame, *by: str) -> DataFrame:
+    """windows that others share, with the first place of each. The places are pre-aggregated and written, so that a hot
+    run meets one row in a join that adaptive execution broadcasts or splits."""
     place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_key", "at")
-    return windows.join(windows.groupBy(*by).agg(F.min(place).alias("first")), list(by))
+    shared = windows.groupBy(*by).agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
+    return windows.join(materialise(shared.drop("last")), list(by))
+
+
+def _without(lines: Column, runs: Column) -> Column:
+    """lines without the runs (head, tail), which are in order: what is between them, end to end."""
+    starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["tail"] + 1))
+    ends = F.concat(F.transform(runs, lambda r: r["head"]), F.array(F.size(lines)))
+    return F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -106,12 +116,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     near = Window.partitionBy("_key").orderBy("number")
     runs = copies(docs, min_words).withColumn("run", F.col("number") - F.row_number().over(near)).groupBy("_key", "run")
     runs = runs.agg(F.min("number").alias("head"), F.max("number").alias("tail"))
-    gone = runs.groupBy("_key").agg(F.collect_list(F.struct("head", "tail")).alias("_gone"))
+    gone = runs.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("head", "tail"))).alias("_gone"))
     # columns of docs travel in one struct, out of the way of the names used here
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "doc_id", "text")
     both = _key(held).drop("doc_id", "text").join(gone, "_key", "left").withColumn("text", F.col("row.text"))
-    deleted = lambda x, i: F.exists("_gone", lambda r: (r["head"] <= i) & (i <= r["tail"]))
-    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~deleted(x, i)), "\n")
+    rest = F.array_join(F.element_at(F.transform(F.array(F.split("text", "\n")), lambda x: _without(x, F.col("_gone"))), 1), "\n")
     n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(_WORD)))
     n_deleted = F.aggregate("_gone", F.lit(0), lambda n, r: n + r["tail"] - r["head"] + 1)
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
@@ -131,12 +140,10 @@ WITH d AS (
   SELECT doc_id, text, md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')) AS k FROM documents),
 l AS (
   SELECT doc_id, k, number, line, row_number() OVER (PARTITION BY k ORDER BY number) AS p,
-         len(regexp_extract_all(line, '[^ 	-
-]+')) AS words
+         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
   FROM (SELECT DISTINCT doc_id, k, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS number
         FROM d WHERE text IS NOT NULL)
-  WHERE regexp_matches(line, '[^ 	-
-]')),
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 t AS (SELECT *, sum(words) OVER (PARTITION BY k ORDER BY p) AS till FROM l),
 w AS (
   SELECT *, count(*) OVER f AS nf, sum(words) OVER f AS wf, count(*) OVER b AS nb, sum(words) OVER b AS wb FROM t
