@@ -1,86 +1,141 @@
 """Benchmark decontamination by a broadcast hash set of normalised test n-grams.
 
-The driver turns the benchmark into windows of n consecutive words (a shorter item is one window), encodes their
-words as integers and broadcasts the hashes. Each task encodes its training texts with the same dictionary, rolls
-a hash over every window of token ids, looks it up and verifies each hit word by word. No shuffle takes place.
+The driver turns the benchmark into windows of n consecutive words (a shorter item is one window) and broadcasts their
+hashes. Each task rolls a hash over every window of words of its texts, looks it up and verifies each hit against the
+words of the benchmark. No shuffle takes place.
 
-The broadcast is bounded: a benchmark above `max_broadcast_bytes` of text is dealt into blocks by a hash of its
-rows; the texts pass each block in turn, and what one block found is written to the shared folder before the next.
+The broadcast is bounded: the benchmark streams through the driver once and is cut into blocks of `block_words` words (an
+item above that into pieces that share n - 1 words), some 40 bytes a word; the texts pass each block in turn, and what
+one block found is written to the shared folder before the next.
 
 Defined results: null or wordless texts have no words and no hits; null or wordless items have no windows; an item
 with a null item_id still marks words but is not listed; rows that repeat are judged each on its own; items that
-repeat an item_id count as one item. Other columns of documents pass through `contamination` untouched, whatever
-their names: its own columns are held in one struct, `hits`.
+repeat an item_id count as one item; without items nothing is hit. Other columns of documents pass through `contamination`
+untouched, whatever their names: its own columns are held in one struct, `hits`.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import materialise, normal_words, table, with_column_from_text
 
 NGRAM = 13
-MAX_BROADCAST_BYTES = 16 << 20
+BLOCK_WORDS = 3_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+_BETWEEN = b"\n"  # no word; stands between texts, so that no window spans two
 #: hit: a bit for each word.
 HITS = "struct<n_words:bigint,n_hit:bigint,items:array<string>,hit:binary,clean:string>"
 
 
-def window_index(rows: list[tuple[str | None, str | None]], n: int) -> dict:
-    """Of some benchmark rows: numbers of their words, items by window, and the sorted hashes of windows by length."""
-    words: dict[bytes, int] = {}
-    items: dict[tuple[int, ...], set[str]] = {}
-    for item, text in rows:
-        ids = tuple(words.setdefault(w, len(words)) for w in normal_words((text or "").encode()))
-        for at in range(max(1, len(ids) - n + 1) if ids else 0):
-            items.setdefault(ids[at : at + n], set()).update([] if item is None else [item])
-    lengths = defaultdict(list)
-    for window in items:
-        lengths[len(window)].append(window)
-    hashes = {k: np.unique(rolled(np.array(windows, np.int64).ravel(), k)[::k]) for k, windows in lengths.items()}
-    return {"words": words, "items": items, "hashes": hashes}
-
-
-def rolled(ids: np.ndarray, n: int) -> np.ndarray:
-    """Polynomial hashes of all windows of n ids."""
-    ids, out = ids.astype(np.uint64), np.zeros(len(ids) - n + 1, np.uint64)
+class Windows(NamedTuple):
+    """The windows of n words of a block, sorted by hash; `mask` marks the lowest bits of the hashes."""
+
+    hashes: np.ndarray
+    starts: np.ndarray  # number of the first word
+    mask: np.ndarray
+
+
+class Index:
+    """A block of the benchmark: its words joined by spaces, the windows by length, and the items."""
+
+    def __init__(self, rows: list[tuple[str | None, list[bytes]]], n: int):
+        words = [w for _, own in rows for w in own]
+        self.text = b" ".join(words)
+        self.items = [item for item, _ in rows]
+        self.firsts = np.cumsum([0, *(len(own) for _, own in rows)])  # number of the first word of each item
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        self.places = np.concatenate([[0], np.cumsum(lengths + 1)]).astype(np.uint32)  # of words in the text
+        hashes = word_hashes(words)
+        sizes = np.diff(self.firsts)
+        self.windows: dict[int, Windows] = {}
+        for k in sorted(set(np.minimum(sizes, n).tolist()) - {0}):
+            own = np.flatnonzero(np.minimum(sizes, n) == k)
+            starts = np.concatenate([np.arange(self.firsts[i], self.firsts[i + 1] - k + 1) for i in own])
+            found = rolled(hashes, k)[starts]
+            order = np.argsort(found, kind="stable")
+            mask = np.zeros(1 << max(10, int(8 * len(found)).bit_length()), bool)
+            mask[(found & np.uint64(len(mask) - 1)).astype(np.int64)] = True
+            self.windows[k] = Windows(found[order], starts[order].astype(np.uint32), mask)
+
+    def holders(self, n: int, found: np.uint64, said: bytes) -> set[str | None]:
+        """The items that hold this window of n words; none if it only shares a hash with some."""
+        hashes, starts, _ = self.windows[n]
+        same = starts[np.searchsorted(hashes, found, "left") : np.searchsorted(hashes, found, "right")].tolist()
+        same = [at for at in same if self.text[self.places[at] : self.places[at + n] - 1] == said]
+        return {self.items[i] for i in np.searchsorted(self.firsts, same, "right") - 1}
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    numbers: dict[bytes, int] = {}
+    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    each = np.fromiter(map(xxh64_intdigest, numbers), np.uint64, len(numbers))
+    return each[ids] if len(words) else np.zeros(0, np.uint64)
+
+
+def rolled(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all windows of n words."""
+    out = np.zeros(max(0, len(hashes) - n + 1), np.uint64)
     with np.errstate(over="ignore"):
         for k in range(n):
-            out = out * _BASE + ids[k : k + len(out)] + np.uint64(1)
-    return out
-
-
-def scan(index: dict, texts: list[bytes]) -> tuple[list[int], np.ndarray, list[set[str]]]:
+            out = out * _BASE + hashes[k : k + len(out)]
+        return (out ^ (out >> np.uint64(29))) * _BASE
+
+
+def index_blocks(items: Iterable[tuple[str | None, str | None]], n: int = NGRAM, block_words: int = BLOCK_WORDS) -> Iterator[Index]:
+    """Indexes of the items, of at most block_words words each (2 n at least); without words, one that is empty."""
+    step = max(2 * n, block_words)
+    held, size, some = [], 0, False
+    for item, text in items:
+        words = normal_words((text or "").encode())
+        for at in range(0, max(1, len(words) - n + 1), step - n + 1):
+            piece = words[at : at + step]
+            if held and size + len(piece) > step:
+                yield Index(held, n)
+                held, size, some = [], 0, True
+            if piece:
+                held.append((item, piece))
+                size += len(piece)
+    if held or not some:
+        yield Index(held, n)
+
+
+def scan(index: Index, texts: list[bytes]) -> tuple[list[int], np.ndarray, list[set[str]]]:
     """Of each text: the number of words and the items found; of all words in a row, whether they are hit."""
-    known, sizes, parts = index["words"].get, [], []
+    words, sizes = [], []
     for text in texts:
-        words = normal_words(text)
-        sizes.append(len(words))
-        parts.append(np.fromiter((known(w, -1) for w in words), np.int64, len(words)))
-        parts.append(np.array([-1]))  # no window spans two texts
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        own = normal_words(text)
+        sizes.append(len(own))
+        words += own
+        words.append(_BETWEEN)
+    hashes = word_hashes(words)
     found: list[set[str]] = [set() for _ in texts]
-    change = np.zeros(len(ids) + 1, np.int64)
+    change = np.zeros(len(words) + 1, np.int64)
     begins = np.cumsum([0, *(s + 1 for s in sizes)])
-    unknown = np.concatenate([[0], np.cumsum(ids < 0)])
-    for n, hashes in index["hashes"].items():
-        if len(ids) < n:
-            continue
-        at = np.flatnonzero(unknown[n:] == unknown[: len(unknown) - n])
-        at = at[np.isin(rolled(ids, n)[at], hashes)]
-        for i, text in zip(at.tolist(), (np.searchsorted(begins, at, "right") - 1).tolist(), strict=True):
-            items = index["items"].get(tuple(ids[i : i + n].tolist()))
-            if items is not None:
-                found[text] |= items
+    for n, windows in index.windows.items():
+        at = rolled(hashes, n)
+        may = np.flatnonzero(windows.mask[(at & np.uint64(len(windows.mask) - 1)).astype(np.int64)])
+        near = np.searchsorted(windows.hashes, at[may])
+        may = may[windows.hashes[np.minimum(near, len(windows.hashes) - 1)] == at[may]]
+        known: dict[bytes, set[str | None]] = {}
+        for i, text in zip(may.tolist(), (np.searchsorted(begins, may, "right") - 1).tolist(), strict=True):
+            said = b" ".join(words[i : i + n])
+            if said not in known:
+                known[said] = index.holders(n, at[i], said)
+            if known[said]:
+                found[text] |= known[said]
                 change[i] += 1
                 change[i + n] -= 1
+    found = [items - {None} for items in found]
     return sizes, np.cumsum(change[:-1]) > 0, found
 
 
@@ -100,22 +155,20 @@ def contamination(
     benchmark: DataFrame,
     n: int = NGRAM,
     spans: bool = False,
-    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    block_words: int = BLOCK_WORDS,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """docs (or its columns `keep`) with a struct column `hits`: n_words, n_hit, items (found, as sorted strings),
     clean (the text without hit spans, if spans is set and there are any). An earlier `hits` column is replaced."""
     spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("string"), F.col("text")).dropDuplicates()
-    size = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = 1 + size // max_broadcast_bytes
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    items = benchmark.select(F.col("item_id").cast("string"), F.col("text")).dropDuplicates()
     out, keep = docs.drop("hits"), [c for c in (docs.columns if keep is None else keep) if c != "hits"]
-    for k in range(blocks):
-        index = spark.sparkContext.broadcast(window_index([tuple(r) for r in bench.where(block == k).collect()], n))
-        last = k + 1 == blocks
-        out = with_column_from_text(out, "hits", HITS, _judge(index, spans), keep=keep if last else list(dict.fromkeys([*keep, "text"])))
-        out = out if last else materialise(out)
+    blocks = index_blocks(map(tuple, items.toLocalIterator()), n, block_words)
+    block = next(blocks)
+    while block is not None:
+        index, block = spark.sparkContext.broadcast(block), next(blocks, None)
+        out = with_column_from_text(out, "hits", HITS, _judge(index, spans), keep=keep if block is None else list(dict.fromkeys([*keep, "text"])))
+        out = out if block is None else materialise(out)
     return out
 
 
