@@ -1,18 +1,21 @@
 """Toxicity: gradient-boosted trees over dense features, with isotonic calibration.
 
-Features of a text: densities of a learnt word lexicon and of a learnt stem lexicon, how many hits stand near a
-second-person word, density of such words, capitals, shouted words, punctuation, and obfuscation (letters with digits
-or symbols between them, and how many of those are in a lexicon once read as letters). Only the text is an input.
+Features of a text: counts and densities of the words of a learnt lexicon and of a learnt lexicon of stems (words of over
+four letters without a common ending), how many hits stand near a second-person word, density of such words, capitals,
+shouted words, punctuation, and obfuscation (letters with digits or symbols between them, and how many of those are in a
+lexicon once read as letters). Only the text is an input.
 
 Learning uses labelled rows whose crc32(doc_id as text) mod 4 is not 2, at most about MAX_LABELLED of them, chosen by
-a hash of doc_id (the documented bound). Lexicons are learnt in two halves, and the training features of one half
-come from the lexicon of the other, so that trees do not trust words that only this row made a lexicon entry. The
-last fifth of the rows calibrates. Scoring runs where texts are read; only the sample (bounded) is ever shuffled or
-broadcast, never the corpus.
+a hash of doc_id (the documented bound, and the only one: what is learnt from the sample depends on nothing else of the
+corpus). Lexicons are learnt in two halves, and the training features of one half come from the lexicon of the other, so that
+trees do not trust words that only this row made a lexicon entry. A tenth part of texts goes by the text, so copies stay
+together; the last two calibrate. Scoring runs where texts are read; only the sample is ever shuffled, and the calibration
+runs in few tasks as the sample is small. A lexicon above MAX_LEXICON_BYTES stops the job; no entry is dropped.
 
 Defined results: a null text is empty; an empty text has all features 0 and gets the score of such a text; without
 labelled rows of both classes every score is the share of label 1 (0 without rows); labels of one doc_id that differ
-count as 1 if one is; repeated documents get a row each; other columns pass through.
+count as 1 if one is; repeated documents get a row each; an empty table gives an empty one; other columns pass through, but
+a column `toxic_score` is replaced.
 """
 
 from __future__ import annotations
@@ -27,13 +30,15 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, materialise, table, with_column_from_text
+from .common import crc_fold, materialise, table, with_column_from_text, without_gc
 
 MAX_LABELLED = 20_000
-MAX_LEXICON = 4_000
+MAX_LEXICON_BYTES = 32 << 20
 MIN_DOCS = 3
 MIN_LOG_ODDS = math.log(20)
-STEM = 4
+#: A stem: four letters or more before one of the common endings of the corpus languages, as few as there can be.
+STEM = r"^([\s\S]{4,}?)(?:ings?|ed|ly|ern?|en|es|est|as|os|[aenost])?$"
+KNOWN = 400_000
 THRESHOLD = 0.3
 NEAR = 6
 FEATURES = (
@@ -45,6 +50,7 @@ YOU = frozenset(
     "you your yours yourself u ur tu te ti toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer sie usted ustedes vosotros tus vuestro".split()
 )
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
+_STEM = re.compile(STEM)
 _MIXED = re.compile(rb"[A-Za-z\x80-\xff]+(?:[0-9@$*!|.\-]+[A-Za-z\x80-\xff]+)+")
 #: Letters that digits and symbols stand for.
 _READ = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": None, ".": None, "-": None})
@@ -53,53 +59,74 @@ _NOT_LETTER = bytes(b for b in range(256) if not (0x41 <= b <= 0x5A or 0x61 <= b
 _NOT_MARK = bytes(b for b in range(256) if not (0x21 <= b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7E))
 
 
-def words_of(text: bytes) -> list[str]:
-    return [w.strip(_EDGE) for w in text.decode().lower().split()]
+def stem_of(word: str) -> str:
+    """The stem of a word of over four letters, else nothing."""
+    return _STEM.match(word)[1] if len(word) > 4 else ""
 
 
-def features(text: bytes, words: frozenset, stems: frozenset) -> list[float]:
+class Kinds(dict):
+    """What a token is: 1 for a word of the lexicon, 2 for one with a stem of it, 4 for a second-person word, summed."""
+
+    def __init__(self, words: frozenset, stems: frozenset):
+        super().__init__()
+        self.words, self.stems = words, stems
+
+    def __missing__(self, token: str) -> int:
+        word = token.strip(_EDGE)
+        kind = (word in self.words) + 2 * (stem_of(word) in self.stems) + 4 * (word in YOU)
+        if len(self) < KNOWN:
+            self[token] = kind
+        return kind
+
+
+def features(text: bytes, kinds: Kinds) -> list[float]:
     """The dense features of a text, in the order of FEATURES."""
-    tokens = words_of(text)
-    n, size = max(1, len(tokens)), max(1, len(text))
-    in_words = [i for i, w in enumerate(tokens) if w in words]
-    in_stems = [i for i, w in enumerate(tokens) if w[:STEM] in stems]
-    you = [i for i, w in enumerate(tokens) if w in YOU]
-    hits = sorted({*in_words, *in_stems})
+    found = bytes(map(kinds.__getitem__, text.decode().lower().split()))
+    n, size = max(1, len(found)), max(1, len(text))
+    each = [found.count(k) for k in range(8)]
+    in_words, in_stems, you = each[1] + each[3] + each[5] + each[7], each[2] + each[3] + each[6] + each[7], sum(each[4:])
     near = 0
-    if you and hits:
+    if you and in_words + in_stems:
+        yours = [i for i, k in enumerate(found) if k & 4]
         at = 0
-        for i in hits:
-            while at < len(you) and you[at] < i - NEAR:
+        for i in (i for i, k in enumerate(found) if k & 3):
+            while at < len(yours) and yours[at] < i - NEAR:
                 at += 1
-            near += at < len(you) and you[at] <= i + NEAR
+            near += at < len(yours) and yours[at] <= i + NEAR
     letters = max(1, len(text.translate(None, _NOT_LETTER)))
     mixed = [m.decode("utf-8", "replace").lower().translate(_READ) for m in _MIXED.findall(text)]
-    read = sum(w in words or w[:STEM] in stems for w in mixed)
+    read = sum(kinds[w] & 3 > 0 for w in mixed)
     return [
-        float(min(len(in_words), 50)), len(in_words) / n, float(min(len(in_stems), 50)), len(in_stems) / n,
-        near / n, len(you) / n, len(text.translate(None, _NOT_UPPER)) / letters, text.count(b"!!") / n,
+        float(in_words), in_words / n, float(in_stems), in_stems / n,
+        near / n, you / n, len(text.translate(None, _NOT_UPPER)) / letters, text.count(b"!!") / n,
         text.count(b"!") / size, text.count(b"?") / size, len(text.translate(None, _NOT_MARK)) / size,
-        len(mixed) / n, float(min(read, 50)), math.log1p(len(tokens)),
+        len(mixed) / n, float(read), math.log1p(len(found)),
     ]
 
 
-def lexicon(sample: DataFrame) -> tuple[frozenset, frozenset]:
-    """Words and stems that stand in far more texts of label 1: at least MIN_DOCS texts and MIN_LOG_ODDS.
-
-    At most MAX_LEXICON entries, those with the highest log odds, come to the driver."""
+def lexicons(sample: DataFrame) -> list[tuple[frozenset, frozenset]]:
+    """Words and stems that stand in far more texts of label 1 (at least MIN_DOCS texts and MIN_LOG_ODDS), learnt from
+    the rows (text, toxic, part) of even parts, of odd parts and of all. Texts with the same words count once."""
     tokens = F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(_EDGE))))
-    texts = sample.select("toxic", tokens.alias("w")).dropDuplicates()
-    totals = texts.agg(F.sum("toxic"), F.count("*")).first()
-    ones, zeros = totals[0] or 0, (totals[1] or 0) - (totals[0] or 0)
-    stems = F.array_distinct(F.transform(F.filter("w", lambda w: F.length(w) > STEM), lambda w: F.substring(w, 1, STEM)))
-    both = texts.select("toxic", F.lit(True).alias("whole"), F.explode("w").alias("entry")).union(
-        texts.select("toxic", F.lit(False), F.explode(stems))
-    )
-    counted = both.where("length(entry) >= 3").groupBy("whole", "entry").agg(F.sum("toxic").alias("one"), F.count("*").alias("all"))
-    odds = F.log((F.col("one") + 0.5) / (ones + 1.0)) - F.log((F.col("all") - F.col("one") + 0.5) / (zeros + 1.0))
-    chosen = counted.where(F.col("one") >= MIN_DOCS).withColumn("odds", odds).where(F.col("odds") >= MIN_LOG_ODDS)
-    rows = chosen.orderBy(F.desc("odds"), "entry", "whole").limit(MAX_LEXICON).collect()
-    return frozenset(r.entry for r in rows if r.whole), frozenset(r.entry for r in rows if not r.whole)
+    texts = sample.select("toxic", tokens.alias("w"), (F.col("part") % 2).alias("half")).groupBy("toxic", "w").agg(F.min("half").alias("half"))
+    stems = F.array_distinct(F.transform(F.filter("w", lambda w: F.length(w) > 4), lambda w: F.regexp_extract(w, STEM, 1)))
+    entry = lambda whole: lambda w: F.struct(F.lit(whole).alias("whole"), w.alias("entry"))
+    entries = F.concat(F.transform("w", entry(True)), F.transform(stems, entry(False)))
+    side = [((k, c), (F.col("half") == k) & (F.col("toxic") == c)) for k in (0, 1) for c in (0, 1)]
+    n = [F.count_if(x).alias(f"n{k}{c}") for (k, c), x in side]
+    total = texts.agg(*n).first()
+    counted = texts.select("toxic", "half", F.inline(entries)).where("length(entry) >= 3").groupBy("whole", "entry").agg(*n)
+    keep = []
+    for halves in ((0,), (1,), (0, 1)):
+        here, all_of = ([sum(x(f"n{k}{c}") for k in halves) for c in (0, 1)] for x in (F.col, lambda name: total[name] or 0))
+        odds = F.log((here[1] + 0.5) / (all_of[1] + 1.0)) - F.log((here[0] + 0.5) / (all_of[0] + 1.0))
+        keep.append((here[1] >= MIN_DOCS) & (odds >= MIN_LOG_ODDS))
+    chosen = materialise(counted.select("whole", "entry", F.array(*keep).alias("of")).where(F.exists("of", lambda x: x)))
+    size = chosen.agg(F.sum(F.octet_length("entry"))).first()[0] or 0
+    if size > MAX_LEXICON_BYTES:
+        raise ValueError(f"the lexicon has {size} bytes; lower max_labelled or raise MAX_LEXICON_BYTES")
+    rows = chosen.collect()
+    return [tuple(frozenset(r.entry for r in rows if r.of[k] and r.whole == whole) for whole in (True, False)) for k in range(3)]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -111,7 +138,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
         own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     # at most about max_labelled rows of two numbers: a proven bound for the broadcast
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(own), "doc_id")
-    return materialise(rows.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(10)).cast("int")))
+    return materialise(rows.withColumn("part", F.pmod(F.xxhash64("text", F.lit(1)), F.lit(10)).cast("int")))
 
 
 def _featured(docs: DataFrame, lexicons: list[tuple[frozenset, frozenset]], keep: list[str]) -> DataFrame:
@@ -119,9 +146,13 @@ def _featured(docs: DataFrame, lexicons: list[tuple[frozenset, frozenset]], keep
     held = docs.sparkSession.sparkContext.broadcast(lexicons)
     halves = "part" in docs.columns
 
+    made: list[Kinds] = []
+
     def values(texts: list[bytes], batch) -> list[list[float]]:
+        made or made.extend(Kinds(*x) for x in held.value)
         which = [1 - p % 2 for p in batch.column("part").to_pylist()] if halves else [0] * len(texts)
-        return [features(t, *held.value[k]) for t, k in zip(texts, which, strict=True)]
+        with without_gc():
+            return [features(t, made[k]) for t, k in zip(texts, which, strict=True)]
 
     return with_column_from_text(docs, "x", "array<double>", values, keep=keep)
 
@@ -136,9 +167,8 @@ class Model:
         self.trees = None
         if not 0 < self.share < 1:
             return
-        halves = [lexicon(rows.where(f"part % 2 = {k}")) for k in (0, 1)]
-        self.lexicon = lexicon(rows)
-        x = materialise(_featured(rows, halves, ["doc_id", "toxic", "part"]).orderBy("part", "doc_id"))
+        *halves, self.lexicon = lexicons(rows)
+        x = materialise(_featured(rows, halves, ["doc_id", "toxic", "part"])).orderBy("part", "doc_id")  # trees follow the order of rows
         x = x.withColumn("features", array_to_vector("x")).withColumn("label", F.col("toxic").cast("double"))
         fit, check = x.where("part < 8").coalesce(4), x.where("part >= 8")
         if fit.select("label").distinct().count() < 2:
