@@ -10,13 +10,16 @@ counts of the others, and the weights maximise their likelihood. The final count
 How it runs. Each task packs its documents into batches of about BATCH_BYTES of text, which are written compressed to
 the shared folder. A batch turns its distinct n-grams into 64-bit hashes, splits them by hash into buckets, and sends
 each bucket one packed row with its counts: a map-side pre-aggregation, so a frequent n-gram costs a bucket one entry
-for each batch, never one for each token. A bucket sums the counts and answers every batch in the order asked. The
-answers are written to the shared folder too, and batches meet their answers to give the events for EM and the scores.
+for each batch, never one for each token. A bucket sums the counts and answers every batch in the order asked; there are
+as many buckets as keep one at about 25 MB whatever the size of the corpus. The answers are written to the shared folder too, and batches meet their answers to give the events for EM and the scores.
 Counts grow with the corpus and are never cut, capped or sampled, nor are they collected: only the weights (a few
 numbers for each bucket), N and V reach the driver.
 
 Defined results: a null text is empty and holds the end token alone; a null doc_id counts as empty text for the fold
-and stays null; repeated rows are scored each and count each; other columns are not carried.
+and stays null; repeated rows are scored each and count each; an empty table gives an empty one; other columns, whatever
+their names, are not carried.
+
+The order is 2: packed trigrams would more than double what is sent and answered (see the README).
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import arrow_schema, crc_fold, materialise, sliced, table
 
 BATCH_BYTES = 10 << 20
+#: Text for each bucket at most: its n-grams and their counts take about twice as much.
+BUCKET_BYTES = 12 << 20
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
 ITERATIONS, TOLERANCE = 25, 1e-4
 END = b"\n"  # no word: words hold no white space
@@ -95,14 +100,14 @@ def packed(docs: DataFrame) -> DataFrame:
         import zstandard
         from pyspark import TaskContext
 
-        number, squeeze = TaskContext.get().partitionId() << 24, zstandard.ZstdCompressor(3)
+        number, squeeze = TaskContext.get().partitionId() << 24, zstandard.ZstdCompressor(3)  # a batch is twice its number, plus one for tuning
         held: dict[bool, list[tuple]] = {True: [], False: []}
         sizes = {True: 0, False: 0}
 
         def full(tuning: bool) -> pa.RecordBatch:
             nonlocal number
             ids, folds, texts = zip(*held[tuning], strict=True)
-            row = [number, tuning, ids, folds, [len(t) for t in texts], squeeze.compress(b"".join(texts))]
+            row = [2 * number + tuning, tuning, ids, folds, [len(t) for t in texts], squeeze.compress(b"".join(texts))]
             number += 1
             held[tuning], sizes[tuning] = [], 0
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, target, strict=True)], schema=target)
@@ -199,7 +204,7 @@ def _answer(asked: DataFrame, buckets: int) -> DataFrame:
                 )
                 told = [0] * len(told)
 
-    return asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ANSWERS)
+    return asked.repartitionById(buckets, F.col("bucket")).mapInArrow(run, ANSWERS)  # a bucket for each task
 
 
 def small(counts: np.ndarray) -> bytes:
@@ -296,14 +301,13 @@ def _scorer(weights: dict[int, tuple[float, float, float]], tokens: int, types:
 
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score, train_tokens) of all documents."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packs = packed(docs)
+    size = packs.agg(F.sum(F.aggregate("size", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
     answers = materialise(_answer(_ask(packs, buckets), buckets))
     sums = answers.agg(*(F.sum(c) for c in ("types", "tokens", "retained_types", "retained_tokens"))).first()
     types, tokens, *retained = (x or 0 for x in sums)
-    tuning = packs.where("tuning")
-    asked = answers.join(F.broadcast(tuning.select("batch")), "batch", "left_semi")  # a number for each 16 MB of a seventh
-    events = materialise(_met(tuning, asked, buckets, EVENTS, _events))
+    events = materialise(_met(packs.where("tuning"), answers.where("batch % 2 = 1"), buckets, EVENTS, _events))
     weights = learn_weights(events, *retained)
     scored = _met(packs, answers, buckets, SCORES, _scorer(weights, tokens, types))
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
