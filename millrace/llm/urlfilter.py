@@ -1,4 +1,4 @@
-"""URL filters: a weighted vocabulary that an Aho-Corasick automaton counts in host and path.
+"""URL filters: a weighted vocabulary that an Aho-Corasick automaton counts in the whole url, query and fragment included.
 
 A strict term rejects a url by itself, soft terms by SOFT_HITS distinct ones. A hit needs boundaries: no letter or
 digit before or after it. Before the vocabulary come rules for a host with its subdomains and a path prefix; the
@@ -7,8 +7,9 @@ longest rule that fits decides.
 The vocabulary and the rules are parameters with a fixed size; the automaton is built once in each task. Only urls
 are read, and nothing is shuffled.
 
-Defined results: a url that is null or has no `://` has an empty host and path, fits no rule and is allowed; repeated
-rows get a row each; other columns pass through.
+Defined results: a url that is null or has no `://` has an empty host and path and fits no rule, so that its words
+decide (null has none and is allowed); of a strict and a soft hit the strict one decides; repeated rows get a row each; an
+empty table gives an empty one; other columns pass through, but columns `filter`, `hits` and `_url` are replaced or left out.
 """
 
 from __future__ import annotations
@@ -91,8 +92,7 @@ def judge_urls(df: DataFrame, url: str = "url", keep: list[str] | None = None) -
     """df (or its columns `keep`) with a struct column `filter`: host, path, rule, verdict, n_strict, n_soft."""
     keep = [c for c in (df.columns if keep is None else keep) if c not in ("filter", "_url", "hits")]
     host, path = host_and_path(F.col(url))
-    parts = df.select(*(F.col(f"`{c}`") for c in keep), F.struct(host.alias("host"), path.alias("path")).alias("filter"))
-    parts = parts.withColumn("_url", F.concat("filter.host", "filter.path"))
+    parts = df.select(*(F.col(f"`{c}`") for c in keep), F.struct(host.alias("host"), path.alias("path")).alias("filter"), F.col(url).alias("_url"))
     hits = vocabulary_hits(parts, text="_url", keep=[*keep, "filter"])
     rule = longest_rule(F.col("filter.host"), F.col("filter.path"))
     own = F.when((F.col("hits.n_strict") > 0) | (F.col("hits.n_soft") >= SOFT_HITS), F.lit("block")).otherwise(F.lit("allow"))
@@ -110,15 +110,15 @@ def _count(terms: tuple[str, ...]) -> str:
 
 OP9_SQL = rf"""
 WITH r AS (
-  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
 p AS (
-  SELECT page_id,
+  SELECT page_id, url,
     coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
     coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path
   FROM r),
 h AS (
   SELECT *, CAST({_count(STRICT)} AS BIGINT) AS n_strict, CAST({_count(SOFT)} AS BIGINT) AS n_soft
-  FROM (SELECT *, lower(host || path) AS u FROM p)),
+  FROM (SELECT *, lower(coalesce(url, '')) AS u FROM p)),
 j AS (
   SELECT page_id, host, path, n_strict, n_soft,
     CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
