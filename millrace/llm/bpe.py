@@ -15,7 +15,6 @@ no unknown token; special tokens are found in the raw text and keep their id; re
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import heapq
 import json
@@ -25,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, with_column_from_text
+from .common import table, with_column_from_text, without_gc
 
 SHORT = 64
 CACHE = 400_000
@@ -114,7 +113,6 @@ class Encoder:
         alphabet = byte_alphabet()
         self.inner, self.last = [ids.get(c) for c in alphabet], [ids.get(c + suffix) for c in alphabet]
         self.words = regex.compile(spec["pattern"])
-        gc.disable()  # the caches hold no cycles; walking them again and again costs more than encoding
         names = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.cached: dict[str, tuple[int, ...]] = {}
@@ -176,8 +174,9 @@ def encode(docs: DataFrame, path: str | None = None, keep: list[str] | None = No
 
     def values(texts: list[bytes], _) -> list[dict]:
         held or held.append(Encoder(spec.value))
-        words = [held[0].text(t) for t in texts]
-        return [{"ids": [i for w in found for i in w[0]], "decoded": " ".join(w[2] for w in found)} for found in words]
+        with without_gc():
+            words = [held[0].text(t) for t in texts]
+            return [{"ids": [i for w in found for i in w[0]], "decoded": " ".join(w[2] for w in found)} for found in words]
 
     return with_column_from_text(docs, "bpe", ENCODED, values, keep=keep)
 
@@ -193,9 +192,10 @@ def digests(docs: DataFrame, path: str | None = None, keep: list[str] | None = N
     def values(texts: list[bytes], _) -> list[dict]:
         held or held.append(Encoder(spec.value))
         out = []
-        for t in texts:
-            found = held[0].text(t)
-            out.append({"n_tokens": sum(len(w[0]) for w in found), "ids_sha256": sha([w[1] for w in found]), "decoded_sha256": sha([w[2] for w in found])})
+        with without_gc():
+            for t in texts:
+                found = held[0].text(t)
+                out.append({"n_tokens": sum(len(w[0]) for w in found), "ids_sha256": sha([w[1] for w in found]), "decoded_sha256": sha([w[2] for w in found])})
         return out
 
     return with_column_from_text(docs, "bpe", DIGEST, values, keep=keep)

@@ -1,10 +1,10 @@
-"""Helpers shared by the llm operators: tables, shared storage, word splitting."""
+"""Helpers shared by the llm operators: tables, batches, word splitting."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import gc
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..storage import materialise  # noqa: F401
+
 #: Rows and bytes that are worked on at once. Spark bounds what Arrow hands to Python (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
@@ -34,24 +36,17 @@ def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, step)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir that driver and executors share; one of our own only where it is unset."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
-    return context.getCheckpointDir()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again.
-
-    This cuts lineage: a lost executor costs a read of the table and not a second run of what made it,
-    and Spark then knows the true size of the table when it picks join strategies.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+@contextmanager
+def without_gc():
+    """Caches of a task hold no cycles; walking them again and again costs more than the work. Workers are used again, so
+    collection is on again afterwards."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
 
 
 def text_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:

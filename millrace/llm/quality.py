@@ -33,8 +33,6 @@ def _c(name: str) -> Column:
     return F.col(f"ledger.{name}")
 
 
-
-
 def rules() -> list[tuple[str, Column]]:
     """Names and failure conditions, in the order of their bits."""
     return [

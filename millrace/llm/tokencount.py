@@ -8,20 +8,22 @@ shuffled. The vocabulary is a public file of fixed size, checked before it is br
 
 A pre-token is a word `[^\\x20\\x09-\\x0D]+` after the mark U+2581. A character that no piece covers scores ten less
 than the worst piece and counts as its UTF-8 bytes. Of equal scores the fewer tokens win. Scores are those of the
-file. Pre-tokens above LONG characters are worked out by themselves, so that the trie stays small.
+file; those of the file at hand, a BPE model, are the negative ranks of its merges. Pre-tokens above LONG characters are
+worked out by themselves, so that the trie stays small; trie and cache start anew when they are full, which changes no
+count.
 
-Defined results: a null or wordless text has no words and 0 tokens; repeated rows get a row each.
+Defined results: a null or wordless text has no words and 0 tokens; repeated rows get a row each; an empty table gives an
+empty one; other columns pass through, but a column `counts` is replaced.
 """
 
 from __future__ import annotations
 
-import gc
 from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import table, with_column_from_text
+from .common import table, with_column_from_text, without_gc
 
 MARK = "▁"
 LONG = 48
@@ -56,7 +58,6 @@ class Trie:
         self.unknown = min(scores.values(), default=0.0) - 10.0
         #: Ends of pieces: a piece that ends at a place grows leftwards only while what it covers is one.
         self.ends = {piece[k:] for piece in scores for k in range(len(piece))}
-        gc.disable()  # the trie holds no cycles; walking it again and again costs more than counting
         self.clear()
 
     def clear(self) -> None:
@@ -112,17 +113,18 @@ def token_counts(docs: DataFrame, path: str | None = None, keep: list[str] | Non
         if len(known) > WORDS:
             known.clear()
         rows = []
-        for text in texts:
-            words = text.split()
-            tokens = lost = 0
-            for w, n in Counter(words).items():
-                if (found := known.get(w)) is None:
-                    found = held[0].count(MARK + w.decode())
-                    if len(w) <= LONG:
-                        known[w] = found
-                tokens += n * found[0]
-                lost += n * found[1]
-            rows.append((len(words), tokens, lost))
+        with without_gc():
+            for text in texts:
+                words = text.split()
+                tokens = lost = 0
+                for w, n in Counter(words).items():
+                    if (found := known.get(w)) is None:
+                        found = held[0].count(MARK + w.decode())
+                        if len(w) <= LONG:
+                            known[w] = found
+                    tokens += n * found[0]
+                    lost += n * found[1]
+                rows.append((len(words), tokens, lost))
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["n_words", "n_tokens", "n_bytes_fallback"])
 
     return with_column_from_text(docs, "counts", COUNTS, values, keep=keep)

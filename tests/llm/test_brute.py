@@ -271,6 +271,80 @@ def test_token_counts(spark):
         assert (r.counts.n_words, r.counts.n_tokens, r.counts.n_bytes_fallback) == (len(words), sum(e[0] for e in each), sum(e[1] for e in each))
 
 
+EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
+YOURS = "you your yours yourself u ur tu te ti toi ton ta tes vous votre vos du dich dir dein deine ihr euch euer sie usted ustedes vosotros tus vuestro".split()
+READ = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": "", ".": "", "-": ""}
+
+
+def plain_stem(word):
+    if len(word) < 5:
+        return ""
+    ends = [e for e in "ings ing ed ly ern er en es est as os a e n o s t".split() if word.endswith(e) and len(word) - len(e) >= 4]
+    return word[: -max(map(len, ends))] if ends else word
+
+
+def plain_features(text, words, stems):
+    tokens = [w.strip(EDGE) for w in text.lower().split()]
+    n, raw = max(1, len(tokens)), text.encode()
+    letters = max(1, len([b for b in raw if chr(b).isascii() and chr(b).isalpha() or b >= 0xC0]))
+    a, b = [i for i, w in enumerate(tokens) if w in words], [i for i, w in enumerate(tokens) if plain_stem(w) in stems]
+    you = [i for i, w in enumerate(tokens) if w in YOURS]
+    near = sum(any(abs(i - j) <= 6 for j in you) for i in {*a, *b})
+    mixed = [m.decode("utf-8", "replace").lower() for m in re.findall(rb"[A-Za-z\x80-\xff]+(?:[0-9@$*!|.\-]+[A-Za-z\x80-\xff]+)+", raw)]
+    mixed = ["".join(READ.get(c, c) for c in m).strip(EDGE) for m in mixed]
+    read = sum(m in words or plain_stem(m) in stems for m in mixed)
+    marks = sum(chr(b) in EDGE + "+=@\\^`~" for b in raw)
+    return [len(a), len(a) / n, len(b), len(b) / n, near / n, len(you) / n, sum(0x41 <= b <= 0x5A for b in raw) / letters, text.count("!!") / n,
+            text.count("!") / max(1, len(raw)), text.count("?") / max(1, len(raw)), marks / max(1, len(raw)), len(mixed) / n, read, math.log1p(len(tokens))]
+
+
+def plain_lexicon(rows):
+    """Words and stems of (text, toxic)."""
+    texts = {(y, tuple(dict.fromkeys(w.strip(EDGE) for w in re.split("[ \t\n\x0b\f\r]+", t.lower())))) for t, y in rows}
+    total = Counter(y for y, _ in texts)
+    out = []
+    for of in (lambda w: w, plain_stem):
+        counts = {y: Counter(e for k, ws in texts if k == y for e in {of(w) for w in ws} if len(e) >= 3) for y in (0, 1)}
+        odds = lambda e: math.log((counts[1][e] + 0.5) / (total[1] + 1)) - math.log((counts[0][e] + 0.5) / (total[0] + 1))
+        out.append({e for e, n in counts[1].items() if n >= 3 and odds(e) >= math.log(20)})
+    return out
+
+
+def tree_of(lines):
+    """A tree out of the lines of its printed form, as a function of the features."""
+    line = lines.pop(0).strip()
+    if line.startswith("Predict"):
+        return lambda x, v=float(line.split()[1]): v
+    at, bound = re.match(r"If \(feature (\d+) <= (\S+)\)", line).groups()
+    yes = tree_of(lines)
+    lines.pop(0)
+    no = tree_of(lines)
+    return lambda x: (yes if x[int(at)] <= float(bound) else no)(x)
+
+
+def test_toxicity_by_plain_python(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.Model(docs, labels)
+    learnt = toxicity.training_rows(docs, labels).collect()
+    marks = {r.doc_id: r.toxic for r in labels.collect()}
+    assert {r.doc_id for r in learnt} == {d for d in marks if zlib.crc32(str(d).encode()) % 4 != 2} and all(marks[r.doc_id] == r.toxic for r in learnt)
+    words, stems = plain_lexicon([(r.text, r.toxic) for r in learnt])
+    assert (model.lexicon[0], model.lexicon[1]) == (words, stems) and words
+    trees = []
+    for tree in model.trees.trees:
+        trees.append(tree_of(tree.toDebugString.split("\n")[1:]))
+    bounds, levels = model.calibration.boundaries.toArray(), model.calibration.predictions.toArray()
+    import numpy as np
+
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in model.score(docs, ["doc_id"]).collect():
+        x = plain_features(texts[r.doc_id], words, stems)
+        margin = sum(w * t(x) for w, t in zip(model.trees.treeWeights, trees, strict=True))
+        p = 1 / (1 + math.exp(-2 * margin))
+        assert r.toxic_score == pytest.approx(min(1, max(0, np.interp(p, bounds, levels))), abs=1e-9), r.doc_id
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}

@@ -28,7 +28,7 @@ def test_decontamination(spark):
     by = {r.doc_id: r.hits for r in out.collect()}
     assert by[2].n_words == 0 and by[3].n_hit == 0 and by[6]["items"] == ["2"] and by[8].n_hit == by[8].n_words == 40_000
     assert by[8]["items"] == [] and by[10]["items"] == ["1"] and by[10].n_hit == 15
-    blocks = decontaminate.contamination(messy(spark), bench, max_broadcast_bytes=20)
+    blocks = decontaminate.contamination(messy(spark), bench, block_words=1)
     assert {(r.doc_id, r.hits.n_hit, *r.hits["items"]) for r in blocks.collect()} == {(r.doc_id, r.hits.n_hit, *r.hits["items"]) for r in out.collect()}
     assert decontaminate.contamination(messy(spark), bench.limit(0)).where("hits.n_hit > 0").count() == 0
     assert decontaminate.contamination(messy(spark).limit(0), bench).count() == 0
@@ -131,10 +131,10 @@ def test_html_wrappers_with_boilerplate_words():
 
 
 def test_urls(spark):
-    urls = [None, "", "no scheme", "http://", "HTTP://A.B.COM?x#y", "https://x.example.com/en/7", "http://com/en/", "http://casino.org/x", "http://a.org/free/deal", "http://dealer.org/freedom", "http://a.net/de/8", "http://b.example.net/de/8", "a://b://c/casino"]
+    urls = [None, "", "no scheme", "http://", "HTTP://A.B.COM?x#y", "https://x.example.com/en/7", "http://com/en/", "http://casino.org/x", "http://a.org/free/deal", "http://dealer.org/freedom", "http://a.net/de/8", "http://b.example.net/de/8", "a://b://c/casino", "http://a.org/x?free=1#deal", "http://a.org/?to=casino", "casino"]
     df = spark.createDataFrame([(i, u, "own", "own") for i, u in enumerate(urls)], "page_id bigint, url string, hits string, text string")
     out = urlfilter.judge_urls(df).orderBy("page_id").collect()
-    assert [r["filter"].verdict for r in out] == ["allow"] * 5 + ["allow", "block", "block", "block", "allow", "allow", "block", "block"]
+    assert [r["filter"].verdict for r in out] == ["allow"] * 5 + ["allow", "block", "block", "block", "allow", "allow", "block", "block", "block", "block", "block"]
     assert out[4]["filter"].host == "a.b.com" and out[4]["filter"].path == "" and out[5]["filter"].rule == "example.com/en/7" and {r.text for r in out} == {"own"}
     assert urlfilter.judge_urls(df.limit(0)).count() == 0
 
