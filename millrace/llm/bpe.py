@@ -8,9 +8,12 @@ Words repeat, so each task keeps the tokens of the chunks that it has seen, up t
 The vocabulary is a public tokenizer file of fixed size, checked before it is broadcast. Texts are encoded where they
 are read; nothing is shuffled.
 
-Defined results: a null text is empty and has no tokens; code points that Unicode 15.1 does not assign may be cut unlike
-the library does, which knows another version; bytes that the vocabulary lacks are left out, as the file has
-no unknown token; special tokens are found in the raw text and keep their id; repeated rows get a row each.
+Letters, numbers and capitals are those of the tokenizers library, whose tables differ from Python's and from those of the
+pattern library: the differences are listed below.
+
+Defined results: a null text is empty and has no tokens; bytes that the vocabulary lacks are left out, as the file has
+no unknown token; special tokens are found in the raw text and keep their id; repeated rows get a row each; an empty table
+gives an empty one; other columns pass through, but a column `bpe` is replaced.
 """
 
 from __future__ import annotations
@@ -29,10 +32,24 @@ from .common import table, with_column_from_text, without_gc
 SHORT = 64
 CACHE = 400_000
 MAX_VOCABULARY_BYTES = 64 << 20
+#: Letters and numbers of the pattern library that Unicode 16 does not have.
+LATER = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CF A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE "
+    "11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA "
+    "18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 "
+    "1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD "
+    "323B0-33479 3D000-3FC3F"
+)
+#: Small letters of capitals that Unicode added after version 15.
+NEW_CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEW_CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 ENCODED = "struct<ids:array<int>,decoded:string>"
 DIGEST = "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string>"
 
 
+_NEW = regex.compile("[" + "".join(map(chr, NEW_CAPITALS)) + "]")
+
+
 def byte_alphabet() -> list[str]:
     """The character that stands for each byte: itself if printable in Latin-1, else the next from U+0100."""
     shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -52,11 +69,20 @@ def load(path: str) -> dict:
         "ids": model["vocab"],
         "ranks": {tuple(pair): rank for rank, pair in enumerate(model["merges"])},
         "special": {t["content"]: t["id"] for t in spec["added_tokens"]},
-        "pattern": split["pattern"]["Regex"],
+        "pattern": _with_known_letters(split["pattern"]["Regex"]),
         "suffix": model["end_of_word_suffix"] or "",
     }
 
 
+def _with_known_letters(pattern: str) -> str:
+    """The pattern with letters and numbers as the library has them, which knows Unicode 16."""
+    ends = [(x.partition("-")[0], x.rpartition("-")[2]) for x in LATER.split()]
+    later = "".join(f"\\U{a:>08}-\\U{b:>08}" for a, b in ends)
+    for kind in (r"\p{L}", r"\p{N}"):
+        pattern = pattern.replace(kind, f"[{kind}--[{later}]]")
+    return pattern
+
+
 def merge_short(parts: list[int], ranks: dict[tuple[int, int], int], merged: list[int]) -> list[int]:
     """Merges by scans over the array of adjacent ranks; merged[rank] is the part that a merge gives."""
     none, get, size = len(merged), ranks.get, len(parts) - 1
@@ -98,7 +124,8 @@ def normalised(text: str) -> str:
     """NFC and the lower case of each character by itself. White space may stay as it is: no pre-token holds any."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # else a final sigma depends on its neighbours
+    text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()  # else a final sigma depends on its neighbours
+    return text.translate(NEW_CAPITALS) if _NEW.search(text) else text
 
 
 class Encoder:
@@ -112,7 +139,7 @@ class Encoder:
         self.merged = [ids[a + b] for a, b in spec["ranks"]]
         alphabet = byte_alphabet()
         self.inner, self.last = [ids.get(c) for c in alphabet], [ids.get(c + suffix) for c in alphabet]
-        self.words = regex.compile(spec["pattern"])
+        self.words = regex.compile(spec["pattern"], regex.V1)
         names = sorted(self.special, key=len, reverse=True)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.cached: dict[str, tuple[int, ...]] = {}
