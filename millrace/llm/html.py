@@ -9,8 +9,8 @@ left on both are alike too (near copies differ by an edit, articles under one te
 next is asked, up to eight runs of different pages on either side; with copies only, nothing is deleted.
 
 Markup is a guard: if the page marks its article (article, main), the text is lines of it, and such a line goes only if
-two different pages share it which each share less than half of the article. One page is not enough there: what two
-articles have in common is most often a quotation or a copy.
+the WITNESSES nearest pages that share less than half of the article all share it. Fewer are not enough there: what some
+articles have in common is a quotation or a passage that many pages give, and belongs to their text.
 
 Scale: lines are compared by 64-bit hashes, so the range shuffle by (host, path) carries hashes and no text, and splits a
 hot host over many tasks. Ranges get the runs of lines before and after them from the driver (eight on either side of a
@@ -40,6 +40,8 @@ PARSED = "struct<decided:boolean,lines:array<string>,main:array<boolean>>"
 GONE = "number bigint, gone array<int>"
 #: Runs of pages with equal lines that are looked at on either side of a page.
 REACH = 8
+#: Pages that must share a line before it goes from a marked article.
+WITNESSES = 4
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split()
@@ -185,7 +187,7 @@ def template(page: Page, near: list[Page]) -> list[int]:
         shared = set(common_lines(page.codes, other.codes))
         if len(own & shared) < 0.5 * len(own) or not page.decided and not _copies(page, other, shared):
             witnesses.append(shared)
-            if len(witnesses) == 1 + page.decided:
+            if len(witnesses) == (WITNESSES if page.decided else 1):
                 return sorted(set.intersection(own, *witnesses))
     return []
 
