@@ -2,7 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. The first four return the columns
 of documents; where a stage changes a text, n_chars follows. A stage's result is written as Parquet in the shared
-folder and read again, so that a lost executor costs a read and not the stages before."""
+folder and read again, so that a lost executor costs a read and not the stages before.
+
+Defined results: a null or empty text is not toxic unless such texts score so, keeps its text, has no near duplicates, is
+clean and has no tokens; a null doc_id is carried through (where documents are alike, it is kept only if all of them have
+none). Of equal texts the least doc_id keeps its lines and stays; rows that repeat an id and a text are one document to line
+dedup, and one of them stays. Further columns, whatever their names, pass through the first four stages. Empty tables give
+an empty result; without labels of both classes the share of toxic labels decides for all documents."""
 
 from __future__ import annotations
 
