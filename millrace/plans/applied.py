@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import apply
 from ..operators.state import budget_gates
 from ..sinks import tables as sink
-from ..storage import fresh_path
+from ..storage import delete_at_exit, fresh_path
 from ..tables import Tables
 from .registry import AS_OF_TEXT, as_of, query
 
@@ -17,6 +17,7 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     """The table after it was written twice: a run that is repeated changes nothing."""
     path = fresh_path(df.sparkSession, name)
     sink.replace(df, path)
+    delete_at_exit(df.sparkSession, path)
     return sink.replace(df, path)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,7 +132,12 @@ def keep_first_dedup(t: Tables) -> DataFrame:
     return rel.first_by(named, ["name"], F.asc("app_id"))
 
 
-@query()
+@query(
+    f"""WITH q(a, b, score) AS ({views.ratios_sql(views.part_names(), views.part_names(), identity.WEAK_WITH_DOMAIN)}),
+    n AS (SELECT p_name AS name, min(p_partkey) AS id, min(p_brand) AS brand FROM part GROUP BY ALL),
+    p AS (SELECT x.id AS id1, y.id AS id2, score FROM n x JOIN n y ON x.id <> y.id JOIN q ON a = y.name AND b = x.name WHERE score >= {identity.WEAK} OR x.brand = y.brand)
+    SELECT id1, id2, score, CAST(row_number() OVER (PARTITION BY id1 ORDER BY score DESC, id2) AS INTEGER) AS rank FROM p QUALIFY rank <= 5"""
+)
 def weak_top5(t: Tables) -> DataFrame:
     """For each name the five most similar names, of one brand or very similar."""
     names = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("id"), F.min("p_brand").alias("brand"))
@@ -145,19 +148,11 @@ def weak_top5(t: Tables) -> DataFrame:
     return identity.weak_matches(pairs, "id1", "id2", F.col("p_name2"), F.col("p_name1"), same).select("id1", "id2", "score", "rank")
 
 
-def _alike() -> str:
-    """Rows of SQL: names of drafts and of apps with a ratio of STRONG or more."""
-    nouns = ("ring", "bolt", "widget", "plate", "rod", "anvil", "gear", "gizmo")
-    names = [f"{a} {b}" for a in ("blue", "red", "cold", "small", "hot", "old", "new", "large") for b in nouns]
-    ratio = lambda x, y: difflib.SequenceMatcher(None, x, y).ratio()
-    return ", ".join(f"('{d}', '{a}')" for d in (f"{x} ring" for x in _DRAFTED) for a in names if ratio(a, d) >= identity.STRONG)
-
-
 _DRAFTED = ("small", "red", "blue", "hot", "green", "cold")
 
 
 @query(
-    f"""WITH alike(dn, an) AS (VALUES {_alike()}),
+    f"""WITH alike(dn, an, ratio) AS ({views.ratios_sql([f"{x} ring" for x in _DRAFTED], views.part_names(), identity.STRONG)}),
     d AS (SELECT c_custkey AS draft_id, c_custkey % 4 AS m, {list(_DRAFTED)}[c_custkey % 6 + 1] || ' ring' AS dn, c_custkey AS k FROM customer),
     a AS (SELECT p_partkey AS app_id, p_partkey % 4 AS m, p_name AS an, p_partkey AS k, p_size FROM part),
     x AS (SELECT draft_id, app_id, p_size, 1 AS kind FROM d JOIN a ON d.m = 0 AND a.m = 0 AND d.k % 50 = a.k % 50

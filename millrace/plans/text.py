@@ -56,7 +56,11 @@ def trigram_self_similar(t: Tables) -> DataFrame:
     return search.similar_pairs(views.apps(t), "app_id", "name", 0.4)
 
 
-@query()
+@query(
+    f"""WITH q(a, b, ratio) AS ({views.ratios_sql(views.part_names(), views.part_names(), 0.0)}), n AS (SELECT p_name AS name, min(p_partkey) AS k FROM part GROUP BY ALL)
+    SELECT x.k AS k1, y.k AS k2, ratio FROM n x JOIN n y ON x.k < y.k JOIN q ON a = x.name AND b = y.name
+    WHERE ratio >= {WEAK} OR split_part(x.name, ' ', 1) = split_part(y.name, ' ', 1)"""
+)
 def ratio_name_pairs(t: Tables) -> DataFrame:
     """Pairs of names with their matching-block ratio: those of the same first word, and all of a ratio of WEAK or more."""
     names = t.part.groupBy("p_name").agg(F.min("p_partkey").alias("k")).withColumn("block", F.element_at(F.split("p_name", " "), 1))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import difflib
+from itertools import product
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,3 +53,16 @@ CAPABILITIES_SQL = """SELECT l_partkey AS app_id, l_linenumber AS capability,
 PROBES_SQL = """SELECT event_id, user_id AS app_id,
   CASE WHEN CAST(props->>'$.k' AS BIGINT) % 2 = 0 THEN 'official' ELSE 'install' END AS target, ts, event_type <> 'error' AS ok
   FROM events"""
+
+
+def part_names() -> list[str]:
+    """All names that parts have."""
+    nouns = ("ring", "bolt", "widget", "plate", "rod", "anvil", "gear", "gizmo")
+    return [f"{a} {b}" for a, b in product(("blue", "red", "cold", "small", "hot", "old", "new", "large"), nouns)]
+
+
+def ratios_sql(left: list[str], right: list[str], least: float) -> str:
+    """VALUES (a, b, ratio) of names with a matching-block ratio of at least `least`, which SQL does not have."""
+    ratio = lambda a, b: round(difflib.SequenceMatcher(None, a, b).ratio(), 6)
+    rows = ((a, b, ratio(a, b)) for a, b in product(left, right))
+    return "VALUES " + ", ".join(f"('{a}', '{b}', {r}::DOUBLE)" for a, b, r in rows if r >= least)

@@ -22,11 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str = "stage") -> str:
-    """A path in the shared folder that is deleted when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing has."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Has a written folder deleted when the application ends."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -35,6 +38,8 @@ def materialise(df: DataFrame) -> DataFrame:
     This cuts lineage: a lost executor costs a read of the table and not a second run of what made it,
     and Spark then knows the true size of the table when it picks join strategies. Tables are read lazily, so they are
     deleted when the application ends."""
-    path = fresh_path(df.sparkSession)
+    spark = df.sparkSession
+    path = fresh_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    delete_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
