@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 
 pytest.importorskip("millrace.llm")
@@ -14,7 +15,7 @@ pytest.importorskip("millrace.llm")
 from hypothesis import given, settings, strategies as st  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from millrace.llm import bpe, html, lm, ngramjoin, tokencount, toxicity  # noqa: E402
+from millrace.llm import bpe, html, linededup, lm, ngramjoin, tokencount, toxicity  # noqa: E402
 from tests.llm.common import TEXTS, documents  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -547,7 +548,10 @@ def test_pipeline_stage_by_stage(spark):
             assert set(now) == {d for d, s in scores.items() if s < 0.3}
         elif name == "line_dedup":
             assert set(now) == set(was) and all(r.n_chars == len(r.text) for r in now.values() if r.text != was[r.doc_id])
-            assert any(r.text != was[r.doc_id] for r in now.values())
+            db = duckdb.connect()
+            db.register("documents", before.select("doc_id", "text").toPandas())
+            want = {r[0]: r[1] for r in db.sql(linededup.OP3_SQL).project("doc_id, text").fetchall()}
+            assert {d: r.text for d, r in now.items()} == want and want != was
         elif name == "ngram_jaccard_join":
             assert set(now) == {d for d, n, c in brute_components(list(was.items())) if n == 0 or d == c}
         elif name == "decontamination":
