@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, linededup, lm, ngramjoin, quality, tokencount, toxicity, urlfilter
+from . import bpe, decontaminate, html, linededup, lm, ngramjoin, quality, tokencount, toxicity, urlfilter, vectorcode
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_html_extraction": html.op8_html_extraction,
         "op9_url_filters": urlfilter.op9_url_filters,
         "op10_ngram_jaccard_join": ngramjoin.op10_ngram_jaccard_join,
+        "op11_vector_codes": vectorcode.op11_vector_codes,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_line_dedup": linededup.OP3_SQL,
         "op9_url_filters": urlfilter.OP9_SQL,
         "op10_ngram_jaccard_join": ngramjoin.OP10_SQL,
+        "op11_vector_codes": vectorcode.OP11_SQL,
     }
