@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html, linededup, lm, ngramjoin, quality, tokencount, toxicity, urlfilter, vectorcode
+from . import bpe, decontaminate, discriminant, html, linededup, lm, ngramjoin, quality, tokencount, toxicity, urlfilter, vectorcode
 
 
 def queries() -> dict:
@@ -18,11 +18,12 @@ def queries() -> dict:
         "op9_url_filters": urlfilter.op9_url_filters,
         "op10_ngram_jaccard_join": ngramjoin.op10_ngram_jaccard_join,
         "op11_vector_codes": vectorcode.op11_vector_codes,
+        "op12_quality_classifier": discriminant.op12_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """Op 4 to 8 learn, follow a tokenizer file or parse markup, which SQL does not express; tests hold them against brute force."""
+    """Op 4 to 8 and 12 learn, follow a tokenizer file or parse markup, which SQL does not express; tests hold them against brute force."""
     return {
         "op1_benchmark_decontamination": decontaminate.OP1_SQL,
         "op2_quality_rules": quality.OP2_SQL,
