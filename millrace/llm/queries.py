@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, discriminant, html, linededup, lm, ngramjoin, quality, tokencount, toxicity, urlfilter, vectorcode
+from . import bpe, conversationtrie, decontaminate, discriminant, html, linededup, lm, ngramjoin, quality, tokencount, toxicity, urlfilter, vectorcode
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_ngram_jaccard_join": ngramjoin.op10_ngram_jaccard_join,
         "op11_vector_codes": vectorcode.op11_vector_codes,
         "op12_quality_classifier": discriminant.op12_quality_classifier,
+        "op13_conversation_trie": conversationtrie.op13_conversation_trie,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_url_filters": urlfilter.OP9_SQL,
         "op10_ngram_jaccard_join": ngramjoin.OP10_SQL,
         "op11_vector_codes": vectorcode.OP11_SQL,
+        "op13_conversation_trie": conversationtrie.OP13_SQL,
     }
