@@ -23,5 +23,5 @@ def test_jaccard_join_at_the_next_size(spark):
 def test_all_are_registered():
     import __spark_entry__ as entry
 
-    assert {f"op{n}_" for n in range(1, 11)} <= {k.split("_")[0] + "_" for k in entry.queries() if k[:2] == "op" and k[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} <= {k.split("_")[0] + "_" for k in entry.queries() if k[:2] == "op" and k[2].isdigit()}
     assert "pipeline" in entry.queries()
