@@ -28,10 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sliced(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches with at most BATCH_ROWS rows and about BATCH_BYTES bytes, one row at least; nothing is copied."""
+def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with at most `rows` rows and about BATCH_BYTES bytes, one row at least; nothing is copied."""
     for batch in batches:
-        step = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
+        step = max(1, min(rows, batch.num_rows * BATCH_BYTES // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
 

@@ -38,7 +38,9 @@ from .common import arrow_schema, materialise, sliced, table
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
 SCALE, LARGEST = 256, 1 << 26
 #: Entries that a leaf of a tree holds at most.
-LEAF = 6
+LEAF = 12
+#: Vectors that go down the trees at once; steps of a search are shared by them.
+AT_ONCE = 20_000
 _NO = np.iinfo(np.int64).max
 
 
@@ -66,7 +68,7 @@ class Tree:
     """A vantage-point tree over the rows of `entries` (integers)."""
 
     def __init__(self, entries: np.ndarray, leaf: int = LEAF):
-        self.entries, self.leaf = entries, leaf
+        self.entries, self.leaf = entries, max(2, leaf)  # a node has two halves with entries
         self.root = self._node(np.arange(len(entries)))
 
     def _node(self, own: np.ndarray):
@@ -151,7 +153,7 @@ def first_entries(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES
     def least(length: int | None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[int, list[int]] = {}
-            for batch in sliced(batches):
+            for batch in sliced(batches, AT_ONCE):
                 ids = batch.column(0).to_pylist()
                 rows, made = integers(batch.column(1), parts, length)
                 for i, x in zip(rows.tolist(), made, strict=True):
@@ -182,7 +184,7 @@ def refined(vectors: DataFrame, books: Codebooks, vector: str = "embedding") ->
         books = held.value
         parts, entries, width = books.entries.shape
         trees, total, n = books.trees(), np.zeros_like(books.entries), np.zeros((parts, entries), np.int64)
-        for batch in sliced(batches):
+        for batch in sliced(batches, AT_ONCE):
             _, x = integers(batch.column(0), parts, books.length)
             codes, _ = assigned(trees, x)
             for p, own in enumerate(np.split(x, parts, 1)):
@@ -218,7 +220,7 @@ def encode(vectors: DataFrame, books: Codebooks, vector: str = "embedding", keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, trees = held.value, held.value.trees()
-        for batch in sliced(batches):
+        for batch in sliced(batches, AT_ONCE):
             rows, x = integers(batch.column(vector), len(trees), books.length)
             codes, errors = assigned(trees, x)
             text = codes.astype(np.uint8).tobytes().hex()
