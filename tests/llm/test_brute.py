@@ -15,7 +15,7 @@ pytest.importorskip("millrace.llm")
 from hypothesis import given, settings, strategies as st  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
-from millrace.llm import bpe, html, linededup, lm, ngramjoin, tokencount, toxicity  # noqa: E402
+from millrace.llm import bpe, linededup, lm, ngramjoin, tokencount, toxicity  # noqa: E402
 from tests.llm.common import TEXTS, documents  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -368,154 +368,6 @@ def test_toxicity_on_held_out_labels(spark):
     assert area > 0.95, area
 
 
-@given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14))
-@settings(max_examples=300, deadline=None)
-def test_common_lines_are_longest(a, b):
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-    at = html.common_lines(a, b)
-    assert len(at) == best[-1][-1] and at == sorted(set(at))
-    rest = iter(b)
-    assert all(a[i] in rest for i in at)  # a subsequence of b
-
-
-def test_html_template_lines_go(spark):
-    page = lambda k: f"<div>Site name</div><div>Page {k} has its own text</div><div>and line {k * 7}</div><div>Made with care</div>"
-    df = spark.createDataFrame([(k, f"http://h.example/en/{k}", page(k)) for k in range(6)] + [(9, "http://other.example/1", page(9))], "page_id bigint, url string, html string")
-    by = {r.page_id: r.extracted for r in html.extract(df.coalesce(1)).collect()}
-    assert by[9].split("\n")[0] == "Site name"  # no neighbour on its host
-    assert all(by[k] == f"Page {k} has its own text\nand line {k * 7}" for k in range(6))
-
-
-def test_html_template_lines_of_marked_articles_go(spark):
-    """Every page is paired: what five articles share goes, what two share stays, and what is outside the article goes."""
-    both = {2: "<p>A quotation that two pages give.</p>", 3: "<p>A quotation that two pages give.</p>"}
-    page = lambda k: f"<div>Site {k}</div><article><p>Written by us</p><p>Text {k} of its own</p>{both.get(k, '')}<p>More on {k * 7}</p><p>End of {k}</p></article>"
-    df = spark.createDataFrame([(k, f"http://h.example/en/{k}", page(k)) for k in range(6)], "page_id bigint, url string, html string")
-    by = {r.page_id: r.extracted.split("\n") for r in html.extract(df.coalesce(1)).collect()}
-    quoted = lambda k: ["A quotation that two pages give."] * (k in both)
-    assert by == {k: [f"Text {k} of its own", *quoted(k), f"More on {k * 7}", f"End of {k}"] for k in range(6)}
-
-
-def test_html_pages_on_edges_copies_and_short_articles(spark):
-    """The text does not depend on partitions; copies are passed over; a short article loses a long template."""
-    frame = "".join(f"<div>Template line {i}</div>" for i in range(40))
-    own = lambda k: [" ".join(f"{w}{k}{i}" for w in ("ab", "cd", "ef", "gh")) for i in range(3)]
-    copy = lambda k: [*own(90)[:2], f"{own(90)[2]} edited{k}"]
-    texts = {k: own(k) for k in range(8)} | {k: copy(k) for k in range(20, 23)} | {k: own(50) for k in range(30, 45)}
-    page = lambda k: frame + "".join(f"<p>{x}</p>" for x in texts[k])
-    rows = [(k, f"http://{'two' if k < 2 else 'many'}.example/en/{k:03d}", page(k)) for k in texts]
-    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    kept = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        for parts in (1, 3, 50):
-            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-            assert {r.page_id: r.extracted.split("\n") for r in html.extract(df.repartition(3)).collect()} == texts, parts
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", kept)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-
-
-def longest_common(a, b):
-    """Places in a of the longest common subsequence with b that html.common_lines takes, by plain recursion on ends."""
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-    return best[-1][-1]
-
-
-def brute_extract(pages):
-    """Texts by page: every page against the eight runs of different pages on either side in the order of host and path."""
-    parsed = {}
-    for k, url, text in pages:
-        decided, lines, main = html.parse(text)
-        host, path = re.match("^([^/?#]*)([^?#]*)", url.partition("://")[2]).groups()
-        parsed[k] = (host.lower(), path, lines, main, decided)
-    order = sorted(parsed, key=lambda k: (parsed[k][0], parsed[k][1], lines_key(parsed[k][2]), k))
-    runs = []
-    for k in order:
-        if runs and (parsed[runs[-1][0]][0], parsed[runs[-1][0]][2]) == (parsed[k][0], parsed[k][2]):
-            runs[-1].append(k)
-        else:
-            runs.append([k])
-    out = {}
-    for at, run in enumerate(runs):
-        host, path, lines, main, decided = parsed[run[0]]
-        near = [(n, runs[n][0]) for n in range(max(0, at - 8), min(len(runs), at + 9)) if parsed[runs[n][0]][0] == host and parsed[runs[n][0]][2] != lines]
-        start = lambda p: next((i for i, (x, y) in enumerate(zip(p, path)) if x != y), min(len(p), len(path)))
-        near.sort(key=lambda x: (-start(parsed[x[1]][1]), abs(x[0] - at)))
-        own, gone, witnesses = [i for i, m in enumerate(main) if m], set(), []
-        for _, other in near:
-            shared = set(html.common_lines(lines, parsed[other][2]))
-            assert len(shared) == longest_common(lines, parsed[other][2])
-            if 2 * len(shared & set(own)) < len(own) or not decided and not alike(lines, parsed[other][2], shared):
-                witnesses.append(shared)
-                if len(witnesses) == (4 if decided else 1):
-                    gone = set.intersection(set(own), *witnesses)
-                    break
-        for k in run:
-            out[k] = "\n".join(lines[i] for i in own if i not in gone)
-    return out
-
-
-def lines_key(lines):
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    key = tuple(lines)
-    if key not in lines_key.known:
-        lines_key.known[key] = spark.createDataFrame([(list(lines),)], "x array<string>").selectExpr("transform(x, y -> xxhash64(y))").first()[0] if lines else []
-    return lines_key.known[key]
-
-
-lines_key.known = {}
-
-
-def alike(lines, others, shared):
-    """Whether two pages are near copies: nine tenths of the lines shared, and half of the others alike in their least or
-    greatest word hash, which here are the words themselves by one hash of Spark."""
-    if len(shared) < 0.9 * len(lines):
-        return False
-    rest = Counter(others) - Counter(lines[i] for i in shared)
-    few, many = sorted(([x for i, x in enumerate(lines) if i not in shared], list(rest.elements())), key=len)
-    ends = lambda line: (min(lines_key(line.split(" "))), max(lines_key(line.split(" "))))
-    return 2 * sum(any(ends(a)[0] == ends(b)[0] or ends(a)[1] == ends(b)[1] for b in many) for a in few) >= len(few)
-
-
-@pytest.mark.parametrize("marked", [False, True])
-def test_html_extraction_by_brute_force(spark, marked):
-    """The whole extraction, with 1, 8 and 200 partitions; differencing changes rows of marked and of unmarked pages."""
-    rng = random.Random(marked)
-    frame = [[f"Site {h} {x}" for x in ("name", "says hello", "slogan")] for h in range(3)]
-    words = [f"v{i}" for i in range(300)]
-    pages = []
-    for k in range(36):
-        h = k % 3
-        body = [" ".join(rng.choices(words, k=8)) for _ in range(rng.choice([1, 3, 9]))]
-        if k % 9 == 4:
-            body = prior  # a copy of the page before on its host or another
-        prior = body
-        said = "".join(f"<p>{x}</p>" for x in [frame[h][0], *body, *frame[h][1:]])
-        outside = f"<div>Outside {h}</div>"
-        pages.append((k, f"https://H{h}.example/{rng.choice('ab')}/{k:02d}?q={k}", outside + (f"<article>{said}</article>" if marked else said)))
-    want = brute_extract(pages)
-    assert any(f"Site {k % 3} name" not in t for k, t in want.items())
-    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
-    kept = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        for parts in (1, 8, 200):
-            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-            assert {r.page_id: r.extracted for r in html.extract(df.repartition(2)).collect()} == want, parts
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", kept)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-
-
 def contaminated(texts, items):
     """Ids of the texts of which a twentieth or more is hit."""
     windows = set()
