@@ -51,7 +51,9 @@ YOU = frozenset(
 )
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 _STEM = re.compile(STEM)
-_MIXED = re.compile(rb"[A-Za-z\x80-\xff]+(?:[0-9@$*!|.\-]+[A-Za-z\x80-\xff]+)+")
+#: Letters with digits or symbols between them; it starts where a run of letters does and never gives letters back, so a text is
+#: read once however long its words are.
+_MIXED = re.compile(rb"(?<![A-Za-z\x80-\xff])[A-Za-z\x80-\xff]++(?:[0-9@$*!|.\-]++[A-Za-z\x80-\xff]++)+")
 #: Letters that digits and symbols stand for.
 _READ = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": None, ".": None, "-": None})
 _NOT_UPPER = bytes(b for b in range(256) if not 0x41 <= b <= 0x5A)

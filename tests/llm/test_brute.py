@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -412,3 +413,18 @@ def test_pipeline_stage_by_stage(spark):
             t = library()
             assert {d: r.n_tokens for d, r in now.items()} == {d: len(t.encode(x or "", add_special_tokens=False).ids) for d, x in was.items()}
         before = after
+
+
+@given(st.text("aé1@.- x", max_size=40))
+@settings(max_examples=500, deadline=None)
+def test_mixed_words_are_the_longest_ones(text):
+    """The pattern that reads a text once finds what the plain one does."""
+    plain = re.compile(rb"[A-Za-z\x80-\xff]+(?:[0-9@$*!|.\-]+[A-Za-z\x80-\xff]+)+")
+    assert toxicity._MIXED.findall(text.encode()) == plain.findall(text.encode())
+
+
+@pytest.mark.parametrize("word", ["x" * 1_000_000, "x1" * 500_000, "1" * 1_000_000, "x" * 500_000 + "." * 500_000, "é!" * 300_000, "a b " * 250_000])
+def test_toxic_features_of_a_word_of_a_megabyte(word):
+    start = time.process_time()
+    assert len(toxicity.features(word.encode(), toxicity.Kinds(frozenset(["x"]), frozenset()))) == len(toxicity.FEATURES)
+    assert time.process_time() - start < 2
