@@ -6,6 +6,8 @@ applying a plan twice is applying it once."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,23 +27,50 @@ def upserted(apps: DataFrame, sources: DataFrame, drafts: DataFrame, matches: Da
     source fills the blank fields of its app, raises an unknown verification and gets the new payload; a match gets
     the source attached; a new draft makes an app, numbered on from the greatest id in the order of drafts, unless an
     earlier draft of the run has its source. Of several drafts of an app or source the first counts."""
-    outcomes = upsert_outcomes(drafts, sources, matches)
+    out = upserted_tables(apps, sources, drafts, matches, fields)
+    return out["apps"], out["sources"], out["outcomes"]
+
+
+def upserted_tables(
+    apps: DataFrame,
+    sources: DataFrame,
+    drafts: DataFrame,
+    matches: DataFrame,
+    fields: list[str],
+    bridges: dict[str, tuple[DataFrame, DataFrame, DataFrame]] | None = None,
+    refreshed: tuple[str, ...] = (),
+    candidates: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> dict[str, DataFrame]:
+    """All tables after the drafts, to be published by one commit: apps, sources and outcomes as in upserted, each bridge,
+    and candidates if asked for.
+
+    bridges: by name the rows (app_id, slug), what drafts want (draft_id, slug) and the slugs there are; an app that a draft
+    makes gets its known slugs, and of the bridges in refreshed so does an app whose source a draft renews. candidates(made,
+    apps): duplicates for review of the apps that the run made among all apps after it, the earlier ones of the run too."""
+    outcomes = materialise(upsert_outcomes(drafts, sources, matches))
     both = drafts.join(outcomes, "draft_id")
     known = first_by(both.where("outcome = 'updated'"), ["app_id"], F.asc("draft_id"))
     new = first_by(both.where("outcome = 'new'").withColumn("_own", F.when(F.col("external_id") == "", F.col("draft_id"))), ["source_type", "external_id", "_own"], F.asc("draft_id"))
     new = new.drop("_own", "app_id")
     last = apps.agg(F.max("app_id")).first()[0] or 0
-    new = new.join(numbered(new, "draft_id", "_n"), "draft_id").withColumn("app_id", F.col("_n") + last).drop("_n")
+    new = materialise(new.join(numbered(new, "draft_id", "_n"), "draft_id").withColumn("app_id", F.col("_n") + last).drop("_n"))
     filling = known.select("app_id", *(F.col(f).alias(f"_new_{f}") for f in fields), F.col("verification").alias("_new_verification"))
     raised = F.when(F.coalesce("verification", F.lit("unknown")) == "unknown", F.coalesce("_new_verification", "verification")).otherwise(F.col("verification"))
     old = apps.join(filling, "app_id", "left").select("app_id", raised.alias("verification"), *(filled(F.col(f), F.col(f"_new_{f}")).alias(f) for f in fields))
     written = first_by(both.where("external_id <> ''"), ["source_type", "external_id"], F.asc("draft_id"))
     payloads = written.select("source_type", "external_id", F.col("payload").alias("_payload"))
     kept = sources.join(payloads, ["source_type", "external_id"], "left").withColumn("payload", F.coalesce("_payload", "payload")).drop("_payload")
-    attached = both.where("outcome = 'skipped'").unionByName(new.select(*both.columns)).where("external_id <> ''")
-    attached = first_by(attached, ["source_type", "external_id"], F.asc("draft_id")).select(sources.columns)
-    whole = kept.unionByName(having_none(attached, sources, ["source_type", "external_id"]))
-    return old.unionByName(new.select(old.columns)), whole, outcomes
+    attaching = both.where("outcome = 'skipped'").unionByName(new.select(*both.columns)).where("external_id <> ''")
+    attaching = first_by(attaching, ["source_type", "external_id"], F.asc("draft_id")).select(sources.columns)
+    whole = kept.unionByName(having_none(attaching, sources, ["source_type", "external_id"]))
+    out = {"apps": old.unionByName(new.select(old.columns)), "sources": whole, "outcomes": outcomes}
+    made, renewed = new.select("draft_id", "app_id"), outcomes.where("outcome = 'updated'").select("draft_id", "app_id")
+    for name, (rows, wanted, dim) in (bridges or {}).items():
+        owners = made.unionByName(renewed) if name in refreshed else made
+        out[name] = attached(rows, wanted.join(owners, "draft_id"), dim, "app_id", "slug")
+    if candidates:
+        out["candidates"] = candidates(new.select(old.columns), out["apps"])
+    return out
 
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
@@ -111,16 +140,32 @@ def persisted_drift(diff: DataFrame, sources: DataFrame, key: str, as_of: Column
     change = F.struct("field", "before", "after")
     entries = diff.groupBy(key).agg(F.to_json(F.array_sort(F.collect_list(change))).alias("changes"))
     checked = sources.join(entries, key, "left")
-    payload = augmented(F.col("payload"), {"drift": F.coalesce("changes", F.lit("[]"))})
+    payload = augmented(F.col("payload"), {"drift": F.parse_json(F.coalesce("changes", F.lit("[]")))})
     return entries, checked.select(*(as_of.alias(c) if c == "last_enriched_at" else payload.alias(c) if c == "payload" else F.col(c) for c in sources.columns))
 
 
+#: The key under which a payload that is no JSON object is kept.
+ORIGINAL = "_original"
+
+
 def augmented(payload: Column, extra: dict[str, Column]) -> Column:
-    """A JSON object with further keys, whose values are JSON texts; a key that is there already is replaced. Values are
-    kept as text, nested ones as their JSON."""
-    old = F.coalesce(F.from_json(payload, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """A JSON object with further keys; a key that is there already is replaced, in its place in the order the new one comes last.
+
+    All else keeps its type: the object is taken apart at its top level only, into VARIANT values, so numbers, flags,
+    nulls and nested values come back equal. Values of extra are texts, numbers, flags or parsed JSON (try_parse_json). A
+    payload that is another JSON value, or no JSON, stays whole under ORIGINAL; a null or blank one is an empty object."""
+    entries = F.from_json(payload, "map<string,variant>")
+    whole = F.create_map(F.lit(ORIGINAL), F.coalesce(F.try_parse_json(payload), payload.cast("variant")))
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))
+    old = F.coalesce(entries, F.when(~blank(payload), whole), none)
     kept = F.map_filter(old, lambda k, v: ~k.isin(*extra))
-    return F.to_json(F.map_concat(kept, F.create_map(*(x for k, v in extra.items() for x in (F.lit(k), v)))))
+    return F.to_json(F.map_concat(kept, F.create_map(*(x for k, v in extra.items() for x in (F.lit(k), v.cast("variant"))))))
+
+
+def payload_problem(payload: Column) -> Column:
+    """Why a payload is kept under ORIGINAL: "not_an_object", "not_json", or null if it is an object or blank."""
+    is_object = F.from_json(payload, "map<string,variant>").isNotNull()
+    return F.when(~is_object & ~blank(payload), F.when(F.try_parse_json(payload).isNotNull(), "not_an_object").otherwise("not_json"))
 
 
 def vanished(crossings: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -70,21 +70,53 @@ def identity_keys(records: DataFrame, key: str, urls: tuple[str, ...] = URLS) ->
 def strong_matches(drafts: DataFrame, apps: DataFrame, order: list[Column], draft: str = "draft_id", app: str = "app_id") -> DataFrame:
     """(draft, app, kind): the first app in order that shares a key with the draft, by its first kind of key.
 
-    A shared developer's domain needs similar names too; only those pairs are compared by name. All drafts of one value
-    of another kind share its first app, so that only it is joined."""
+    Of all apps of one value of a key only the first in order can win, so only it is joined. A shared developer's domain
+    needs similar names too: there names are compared once for each domain, whatever the number of drafts and apps that
+    have them, and only those that share a piece that similar names must share; then the first app of a name stands for
+    all, and the first of the names that are close to a draft's name for the domain."""
     left = identity_keys(drafts, draft)
     right = identity_keys(apps, app)
-    alone = right.where("kind <> 3").join(apps, app)
-    alone = first_by(alone, ["kind", "value"], *order, F.col(app).asc()).select(right.columns)
-    right = right.where("kind = 3").unionByName(alone)
-    met = left.join(right, ["kind", "value"]).groupBy(draft, app).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-    named = met.join(drafts.select(draft, F.col("name").alias("_a")), draft).join(apps.withColumnRenamed("name", "_b"), app)
-    by_name = F.element_at("kinds", 1) == 3
-    sure = named.where(~by_name).withColumn("kind", F.element_at("kinds", 1))
-    close = named.where(by_name).where(name_ratio(F.col("_b"), F.col("_a")) >= STRONG).withColumn("kind", F.lit(3))
-    slugged = named.where(by_name & F.array_contains("kinds", 4)).withColumn("kind", F.lit(4))
-    whole = sure.unionByName(close).unionByName(slugged)
-    return first_by(whole, [draft], *order, F.col(app).asc(), F.col("kind").asc()).select(draft, app, "kind")
+    place = [*order, F.col(app).asc()]
+    firsts = first_by(right.where("kind <> 3").join(apps, app), ["kind", "value"], *place).select("kind", "value", app)
+    sure = left.where("kind <> 3").join(firsts, ["kind", "value"]).select(draft, app, "kind")
+
+    node = lambda keys, rows, key: keys.where("kind = 3").select(key, F.col("value").alias("_domain")).join(rows.withColumn("_name", F.lower(F.trim("name"))), key).where("_name <> ''")
+    ours = node(left, drafts.select(draft, "name"), draft)
+    theirs = first_by(node(right, apps, app), ["_domain", "_name"], *place)
+    near = close_in_block(ours.select("_domain", "_name").distinct(), theirs.select("_domain", "_name"), "_domain", "_name", STRONG)
+    reached = near.join(theirs.withColumnRenamed("_name", "_other"), ["_domain", "_other"])
+    best = first_by(reached, ["_domain", "_name"], *place).select("_domain", "_name", app)
+    close = ours.join(best, ["_domain", "_name"]).select(draft, app, F.lit(3).alias("kind"))
+    whole = sure.unionByName(close).join(apps, app)
+    return first_by(whole, [draft], *place, F.col("kind").asc()).select(draft, app, "kind")
+
+
+def close_in_block(left: DataFrame, right: DataFrame, block: str, name: str, least: float) -> DataFrame:
+    """(block, name, _other): distinct names of left with those of right in the same block that have a ratio of `least` or
+    more. Names meet by pieces that such names share; the block is part of the key, so a large block is spread by pieces."""
+
+    @F.pandas_udf("struct<part:array<string>,whole:array<string>>")
+    def pieces(x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_pieces(p or "", least - 1e-6) for p in x], columns=["part", "whole"])
+
+    first = right.select(block, F.col(name).alias("_other"), F.explode(pieces(F.col(name))["whole"]).alias("_piece"))
+    second = left.select(block, name, F.explode(pieces(F.col(name))["part"]).alias("_piece"))
+    met = second.join(first, [block, "_piece"]).select(block, name, "_other").distinct()
+    return met.where(name_ratio(F.col("_other"), F.col(name)) >= least)
+
+
+def duplicate_candidates(made: DataFrame, apps: DataFrame, kept: int = WEAK_KEPT, least: float = WEAK) -> DataFrame:
+    """(app_id, candidate_app_id, score): for each made app (app_id, name) the apps of lower ids with very similar names, the
+    best `kept` (a top-k report).
+
+    Names are compared once each; of the apps of a name only the first `kept` can be among the best of another app."""
+    clean = lambda df: df.select("app_id", F.lower(F.trim("name")).alias("_name")).where("_name <> ''").withColumn("_all", F.lit(True))
+    ours, theirs = clean(made), clean(apps)
+    near = close_in_block(ours.select("_all", "_name").distinct(), theirs.select("_all", "_name").distinct(), "_all", "_name", least)
+    near = near.withColumn("score", F.round(name_ratio(F.col("_other"), F.col("_name")), 6))
+    first = top_by(theirs, ["_name"], kept, F.asc("app_id"), rank="_place").select(F.col("_name").alias("_other"), F.col("app_id").alias("candidate_app_id"))
+    pairs = ours.join(near, ["_all", "_name"]).join(first, "_other").where("candidate_app_id < app_id")
+    return top_by(pairs, ["app_id"], kept, F.desc("score"), F.asc("candidate_app_id")).select("app_id", "candidate_app_id", "score")
 
 
 def weak_matches(pairs: DataFrame, left: str, right: str, a: Column, b: Column, shares_domain: Column, kept: int = WEAK_KEPT) -> DataFrame:

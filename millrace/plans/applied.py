@@ -5,24 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import apply
+from ..operators import apply, identity
 from ..operators.state import budget_gates
 from ..sinks import tables as sink
-from ..storage import delete_at_exit, fresh_path
+from ..sinks.snapshots import Snapshots
 from ..tables import Tables
+from .derived import published
 from .registry import AS_OF_TEXT, as_of, query
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
-    """The table after it was written twice: a run that is repeated changes nothing."""
-    path = fresh_path(df.sparkSession, name)
-    sink.replace(df, path)
-    delete_at_exit(df.sparkSession, path)
-    return sink.replace(df, path)
+    return published(df.sparkSession, {name: df}).read(name)
 
 
-def _upsert(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Customers as drafts, parts as apps, orders of some keys as sources."""
+def _upsert(t: Tables) -> Snapshots:
+    """Customers as drafts, parts as apps, some of them with sources: all tables of the run as one commit."""
     key = F.col("c_custkey")
     drafts = t.customer.select(
         key.alias("draft_id"),
@@ -37,7 +34,16 @@ def _upsert(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     apps = t.part.select(own.alias("app_id"), F.when(own % 4 == 0, "unknown").otherwise("listed").alias("verification"), F.when(own % 3 == 0, " ").otherwise(F.col("p_name")).alias("name"), F.when(own % 2 == 0, "").otherwise(F.col("p_brand")).alias("developer"))
     sources = t.part.where("p_partkey <= 400").select(F.lit("registry").alias("source_type"), own.cast("string").alias("external_id"), own.alias("app_id"), F.lit("old").alias("payload"))
     matches = t.part.where("p_size > 45").select(own.alias("draft_id"), own.alias("app_id"))
-    return apply.upserted(apps, sources, drafts, matches, ["name", "developer"])
+    slug = lambda c: F.concat(F.lit("n"), c)
+    platforms = t.part.select(own.alias("app_id"), slug(F.col("p_size") % 25).alias("slug"))
+    nations = t.nation.where("n_nationkey < 20").select(slug(F.col("n_nationkey")).alias("slug"))
+    segments = t.customer.select(F.col("c_mktsegment").alias("slug")).where("slug <> 'MACHINERY'")
+    bridges = {
+        "platforms": (platforms, t.customer.select(key.alias("draft_id"), slug(F.col("c_nationkey")).alias("slug")), nations),
+        "categories": (platforms.limit(0), t.customer.select(key.alias("draft_id"), F.col("c_mktsegment").alias("slug")), segments),
+    }
+    tables = apply.upserted_tables(apps, sources, drafts, matches, ["name", "developer"], bridges, ("platforms",), identity.duplicate_candidates)
+    return published(t.part.sparkSession, tables, times=1)
 
 
 _UPSERT = """WITH d AS (SELECT c_custkey AS draft_id, CASE WHEN c_custkey % 2 = 0 THEN 'registry' ELSE 'feed' END AS source_type,
@@ -63,7 +69,7 @@ w AS (SELECT * FROM o WHERE external_id <> '' QUALIFY row_number() OVER (PARTITI
     FROM a LEFT JOIN k ON k.known = a.app_id UNION ALL SELECT app_id, verification, name, developer FROM n"""
 )
 def upserted_apps(t: Tables) -> DataFrame:
-    return _written(_upsert(t)[0], "apps")
+    return _upsert(t).read("apps")
 
 
 @query(
@@ -75,7 +81,37 @@ def upserted_apps(t: Tables) -> DataFrame:
     UNION ALL SELECT source_type, external_id, app_id, payload FROM y"""
 )
 def upserted_sources(t: Tables) -> DataFrame:
-    return _written(_upsert(t)[1], "sources")
+    return _upsert(t).read("sources")
+
+
+@query(
+    _UPSERT
+    + """SELECT p_partkey AS app_id, 'n' || (p_size % 25) AS slug FROM part
+    UNION SELECT known, 'n' || c_nationkey FROM o JOIN customer ON c_custkey = draft_id WHERE known IS NOT NULL AND c_nationkey < 20
+    UNION SELECT app_id, 'n' || c_nationkey FROM n JOIN customer ON c_custkey = draft_id WHERE c_nationkey < 20"""
+)
+def upserted_platforms(t: Tables) -> DataFrame:
+    """Platforms of apps that drafts made or whose sources they renewed."""
+    return _upsert(t).read("platforms")
+
+
+@query(_UPSERT + "SELECT app_id, c_mktsegment AS slug FROM n JOIN customer ON c_custkey = draft_id WHERE c_mktsegment <> 'MACHINERY'")
+def upserted_categories(t: Tables) -> DataFrame:
+    """Categories of apps that drafts made; slugs that are none are left out."""
+    return _upsert(t).read("categories")
+
+
+@query(
+    _UPSERT
+    + """, z AS (SELECT a.app_id, lower(CASE WHEN trim(a.name) = '' THEN k.name ELSE a.name END) AS name FROM a LEFT JOIN k ON k.known = a.app_id
+      UNION ALL SELECT app_id, lower(name) FROM n)
+    SELECT n.app_id, z.app_id AS candidate_app_id, 1.0::DOUBLE AS score FROM n JOIN z ON z.name = lower(n.name) AND z.app_id < n.app_id
+    QUALIFY row_number() OVER (PARTITION BY n.app_id ORDER BY z.app_id) <= 5"""
+)
+def upserted_candidates(t: Tables) -> DataFrame:
+    """For review: apps of lower ids with names like that of an app that the run made, earlier ones of the run too. Here
+    names are market segments, which are alike only if they are equal."""
+    return _upsert(t).read("candidates")
 
 
 @query(
@@ -174,21 +210,31 @@ def bulk_flag_report(t: Tables) -> DataFrame:
     return apply.flagged(own, F.col("o_orderpriority").startswith("1"), F.col("o_totalprice") > 100_000, "verification", "official")[1]
 
 
-_DRIFT = """WITH b AS (SELECT c_custkey AS k, c_mktsegment AS segment, c_nationkey AS nation FROM customer),
+_DRIFT = """WITH b AS (SELECT c_custkey AS k, c_mktsegment AS segment, c_nationkey AS nation,
+  CASE c_custkey % 5 WHEN 0 THEN '{"rank":' || c_custkey || ',"live":true,"ratio":0.25,"drift":"old"}' WHEN 1 THEN '{"nested":{"b":[1,2.5,"x"],"c":null},"none":null}'
+    WHEN 2 THEN '[1,{"a":"b"}]' WHEN 3 THEN 'no json' END AS payload FROM customer),
 d AS (SELECT k, 'nation' AS field, CAST(nation AS VARCHAR) AS before, CAST(nation + 1 AS VARCHAR) AS after FROM b WHERE k % 3 = 0
   UNION ALL SELECT k, 'segment', segment, 'NEW' FROM b WHERE k % 5 = 0),
-e AS (SELECT k, '[' || string_agg('{"field":"' || field || '","before":"' || before || '","after":"' || after || '"}', ',' ORDER BY field) || ']' AS changes FROM d GROUP BY k)
+e AS (SELECT k, '[' || string_agg('{"field":"' || field || '","before":"' || before || '","after":"' || after || '"}', ',' ORDER BY field) || ']' AS changes,
+  '[' || string_agg('{"after":"' || after || '","before":"' || before || '","field":"' || field || '"}', ',' ORDER BY field) || ']' AS nested FROM d GROUP BY k)
 """
 
 
+def _payloads(t: Tables) -> DataFrame:
+    k = F.col("c_custkey")
+    text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    payload = F.when(k % 5 == 0, text('{"rank":', k.cast("string"), ',"live":true,"ratio":0.25,"drift":"old"}')).when(k % 5 == 1, '{"nested":{"b":[1,2.5,"x"],"c":null},"none":null}')
+    payload = payload.when(k % 5 == 2, '[1,{"a":"b"}]').when(k % 5 == 3, "no json")
+    return t.customer.select(k.alias("k"), (k + 7).alias("source_id"), F.lit("2023-01-01 00:00:00").cast("timestamp_ntz").alias("last_enriched_at"), payload.alias("payload"))
+
+
 def _drift(t: Tables) -> tuple[DataFrame, DataFrame]:
     from ..operators.merge import drift
 
     k = F.col("c_custkey")
     before = t.customer.select(k.alias("k"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
     after = before.select("k", F.when(F.col("k") % 3 == 0, F.col("nation") + 1).otherwise(F.col("nation")).alias("nation"), F.when(F.col("k") % 5 == 0, "NEW").otherwise(F.col("segment")).alias("segment"))
-    sources = t.customer.select(k.alias("k"), (k + 7).alias("source_id"), F.lit("2023-01-01 00:00:00").cast("timestamp_ntz").alias("last_enriched_at"), F.lit('{"a":"1"}').alias("payload"))
-    return apply.persisted_drift(drift(before, after, "k", ["nation", "segment"]), sources, "k", as_of())
+    return apply.persisted_drift(drift(before, after, "k", ["nation", "segment"]), _payloads(t), "k", as_of())
 
 
 @query(_DRIFT + "SELECT k, changes FROM e")
@@ -199,12 +245,20 @@ def drift_entries(t: Tables) -> DataFrame:
 
 @query(
     _DRIFT
-    + f"""SELECT k, k + 7 AS source_id, TIMESTAMP '{AS_OF_TEXT}' AS last_enriched_at, coalesce(changes, '[]') AS changes FROM b LEFT JOIN e USING (k)"""
+    + f"""SELECT k, k + 7 AS source_id, TIMESTAMP '{AS_OF_TEXT}' AS last_enriched_at,
+    CASE k % 5 WHEN 0 THEN '{{"rank":' || k || ',"live":true,"ratio":0.25,' WHEN 1 THEN '{{"nested":{{"b":[1,2.5,"x"],"c":null}},"none":null,'
+      WHEN 2 THEN '{{"_original":[1,{{"a":"b"}}],' WHEN 3 THEN '{{"_original":"no json",' ELSE '{{' END || '"drift":' || coalesce(nested, '[]') || '}}' AS payload
+    FROM b LEFT JOIN e USING (k)"""
 )
 def drift_sources(t: Tables) -> DataFrame:
-    """Sources of a drift run: all get its time, and what changed in their payload."""
-    done = _written(_drift(t)[1], "checked")
-    return done.select("k", "source_id", "last_enriched_at", F.get_json_object("payload", "$.drift").alias("changes"))
+    """Sources of a drift run: all get its time, and what changed in their payload, of which all else stays as it is."""
+    return _written(_drift(t)[1], "checked")
+
+
+@query(_DRIFT + "SELECT k, CASE k % 5 WHEN 2 THEN 'not_an_object' ELSE 'not_json' END AS problem FROM b WHERE k % 5 IN (2, 3)")
+def payload_problems(t: Tables) -> DataFrame:
+    """Payloads that are kept beside what is added to them, as they are no JSON objects."""
+    return _payloads(t).select("k", apply.payload_problem(F.col("payload")).alias("problem")).where("problem is not null")
 
 
 _VANISHED = """WITH c AS (SELECT user_id AS app_id, 'u' || (event_id % 4) AS url, max(event_id) AS consecutive_failures FROM events WHERE event_type = 'error' GROUP BY ALL),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,18 +12,40 @@ from ..storage import materialise
 
 
 def replace(df: DataFrame, path: str, by: list[str] | None = None) -> DataFrame:
-    """Writes df in place of the table at path and reads it; df may read that table itself.
+    """Writes df in place of the table at path and reads it; df may read that table itself. by: columns of partitions.
 
-    The new rows are written to the shared folder first, so that what is read is not overwritten, and a lost executor or a
-    failed job leaves the table as it was. by: columns of partitions."""
-    new = materialise(df)
-    writer = new.write.mode("overwrite").option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
-    return new.sparkSession.read.schema(new.schema).parquet(path)
+    The new table is written beside the old one, which stays as it was if that fails; then the old folder is renamed away,
+    the new one is renamed to path, and the old one goes. A run that is killed between these renames leaves no table at
+    path but a whole one in path-old-*, which the next replace puts back first. For several tables at once, or for readers
+    that must not meet that moment, use snapshots."""
+    spark = df.sparkSession
+    place = lambda end: spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + end)
+    table, new = place(""), place(f"-new-{uuid.uuid4().hex}")
+    files = table.getFileSystem(spark._jsc.hadoopConfiguration())
+    _restored(files, table)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(new.toString())
+    old = place(f"-old-{uuid.uuid4().hex}")
+    if files.exists(table) and not files.rename(table, old) or not files.rename(new, table):
+        raise OSError(f"{path} could not be replaced")
+    files.delete(old, True)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _restored(files, table) -> None:
+    """Puts the table back that a killed replace has renamed away."""
+    if files.exists(table) or not files.exists(table.getParent()):
+        return
+    for x in files.listStatus(table.getParent()):
+        if x.getPath().getName().startswith(table.getName() + "-old-"):
+            files.rename(x.getPath(), table)
+            return
 
 
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> DataFrame:
-    """Writes the partitions that df holds and leaves the others: a day or a month that is computed again."""
+    """Writes the partitions that df holds and leaves the others: a day or a month that is computed again.
+
+    Spark moves the new partitions in place one by one at the end of the job; snapshots do it for all at once."""
     new = materialise(df)
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
     return new.sparkSession.read.schema(new.schema).parquet(path)
