@@ -116,6 +116,30 @@ def applied_fields(apps: DataFrame, plan: DataFrame, key: str) -> tuple[DataFram
     return out, both.select(key, F.inline(F.array_compact(rows)))
 
 
+def fingerprint(fields: list[str]) -> Column:
+    """A digest of fields of a row, nulls and empty texts apart."""
+    return F.sha2(F.to_json(F.struct(*(F.col(f).cast("string").alias(f) for f in fields)), {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
+def made_from(plan: DataFrame, current: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """plan with `made_from`: the fingerprint of the fields that it was made from, null where there was no row."""
+    return plan.join(current.select(*keys, fingerprint(fields).alias("made_from")), keys, "left")
+
+
+def applied_if_same(current: DataFrame, plan: DataFrame, keys: list[str], fields: list[str], planned: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """(current, skipped) after a plan that made_from has marked. planned: columns of current and the plan's columns that they get.
+
+    Only rows whose fields are still those that the plan was made from are written; a row that was not there when the plan
+    was made is added if it is still not there. skipped (keys, reason) lists the rest: changed, gone or appeared."""
+    wanted = plan.select(*keys, "made_from", *(F.col(v).alias(f"_to_{c}") for c, v in planned.items()), F.lit(True).alias("_planned"))
+    both = current.withColumn("_now", fingerprint(fields)).join(wanted, keys, "full")
+    same = F.coalesce("_planned", F.lit(False)) & F.col("made_from").eqNullSafe(F.col("_now"))
+    row = [F.when(same, F.col(f"_to_{c}")).otherwise(F.col(c)).alias(c) if c in planned else F.col(c) for c in current.columns]
+    reason = F.when(F.col("_now").isNull(), "gone").when(F.col("made_from").isNull(), "appeared").otherwise("changed")
+    skipped = both.where(F.coalesce("_planned", F.lit(False)) & ~same).select(*keys, reason.alias("reason"))
+    return both.where(F.col("_now").isNotNull() | same).select(*row), skipped
+
+
 def applied_capabilities(known: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
     """known (keys, value, note) after a plan of the same columns: only an unknown or missing value is written, with its
     evidence; a planned value other than yes and no writes nothing."""
@@ -180,12 +204,32 @@ def vanished(crossings: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataF
     return both.withColumn("is_active", F.col("is_active") & ~hit).select(sources.columns), entries
 
 
+def resolved_moves(moves: DataFrame) -> DataFrame:
+    """(source, target) with every target the last one of its chain, by doubling: a row's target becomes its target's target.
+
+    Of several targets of a source the least counts. Moves that go round in a circle end at its least member, which stays; so
+    do chains into it. Rounds are at most as many as the number of moves has binary digits, each a join by key of moves
+    with moves, and end when all chains have."""
+    least = moves.where("source is not null and target is not null and source <> target").groupBy("source").agg(F.min("target").alias("target"))
+    step = materialise(least.select("source", "target", F.least("source", "target").alias("least")))
+    for _ in range(max(1, step.count()).bit_length()):
+        to = step.select(F.col("source").alias("target"), F.col("target").alias("_next"), F.col("least").alias("_least"))
+        both = materialise(step.join(to, "target", "left"))
+        if not both.where("_next is not null").limit(1).count():
+            return both.select("source", "target")
+        step = materialise(both.select("source", F.coalesce("_next", "target").alias("target"), F.least("least", F.coalesce("_least", "least")).alias("least")))
+    # what still goes on after as many steps as there are moves goes in circles; the place that is reached has met its whole circle
+    to = step.select(F.col("source").alias("target"), F.col("least").alias("_circle"))
+    both = step.join(to, "target", "left").select("source", F.coalesce("_circle", "target").alias("target"))
+    return both.where("source <> target")
+
+
 def repointed_all(relations: dict[str, tuple[DataFrame, list[str]]], moves: DataFrame, owner: str = "app_id") -> dict[str, DataFrame]:
     """Each relation with its owners moved by moves (source, target), one row for each owner and its other keys.
 
     relations: name to (rows, keys beside the owner). Of rows that meet, the target's own row wins, then the one of the
-    least source and of the least other values; moves must not be chained. The table of moves is small beside relations
-    and joins by its size."""
+    least source and of the least other values. Chained moves go through resolved_moves first. The table of moves is small
+    beside relations and joins by its size."""
     to = moves.select(F.col("source").alias(owner), F.col("target").alias("_target"))
     out = {}
     for name, (rows, keys) in relations.items():

@@ -350,6 +350,83 @@ def merged_apps(t: Tables) -> DataFrame:
     return _written(apply.merged_apps(apps, _moves(t), ["name", "developer"]), "merged")
 
 
+_CHAINS = """WITH RECURSIVE m AS (SELECT p_partkey AS source, CASE WHEN p_partkey % 100 = 1 THEN p_partkey + 2 ELSE p_partkey - 1 END AS target
+  FROM part WHERE p_partkey % 100 BETWEEN 1 AND 60),
+s(source, here, n) AS (SELECT source, target, 1 FROM m UNION ALL SELECT s.source, m.target, n + 1 FROM s JOIN m ON s.here = m.source WHERE n < 70),
+"""
+
+
+def _chains(t: Tables) -> DataFrame:
+    """Parts 1 to 60 of a hundred go to the one before; the first goes to the third, so that they end in a circle of three."""
+    own = F.col("p_partkey")
+    return t.part.where((own % 100).between(1, 60)).select(own.alias("source"), F.when(own % 100 == 1, own + 2).otherwise(own - 1).alias("target"))
+
+
+@query(
+    _CHAINS
+    + """e AS (SELECT source, min(least(source, here)) AS least FROM s GROUP BY source) SELECT source, least AS target FROM e WHERE source <> least"""
+)
+def merge_chains(t: Tables) -> DataFrame:
+    """Where chains of merges end: here in the least member of the circle that they lead into, which stays."""
+    return apply.resolved_moves(_chains(t))
+
+
+@query(
+    """WITH g AS (SELECT p_partkey AS app_id, p_partkey % 100 AS k FROM part),
+    r AS (SELECT CASE WHEN k BETWEEN 1 AND 60 THEN app_id - k + 1 ELSE app_id END AS app_id, l_suppkey AS item, l_orderkey * 10 + l_linenumber AS id, k NOT BETWEEN 2 AND 60 AS own, app_id AS was
+      FROM g JOIN lineitem ON l_partkey = app_id)
+    SELECT app_id, item, arg_min(id, {'own': NOT own, 'was': CASE WHEN own THEN 0 ELSE was END, 'id': id}) AS id FROM r GROUP BY ALL"""
+)
+def merged_chains(t: Tables) -> DataFrame:
+    """A relation after chained merges: all its rows on the last targets, one for each item."""
+    rows = t.lineitem.select(F.col("l_partkey").alias("app_id"), F.col("l_suppkey").alias("item"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    return _written(apply.repointed_all({"items": (rows, ["item"])}, apply.resolved_moves(_chains(t)))["items"], "items")
+
+
+_CASCADE = f"""WITH o AS (SELECT * FROM orders WHERE NOT (o_orderdate < TIMESTAMP '1995-06-01' AND o_orderstatus = 'F')),
+l AS (SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)),
+e AS (SELECT * FROM events WHERE ts >= TIMESTAMP '{AS_OF_TEXT}' - INTERVAL 25 DAY)
+"""
+
+
+def _cascade(t: Tables) -> Snapshots:
+    """Orders by date and state with their lines; the lines' notes (one of each line number) with the lines; events by themselves."""
+    notes = t.lineitem.select("l_orderkey", "l_linenumber", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"), F.lit("note").alias("note"))
+    lines = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.concat_ws("-", "l_orderkey", "l_linenumber").alias("line"))
+    as_of_orders = F.lit("1995-06-01 00:00:00").cast("timestamp_ntz")
+    tables = sink.retained(
+        {
+            "orders": sink.Retained(t.orders, "o_orderdate", 0, F.col("o_orderstatus") == "F"),
+            "lines": sink.Retained(lines, parent=("orders", "l_orderkey", "o_orderkey")),
+            "notes": sink.Retained(notes, parent=("lines", "line", "line")),
+        },
+        as_of_orders,
+    )
+    tables |= sink.retained({"events": sink.Retained(t.events, "ts", 25)}, as_of())
+    return published(t.part.sparkSession, {k: v for k, v in tables.items() if k != "orders"} | {"orders": tables["orders"]}, times=1)
+
+
+@query(
+    _CASCADE
+    + """SELECT 'orders' AS name, count(*) AS n, sum(o_orderkey) AS keys FROM o UNION ALL SELECT 'lines', count(*), sum(l_orderkey) FROM l
+    UNION ALL SELECT 'notes', count(*), sum(l_orderkey) FROM l UNION ALL SELECT 'events', count(*), sum(event_id) FROM e"""
+)
+def retention_cascade(t: Tables) -> DataFrame:
+    """What retention leaves of four tables: children go with their parents, and one commit publishes all."""
+    kept = _cascade(t)
+    each = {"orders": "o_orderkey", "lines": "l_orderkey", "notes": "l_orderkey", "events": "event_id"}
+    first, *rest = (kept.read(n).agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.sum(k).cast("decimal(38,0)").alias("keys")) for n, k in each.items())
+    for df in rest:
+        first = first.unionAll(df)
+    return first
+
+
+@query(_CASCADE + "SELECT l_orderkey, l_linenumber, l_partkey FROM l")
+def retention_children(t: Tables) -> DataFrame:
+    """The lines that are left when the orders that expire take theirs along."""
+    return _cascade(t).read("lines").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
 @query(
     """WITH m AS (SELECT date_trunc('month', o_orderdate) AS month, sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS total, CASE month(o_orderdate) % 3 WHEN 0 THEN 0 ELSE 20000000 END AS budget FROM orders GROUP BY ALL),
     r AS (SELECT *, CASE WHEN budget > 0 THEN round(CAST(total AS DOUBLE) / budget, 4) END AS utilization FROM m)

@@ -236,10 +236,10 @@ def set_added_removed(t: Tables) -> DataFrame:
     return sets.select("user_id", F.concat_ws(",", added).alias("added"), F.concat_ws(",", removed).alias("removed"))
 
 
-@query("SELECT user_id FROM events GROUP BY user_id HAVING bool_and(event_type IN ('view', 'click', 'purchase', 'signup'))")
+@query("SELECT user_id, CAST(ts AS DATE) AS day FROM events GROUP BY ALL HAVING bool_and(event_type IN ('view', 'click', 'purchase', 'signup'))")
 def subset_dismiss(t: Tables) -> DataFrame:
-    sets = t.events.groupBy("user_id").agg(F.collect_set("event_type").alias("s"))
-    return sets.where(rel.only_within(F.col("s"), F.array(*map(F.lit, ("view", "click", "purchase", "signup"))))).select("user_id")
+    sets = t.events.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.collect_set("event_type").alias("s"))
+    return sets.where(rel.only_within(F.col("s"), F.array(*map(F.lit, ("view", "click", "purchase", "signup"))))).select("user_id", "day")
 
 
 @query(

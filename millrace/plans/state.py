@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import relational as rel, state
+from ..operators import relational as rel, scan, state
 from ..tables import Tables
 from . import views
 from .registry import AS_OF_TEXT, as_of, query
@@ -56,6 +56,39 @@ def throttle_schedule(t: Tables) -> DataFrame:
     return state.throttled(own, "user_id", "ts", "event_id", 3_600_000_000).select("event_id", "user_id", "start_us", "wait_us")
 
 
+@query(
+    """WITH p AS (SELECT event_id, ts, event_type = 'click' AS hot, event_type <> 'error' AND event_id % 3 > 0 AS ok FROM events),
+    g AS (SELECT *, sum(ok::INT) OVER (PARTITION BY hot ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grp FROM p)
+    SELECT event_id, CAST(sum((NOT ok)::INT) OVER (PARTITION BY hot, grp ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS consecutive_failures FROM g"""
+)
+def failure_streaks_hot(t: Tables) -> DataFrame:
+    """Streaks of two keys that share all probes: each is spread over ranges of time."""
+    kind = F.col("event_type")
+    probes = t.events.select("event_id", "ts", (kind == "click").alias("hot"), ((kind != "error") & (F.col("event_id") % 3 > 0)).alias("ok"))
+    return scan.failure_streaks(probes, ["hot"], "ts", "event_id").select("event_id", "consecutive_failures")
+
+
+@query(
+    """WITH n AS (SELECT event_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events)
+    SELECT event_id, max(t - i * 600000000) OVER (PARTITION BY event_type ORDER BY i ROWS UNBOUNDED PRECEDING) + i * 600000000 AS start_us,
+    max(t - i * 600000000) OVER (PARTITION BY event_type ORDER BY i ROWS UNBOUNDED PRECEDING) + i * 600000000 - t AS wait_us FROM n"""
+)
+def throttle_schedule_hot(t: Tables) -> DataFrame:
+    """A throttle of few keys that share all requests."""
+    own = t.events.select("event_id", "event_type", "ts")
+    return scan.throttled(own, "event_type", "ts", "event_id", 600_000_000).select("event_id", "start_us", "wait_us")
+
+
+@query(
+    """WITH r AS (SELECT event_type, ts, sum(CAST(value AS DECIMAL(10,6))) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS total FROM events)
+    SELECT event_type, min(ts) FILTER (total >= 1000) AS warned_at, min(ts) FILTER (total >= 5000) AS stopped_at FROM r GROUP BY ALL"""
+)
+def latches_hot(t: Tables) -> DataFrame:
+    """When the running total of few keys that share all rows first reached its marks."""
+    own = t.events.select("event_type", "ts", "event_id", F.col("value").cast("decimal(10,6)").alias("cost"))
+    return scan.first_reached(own, ["event_type"], ["ts", "event_id"], "cost", {"warned_at": F.lit(1000), "stopped_at": F.lit(5000)})
+
+
 @query(
     """SELECT user_id, epoch_us(ts) // 86400000000 AS slot, count(*) AS n_events FROM events GROUP BY ALL HAVING count(*) > 5"""
 )

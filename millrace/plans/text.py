@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import relational as rel, search, trust
+from ..operators import index, relational as rel, search, trust
 from ..operators.identity import WEAK, close_pairs, name_ratio
 from ..operators.identity import unique_slugs as unique
 from ..sources.html_directory import cards, detail_drafts, details, first_seen_cards, with_details
 from ..tables import Tables
 from . import views
-from .registry import query
+from .derived import fresh_snapshots
+from .registry import SQL, query
 
 _TRI = """list_distinct(flatten(list_transform(list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''),
   lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"""
@@ -96,19 +97,54 @@ def fts_match_and(t: Tables) -> DataFrame:
 
 @query(
     _POSTINGS
-    + """SELECT id, round(sum(weight), 6) AS rank FROM i WHERE lexeme IN ('en', 'her') GROUP BY id HAVING count(*) = 2 ORDER BY rank DESC, id LIMIT 24"""
+    + """SELECT id, round(sum(weight), 6) AS rank FROM i WHERE lexeme IN ('en', 'sh') GROUP BY id HAVING count(*) = 2 ORDER BY rank DESC, id LIMIT 24"""
 )
 def fts_weighted_rank(t: Tables) -> DataFrame:
-    return rel.top(search.match(_index(t)[1], "id", "en her"), 24, F.desc("rank"), F.asc("id"))
+    return rel.top(search.match(_index(t)[1], "id", "en sh"), 24, F.desc("rank"), F.asc("id"))
 
 
 @query(
-    f"""WITH d AS (SELECT p_partkey AS app_id, {_TRI.format('p_name')} AS g, {_TRI.format("'wigdet'")} AS q FROM part)
+    f"""WITH d AS (SELECT p_partkey AS app_id, {_TRI.format('p_name')} AS g, {_TRI.format("'blue wiget'")} AS q FROM part)
     SELECT app_id, 1.0::DOUBLE AS rank FROM d WHERE len(list_intersect(g, q)) / (len(g) + len(q) - len(list_intersect(g, q))) > 0.25"""
 )
 def fts_or_trigram_fallback(t: Tables) -> DataFrame:
     apps = views.apps(t)
-    return search.search(apps, search.postings(apps, "app_id", {"A": ["name"], "B": ["developer"]}), "app_id", "name", "wigdet")
+    return search.search(apps, search.postings(apps, "app_id", {"A": ["name"], "B": ["developer"]}), "app_id", "name", "blue wiget")
+
+
+def _followed(t: Tables) -> index.StoredIndex:
+    """An index of documents as they were, which has then taken in a batch: changed texts, new documents and ones that went."""
+    docs, _ = _index(t)
+    stored = index.StoredIndex(fresh_snapshots(t.part.sparkSession, "index"), "id", index.search_terms("id", {"A": ["a"], "C": ["c"]}), buckets=16)
+    was = docs.where("id % 5 <> 1").withColumn("a", F.when(F.col("id") % 7 == 0, "src3 fr").otherwise(F.col("a"))).withColumn("c", F.when(F.col("id") % 7 == 0, "ou en sh").otherwise(F.col("c")))
+    extra = was.limit(0).unionAll(docs.where("id % 11 = 0").select((-F.col("id") - 1).alias("id"), F.lit("src3 fr en").alias("a"), F.lit("ou sh").alias("c")))
+    stored.build(was.unionAll(extra))
+    stored.apply(docs.where("id % 5 = 1 or id % 7 = 0"), 1, gone=extra.select("id"))
+    return stored
+
+
+@query(SQL["fts_match_and"])
+def stored_match_and(t: Tables) -> DataFrame:
+    """fts_match_and from the buckets of its lexemes, after an index has followed a batch of changes."""
+    return index.match(_followed(t), "the src3, FR ou").select("id")
+
+
+@query(SQL["fts_weighted_rank"])
+def stored_weighted_rank(t: Tables) -> DataFrame:
+    """fts_weighted_rank likewise, after the batch was folded into the buckets."""
+    stored = _followed(t)
+    stored.compact()
+    return rel.top(index.match(stored, "en sh"), 24, F.desc("rank"), F.asc("id"))
+
+
+@query(SQL["trigram_search"])
+def stored_trigram_search(t: Tables) -> DataFrame:
+    """trigram_search from the postings of the query's grams."""
+    stored = index.StoredIndex(fresh_snapshots(t.part.sparkSession, "grams"), "app_id", index.gram_terms("app_id", "name"), buckets=16)
+    apps = views.apps(t)
+    stored.build(apps.withColumn("name", F.when(F.col("app_id") % 3 == 0, F.lit("red wigdet")).otherwise(F.col("name"))))
+    stored.apply(apps.where("app_id % 3 = 0"), 1)
+    return index.similar(stored, "red wigdet")
 
 
 @query(
@@ -160,10 +196,12 @@ def search_sorted(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, regexp_extract(text, '\\bby\\s+([A-Z][\\w .,&-]{1,80})', 1) AS developer, regexp_extract(text, '(https?://[^\\s)]+)', 1) AS address FROM documents"""
+    """WITH d AS (SELECT doc_id, text, regexp_extract(text, '(?s)\\bby\\s+([A-Z][\\w .,&-].*)', 1) AS said,
+      list_filter(string_split_regex(text, '[\\s)]+'), lambda w: regexp_matches(w, 'https?://.')) AS words FROM documents)
+    SELECT doc_id, trim(left(string_split_regex(said, '[^\\w .,&-]')[1], 81)) AS developer, coalesce(regexp_extract(words[1], 'http(s:|:).*'), '') AS address FROM d"""
 )
 def captured_groups(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", tx.captured(F.col("text"), tx.NAMED_BY).alias("developer"), tx.first_address(F.col("text")).alias("address"))
+    return t.documents.select("doc_id", tx.author_named(F.col("text")).alias("developer"), tx.first_address(F.col("text")).alias("address"))
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import trust
+from ..operators import apply, trust
 from ..tables import Tables
 from .registry import query
 
@@ -48,6 +48,36 @@ def trust_capabilities(t: Tables) -> DataFrame:
     return trust.capability_backfill(_found(t), known, {"read": "yes", "write": "no"})
 
 
+_MEANWHILE = "CASE WHEN c_custkey % 4 = 0 AND c_acctbal <= 3000 THEN 'listed' WHEN c_acctbal > 3000 THEN 'official' ELSE 'unknown' END"
+
+
+def _applied(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The plan of verifications applied to apps of which some changed and some went since it was made."""
+    apps = _apps(t)
+    plan = apply.made_from(trust.verification_backfill(_found(t), apps).select("app_id", "planned"), apps, ["app_id"], ["verification"])
+    now = apps.where("app_id % 9 <> 0").withColumn("verification", F.when((F.col("app_id") % 4 == 0) & (F.col("verification") == "unknown"), "listed").otherwise(F.col("verification")))
+    return apply.applied_if_same(now, plan, ["app_id"], ["verification"], {"verification": "planned"})
+
+
+@query(
+    _SQL
+    + f"""SELECT c_custkey AS app_id, CASE WHEN c_acctbal <= 3000 AND c_custkey % 4 <> 0 AND c_custkey IN (SELECT app_id FROM found) THEN 'official' ELSE {_MEANWHILE} END AS verification
+    FROM customer WHERE c_custkey % 9 <> 0"""
+)
+def trust_verification_applied(t: Tables) -> DataFrame:
+    return _applied(t)[0]
+
+
+@query(
+    _SQL
+    + """SELECT c_custkey AS app_id, CASE WHEN c_custkey % 9 = 0 THEN 'gone' ELSE 'changed' END AS reason FROM customer
+    WHERE c_acctbal <= 3000 AND c_custkey IN (SELECT app_id FROM found) AND (c_custkey % 9 = 0 OR c_custkey % 4 = 0)"""
+)
+def trust_verification_skipped(t: Tables) -> DataFrame:
+    """Planned rows that are not what the plan was made from any more."""
+    return _applied(t)[1]
+
+
 @query(
     _SQL
     + """SELECT c_custkey AS app_id, 'dev' AS planned FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal < 5000 AND c_custkey IN (SELECT app_id FROM found)

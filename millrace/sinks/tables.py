@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,38 @@ def without_expired(df: DataFrame, at: str, as_of: Column, days: int, only: Colu
     return df.where(~F.coalesce(gone if only is None else gone & only, F.lit(False)))
 
 
+class Retained(NamedTuple):
+    """How long a table keeps its rows. at, days: rows older than that go (only those of `only`, if it is given); parent: the
+    table, and the columns here and there, whose rows take their children along."""
+
+    rows: DataFrame
+    at: str | None = None
+    days: int | None = None
+    only: Column | None = None
+    parent: tuple[str, str, str] | None = None
+
+
+def retained(tables: dict[str, Retained], as_of: Column) -> dict[str, DataFrame]:
+    """The tables without expired rows and without the children of rows that went, whatever the depth; to be published as one
+    version. Parents come before children in tables.
+
+    Of a parent only the keys of the rows that went are joined, those that stay under no other row of the key."""
+    out, went = {}, {}
+    for name, t in tables.items():
+        gone = F.lit(False)
+        if t.at:
+            old = F.coalesce(expired(t.rows, t.at, as_of, t.days), F.lit(False))
+            gone = old if t.only is None else old & F.coalesce(t.only, F.lit(False))
+        rows = t.rows.withColumn("_gone", gone)
+        if t.parent:
+            above, own, key = t.parent
+            lost = went[above].select(F.col(key).alias(own)).where(F.col(own).isNotNull()).distinct()
+            lost = lost.join(out[above].select(F.col(key).alias(own)), own, "left_anti").withColumn("_lost", F.lit(True))
+            rows = rows.join(lost, own, "left").withColumn("_gone", F.col("_gone") | F.coalesce("_lost", F.lit(False))).select(*t.rows.columns, "_gone")
+        out[name], went[name] = rows.where(~F.col("_gone")).drop("_gone"), rows.where("_gone").drop("_gone")
+    return out
+
+
 def nested(df: DataFrame, key: str, fields: list[str], lists: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """(key, json): each row with its sorted lists of slugs as JSON text. lists: (key, slug) rows and their slug by name."""
     out = df.select(key, *fields)
