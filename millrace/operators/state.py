@@ -70,7 +70,7 @@ def throttled(requests: DataFrame, key: str, at: str, order: str, interval_us: i
 
     start_i = max over j <= i of (t_j - j d) + i d, the closed form of the sequential rule."""
     line = Window.partitionBy(key).orderBy(at, order)
-    numbered = requests.withColumn("_i", F.row_number().over(line)).withColumn("_t", micros(F.col(at)))
+    numbered = requests.withColumn("_i", F.row_number().over(line).cast("bigint")).withColumn("_t", micros(F.col(at)))
     free = F.max(F.col("_t") - F.col("_i") * F.lit(interval_us)).over(line.rowsBetween(Window.unboundedPreceding, 0))
     out = numbered.withColumn("start_us", free + F.col("_i") * F.lit(interval_us))
     return out.withColumn("wait_us", F.col("start_us") - F.col("_t")).drop("_i", "_t")
