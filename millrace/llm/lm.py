@@ -12,6 +12,11 @@ the shared folder. A batch turns its distinct n-grams into 64-bit hashes, splits
 each bucket one packed row with its counts: a map-side pre-aggregation, so a frequent n-gram costs a bucket one entry
 for each batch, never one for each token. A bucket sums the counts and answers every batch in the order asked; there are
 as many buckets as keep one at about 25 MB whatever the size of the corpus. The answers are written to the shared folder too, and batches meet their answers to give the events for EM and the scores.
+
+Both batches and buckets grow with the corpus, and so would a row for each pair of them. Beyond WIDE buckets requests therefore
+go by two levels: a batch sends a row to each of about sqrt(buckets) ranges of buckets; of each range the rows of about as many
+batches meet in a cell, which adds up their counts and sends each bucket of the range one row; the buckets answer cells, and cells their
+batches. So n batches make about n ** 1.5 rows instead of n ** 2, each cell holds about what a bucket does, and results are the same.
 Counts grow with the corpus and are never cut, capped or sampled, nor are they collected: only the weights (a few
 numbers for each bucket), N and V reach the driver.
 
@@ -24,7 +29,9 @@ The order is 2: packed trigrams would more than double what is sent and answered
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +44,14 @@ BATCH_BYTES = 10 << 20
 #: Text for each bucket at most: its n-grams and their counts take about twice as much.
 BUCKET_BYTES = 12 << 20
 FOLDS, HELD_OUT, TUNING = 7, 2, 3
+#: Buckets beyond which requests go by two levels.
+WIDE = 4096
 ITERATIONS, TOLERANCE = 25, 1e-4
 END = b"\n"  # no word: words hold no white space
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 PACKS = "batch long, tuning boolean, doc_id array<bigint>, fold array<int>, size array<int>, text binary"
-REQUESTS = "bucket int, batch long, hashes binary, counts binary, tuning boolean"
+REQUESTS = "bucket int, batch long, hashes binary, retained binary, tuning binary"
 ANSWERS = "bucket int, batch long, retained binary, tuning binary, types long, tokens long, retained_types long, retained_tokens long"
 EVENTS = "context long, pair long, word long, n long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
@@ -84,11 +93,31 @@ class Batch:
         self.asked = np.concatenate([words | np.uint64(1), pair_hashes & ~np.uint64(1)])
         self.n_words = len(words)
 
-    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """An order of `asked` by bucket and hash, and where each bucket starts."""
-        bucket = (self.asked >> np.uint64(32)) % np.uint64(buckets)
-        order = np.lexsort((self.asked, bucket))
-        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    def dealt(self, spread: Spread) -> tuple[np.ndarray, np.ndarray]:
+        """An order of `asked` by range of buckets and hash, and where each range starts."""
+        place = spread.bucket(self.asked) // spread.width
+        order = np.lexsort((self.asked, place))
+        return order, np.searchsorted(place[order], np.arange(spread.ranges + 1))
+
+
+class Spread(NamedTuple):
+    """Buckets of hashes, in ranges of `width` buckets each."""
+
+    ranges: int
+    width: int = 1
+
+    @staticmethod
+    def of(buckets: int) -> Spread:
+        """Ranges of one bucket, or about sqrt(buckets) ranges of as many where there are over WIDE."""
+        ranges = buckets if buckets <= WIDE else math.isqrt(buckets - 1) + 1
+        return Spread(ranges, -(-buckets // ranges))
+
+    @property
+    def buckets(self) -> int:
+        return self.ranges * self.width
+
+    def bucket(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int64)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -156,8 +185,9 @@ def _whole(groups: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int,
         yield last, pa.Table.from_batches(held)
 
 
-def _ask(packs: DataFrame, buckets: int) -> DataFrame:
-    """A packed row for each batch and bucket. Documents that are held out ask, but do not count."""
+def _ask(packs: DataFrame, spread: Spread) -> DataFrame:
+    """A packed row for each batch and range of buckets. Documents that are held out ask, but do not count. A batch counts for the
+    retained documents or for the tuning ones; what it does not count for is left empty."""
     target = arrow_schema(REQUESTS)
 
     def run(batches):
@@ -168,36 +198,85 @@ def _ask(packs: DataFrame, buckets: int) -> DataFrame:
                 learnt = np.repeat(folds != HELD_OUT, made.sizes)
                 counts = [np.bincount(x[learnt], minlength=n) for x, n in ((made.word, made.n_words), (made.pair, len(made.asked) - made.n_words))]
                 counts = np.concatenate(counts).astype(np.uint32)
-                order, starts = made.dealt(buckets)
+                order, starts = made.dealt(spread)
                 parts = [order[a:b] for a, b in zip(starts, starts[1:])]
-                columns = [
-                    list(range(buckets)),
-                    [packs.column("batch")[k].as_py()] * buckets,
-                    [made.asked[p].tobytes() for p in parts],
-                    [counts[p].tobytes() for p in parts],
-                    [packs.column("tuning")[k].as_py()] * buckets,
-                ]
+                sides = [[counts[p].tobytes() for p in parts], [b""] * spread.ranges]
+                if packs.column("tuning")[k].as_py():
+                    sides.reverse()
+                columns = [list(range(spread.ranges)), [packs.column("batch")[k].as_py()] * spread.ranges, [made.asked[p].tobytes() for p in parts], *sides]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
 
     return packs.mapInArrow(run, REQUESTS)
 
 
+def _summed(rows: pa.Table) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The sorted distinct hashes of requests, the places of each row's hashes among them, and the sums of both kinds of counts."""
+    hashes = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+    sizes = [len(h) for h in hashes]
+    keys, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    sums = []
+    for side in ("retained", "tuning"):
+        given = [np.frombuffer(x, f"<u{len(x) // n}") if x else np.zeros(n, np.uint8) for x, n in zip(rows.column(side).to_pylist(), sizes, strict=True)]
+        # whole numbers below 2 ** 53 are exact in these sums
+        sums.append(np.bincount(place, np.concatenate(given).astype(np.float64), len(keys)).astype(np.uint64))
+    return keys, np.split(place, np.cumsum(sizes)[:-1]), sums
+
+
+def _cells(asked: DataFrame, batches_in_task: int, spread: Spread) -> DataFrame:
+    """asked with `cell`: a range and a group of about as many batches as there are ranges, those of tasks that follow each other."""
+    tasks = max(1, spread.ranges // max(1, batches_in_task))
+    group = F.floor(F.shiftright("batch", 25) / F.lit(tasks)).cast("long")
+    return asked.withColumn("cell", group * spread.ranges + F.col("bucket"))
+
+
+def _merged(asked: DataFrame, spread: Spread) -> DataFrame:
+    """Requests of cells: a packed row for each cell and bucket of its range, with the sums of the cell's batches."""
+    target = arrow_schema(REQUESTS)
+
+    def run(groups):
+        for cell, rows in _whole(groups, "cell"):
+            keys, _, sums = _summed(rows)
+            bucket = spread.bucket(keys)
+            order = np.argsort(bucket, kind="stable")
+            edges = np.flatnonzero(np.diff(bucket[order])) + 1
+            parts = [p for p in np.split(order, edges) if len(p)]
+            columns = [[int(bucket[p[0]]) for p in parts], [cell] * len(parts), [keys[p].tobytes() for p in parts], *([s[p].tobytes() for p in parts] for s in sums)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    return asked.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, REQUESTS)
+
+
+def _returned(asked: DataFrame, answers: DataFrame, spread: Spread) -> DataFrame:
+    """The answers to cells as answers to their batches, a row for each batch and range."""
+    target = arrow_schema(ANSWERS)
+
+    def run(mine: pa.Table, told: pa.Table) -> pa.Table:
+        keys, places, _ = _summed(mine)
+        bucket = spread.bucket(keys)
+        order = np.argsort(bucket, kind="stable")
+        found = np.zeros((2, len(keys)), np.uint64)
+        for b, *packed in zip(*(told.column(c).to_pylist() for c in ("bucket", "retained", "tuning")), strict=True):
+            at = order[np.searchsorted(bucket[order], b) : np.searchsorted(bucket[order], b, "right")]
+            for side, p in enumerate(packed):
+                found[side, at] = large(p)
+        rows = zip(mine.column("bucket").to_pylist(), mine.column("batch").to_pylist(), places, strict=True)
+        columns = zip(*([b, n, *(small(f[at]) for f in found), 0, 0, 0, 0] for b, n, at in rows), strict=True)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    told = answers.withColumnRenamed("batch", "cell")
+    return asked.groupBy("cell").cogroup(told.groupBy("cell")).applyInArrow(run, ANSWERS)
+
+
 def _answer(asked: DataFrame, buckets: int) -> DataFrame:
     """The summed counts of each packed row's n-grams, retained and tuning apart; types and tokens of each bucket, once."""
     target = arrow_schema(ANSWERS)
 
     def run(groups):
         for bucket, rows in _whole(groups, "bucket"):
-            hashes = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
-            counts = np.concatenate([np.frombuffer(x, np.uint32) for x in rows.column("counts").to_pylist()]).astype(np.float64)
-            tuning = np.repeat(rows.column("tuning").to_numpy(), [len(h) for h in hashes])
-            keys, place = np.unique(np.concatenate(hashes), return_inverse=True)
-            sums = [np.bincount(place, counts * side, len(keys)).astype(np.uint64) for side in (~tuning, tuning)]
+            keys, places, sums = _summed(rows)
             words = (keys & np.uint64(1)) == 1
             told = [int(f(x)) for x in ((sums[0] + sums[1])[words], sums[0][words]) for f in (np.count_nonzero, np.sum)]
-            start = 0
-            for batch, h in zip(rows.column("batch").to_pylist(), hashes, strict=True):
-                mine, start = place[start : start + len(h)], start + len(h)
+            for batch, mine in zip(rows.column("batch").to_pylist(), places, strict=True):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([x], f.type) for x, f in zip([bucket, batch, *(small(s[mine]) for s in sums), *told], target, strict=True)],
                     schema=target,
@@ -221,14 +300,14 @@ def large(packed: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(packed[1:]), f"<u{packed[0]}").astype(np.int64)
 
 
-def _met(packs: DataFrame, answers: DataFrame, buckets: int, schema: str, give) -> DataFrame:
+def _met(packs: DataFrame, answers: DataFrame, spread: Spread, schema: str, give) -> DataFrame:
     """Each batch with its answers: give(doc_ids, folds, batch, retained, tuning) returns the columns of schema."""
     target = arrow_schema(schema)
 
     def run(pack: pa.Table, told: pa.Table) -> pa.Table:
         ids, folds, texts = unpacked(pack, 0)
         made = Batch(texts)
-        order, starts = made.dealt(buckets)
+        order, starts = made.dealt(spread)
         found = np.zeros((2, len(made.asked)), np.int64)
         for bucket, *packed in zip(*(told.column(c).to_pylist() for c in ("bucket", "retained", "tuning")), strict=True):
             for side, p in enumerate(packed):
@@ -302,14 +381,21 @@ def _scorer(weights: dict[int, tuple[float, float, float]], tokens: int, types:
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, base_score, score, train_tokens) of all documents."""
     packs = packed(docs)
-    size = packs.agg(F.sum(F.aggregate("size", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    answers = materialise(_answer(_ask(packs, buckets), buckets))
-    sums = answers.agg(*(F.sum(c) for c in ("types", "tokens", "retained_types", "retained_tokens"))).first()
+    told = packs.agg(F.sum(F.aggregate("size", F.lit(0).cast("bigint"), lambda a, x: a + x)), F.count("*"), F.count_distinct(F.shiftright("batch", 25))).first()
+    size, n, tasks = (x or 0 for x in told)
+    spread = Spread.of(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
+    asked = _ask(packs, spread)
+    if spread.width > 1:
+        asked = materialise(_cells(asked, n // max(1, tasks), spread))
+        first = materialise(_answer(_merged(asked, spread), spread.buckets))
+        answers = materialise(_returned(asked, first, spread))
+    else:
+        first = answers = materialise(_answer(asked, spread.buckets))
+    sums = first.agg(*(F.sum(c) for c in ("types", "tokens", "retained_types", "retained_tokens"))).first()
     types, tokens, *retained = (x or 0 for x in sums)
-    events = materialise(_met(packs.where("tuning"), answers.where("batch % 2 = 1"), buckets, EVENTS, _events))
+    events = materialise(_met(packs.where("tuning"), answers.where("batch % 2 = 1"), spread, EVENTS, _events))
     weights = learn_weights(events, *retained)
-    scored = _met(packs, answers, buckets, SCORES, _scorer(weights, tokens, types))
+    scored = _met(packs, answers, spread, SCORES, _scorer(weights, tokens, types))
     return scored.withColumn("train_tokens", F.lit(tokens).cast("long"))
 
 

@@ -205,6 +205,24 @@ def test_lm_scores(spark):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-6)
 
 
+def test_lm_scores_by_two_levels(spark, monkeypatch):
+    """Small batches and buckets, so that there are many of both: two levels give what one does, with far fewer rows."""
+    rows = texts_of(spark)
+    monkeypatch.setattr(lm, "BATCH_BYTES", 6_000)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 8_000)
+    got, sent = [], []
+    for wide in (10**6, 4):
+        monkeypatch.setattr(lm, "WIDE", wide)
+        got.append({tuple(r) for r in lm.score(documents(spark, rows)).collect()})
+        packs = lm.packed(documents(spark, rows))
+        spread = lm.Spread.of(150)
+        asked = lm._cells(lm._ask(packs, spread), packs.count() // 2, spread)
+        sent.append(asked.count() + (lm._merged(asked, spread).count() if spread.width > 1 else 0))
+    rounded = [{(*r[:4], round(r[4], 6), round(r[5], 6), r[6]) for r in g} for g in got]
+    assert rounded[0] == rounded[1] and len(got[0]) == len(rows)
+    assert sent[1] < sent[0] / 3, sent
+
+
 def test_lm_beats_its_base_on_held_out_text(spark):
     p = {r.held_out: r for r in lm.perplexity(lm.score(spark.read.parquet(f"{SF}/documents.parquet"))).collect()}
     assert p[True].model < p[True].base and p[False].model < p[True].model
