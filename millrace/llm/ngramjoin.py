@@ -58,6 +58,8 @@ BITMAP = 1 << 26
 SLICES = 64
 #: Postings that a task holds before it sends them on, and that a bucket is meant to get; each takes 16 bytes.
 PACK_POSTINGS, BUCKET_POSTINGS = 500_000, 2_000_000
+#: In place of the holder of a shingle that several sets of a pack have.
+_SEVERAL = -(1 << 63)
 _TIMES = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = (np.arange(1, HASHES + 1, dtype=np.uint64) * _TIMES)[:, None]
 
@@ -232,21 +234,62 @@ def shared_postings(texts: DataFrame, classes, buckets: int, words: int, percent
 
 
 def shared_sizes(sets: DataFrame, buckets: int) -> DataFrame:
-    """(node, e) of the sets (node, shingles): how many of all its shingles a set shares with any other.
-
-    What a range of shingles counts for each node goes on as one packed row for each range of nodes."""
-    packs, sums = "bucket int, nodes binary, counts binary", "node bigint, e bigint"
-    target = arrow_schema(sums)
+    """(node, e) of the sets (node, shingles), one for each node: how many of all its shingles a set shares with any other.
+
+    A shingle that two sets of one pack have is shared, which the pack counts by itself; only of the others does it send the
+    holder. So each range of shingles gets one entry for a shingle and pack, however many sets hold it. What packs and
+    ranges count for each node goes on as packed rows for each range of nodes."""
+    packs, sums = "bucket int, shingles binary, nodes binary, own binary, counts binary", "node bigint, e bigint"
+    packs_schema, target = arrow_schema(packs), arrow_schema(sums)
+    parts = "bucket int, nodes binary, counts binary"
+    parts_schema = arrow_schema(parts)
+
+    def full(lists: list[np.ndarray], nodes: list[int]) -> pa.RecordBatch:
+        s, n = np.concatenate(lists), np.repeat(np.array(nodes, np.int64), [len(x) for x in lists])
+        order = np.argsort(s, kind="stable")
+        s, n = s[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        several = np.diff(np.append(starts, len(s))) > 1
+        first = n[starts]
+        first[several] = _SEVERAL
+        own, counts = np.unique(n[np.repeat(several, np.diff(np.append(starts, len(s))))].view(np.uint64), return_counts=True)
+        edges, held = _edges(s[starts], buckets), _edges(own, buckets)
+        rows = zip(range(buckets), zip(edges, edges[1:]), zip(held, held[1:]), strict=False)
+        kept = [(k, s[starts][a:b].tobytes(), first[a:b].tobytes(), own[c:d].tobytes(), counts[c:d].tobytes()) for k, (a, b), (c, d) in rows if b > a or d > c]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*kept, strict=True), packs_schema, strict=True)], schema=packs_schema)
 
-    def postings(batch):
-        lists = batch.column("shingles")
-        return ((s.values.to_numpy().view(np.uint64), node) for s, node in zip(lists, batch.column("node").to_pylist(), strict=True))
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists, nodes, held = [], [], 0
+        for batch in sliced(batches):
+            for s, node in zip(batch.column("shingles"), batch.column("node").to_pylist(), strict=True):
+                lists.append(s.values.to_numpy().view(np.uint64))
+                nodes.append(node)
+                held += len(lists[-1])
+                if held >= PACK_POSTINGS:
+                    yield full(lists, nodes)
+                    lists, nodes, held = [], [], 0
+        if held:
+            yield full(lists, nodes)
 
-    def give(_, n, m):
-        nodes, counts = np.unique(n[m > 1].view(np.uint64), return_counts=True)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list] = {c: [] for c in ("shingles", "nodes", "own", "counts")}
+        for batch in batches:
+            for c, kind in (("shingles", np.uint64), ("nodes", np.int64), ("own", np.uint64), ("counts", np.int64)):
+                found[c] += [np.frombuffer(x, kind) for x in batch.column(c).to_pylist()]
+        if not found["shingles"]:
+            return
+        s, n, own, counts = (np.concatenate(x) for x in found.values())
+        order = np.argsort(s, kind="stable")
+        s, n = s[order], n[order]
+        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+        m = np.diff(np.append(starts, len(s)))
+        shared = np.repeat(m > 1, m) & (n != _SEVERAL)  # a set is in one pack, so entries of two packs are of two sets
+        nodes, place = np.unique(np.concatenate([own, n[shared].view(np.uint64)]), return_inverse=True)
+        total = np.bincount(place, np.concatenate([counts, np.ones(int(shared.sum()), np.int64)]), len(nodes)).astype(np.int64)
         edges = _edges(nodes, buckets)
-        parts = [(k, a, b) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-        return [k for k, _, _ in parts], [nodes[a:b].tobytes() for _, a, b in parts], [counts[a:b].tobytes() for _, a, b in parts]
+        rows = [(k, nodes[a:b].tobytes(), total[a:b].tobytes()) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), parts_schema, strict=True)], schema=parts_schema)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, counts = [], []
@@ -258,7 +301,8 @@ def shared_sizes(sets: DataFrame, buckets: int) -> DataFrame:
             total = np.bincount(place, np.concatenate(counts), len(each)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(each), pa.array(total)], schema=target)
 
-    counted = _met(sets.select("node", "shingles"), postings, buckets, give, packs)
+    sent = sets.select("node", "shingles").mapInArrow(ask, packs)
+    counted = sent.repartitionById(buckets, F.col("bucket")).mapInArrow(meet, parts)
     return counted.repartitionById(buckets, F.col("bucket")).mapInArrow(add, sums)
 
 

@@ -446,3 +446,14 @@ def test_toxic_features_of_a_word_of_a_megabyte(word):
     start = time.process_time()
     assert len(toxicity.features(word.encode(), toxicity.Kinds(frozenset(["x"]), frozenset()))) == len(toxicity.FEATURES)
     assert time.process_time() - start < 2
+
+
+def test_shared_sizes_of_a_shingle_that_all_sets_hold(spark, monkeypatch):
+    """Against plain counts, with packs of a few sets; a hot shingle is sent once a pack."""
+    monkeypatch.setattr(ngramjoin, "PACK_POSTINGS", 60)
+    rng = random.Random(6)
+    sets = {k * 7919 - 50_000: sorted({5, *(rng.randrange(1 << 40) if rng.random() < 0.6 else (rng.randrange(40) << 58) - (1 << 63) for _ in range(rng.randint(0, 30)))}) for k in range(200)}
+    df = spark.createDataFrame([(n, s) for n, s in sets.items()], "node bigint, shingles array<bigint>").repartition(4)
+    holders = Counter(x for s in sets.values() for x in s)
+    want = {n: e for n, s in sets.items() if (e := sum(holders[x] > 1 for x in s))}
+    assert {r.node: r.e for r in ngramjoin.shared_sizes(df, 13).collect()} == want
