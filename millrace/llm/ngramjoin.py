@@ -124,8 +124,8 @@ def _slices(own: np.ndarray) -> list[dict]:
     return [{"slice": k, "data": zlib.compress(p.tobytes(), 1)} for k, p in parts if p.any()]
 
 
-def joined(df: DataFrame, size: int, dtype: type, join: np.ufunc) -> np.ndarray:
-    """An array of fixed size out of the (slice, data) that tasks made: each slice is joined in one place."""
+def joined(df: DataFrame, size: int, dtype: type, join: np.ufunc, finish: Callable[[np.ndarray], np.ndarray] = lambda x: x) -> np.ndarray:
+    """An array of fixed size out of the (slice, data) that tasks made: each slice is joined, and finished to bytes, in one place."""
     schema = "slice int, data binary"
     target, width = arrow_schema(schema), size // SLICES
 
@@ -135,11 +135,11 @@ def joined(df: DataFrame, size: int, dtype: type, join: np.ufunc) -> np.ndarray:
             for k, data in zip(batch.column("slice").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 part = np.frombuffer(zlib.decompress(data), dtype)
                 sums[k] = join(sums[k], part) if k in sums else part
-        yield pa.RecordBatch.from_pylist([{"slice": k, "data": zlib.compress(p.tobytes(), 1)} for k, p in sums.items()], schema=target)
+        yield pa.RecordBatch.from_pylist([{"slice": k, "data": zlib.compress(finish(p).tobytes(), 1)} for k, p in sums.items()], schema=target)
 
-    out = np.zeros(size, dtype)
+    out = np.zeros(size, np.uint8)
     for k, data in df.select("slice", "data").repartitionById(SLICES, F.col("slice")).mapInArrow(merge, schema).collect():
-        out[k * width : (k + 1) * width] = np.frombuffer(zlib.decompress(data), dtype)
+        out[k * width : (k + 1) * width] = np.frombuffer(zlib.decompress(data), np.uint8)
     return out
 
 
@@ -521,7 +521,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         return [{"n": len(s), "node": node_of(s)} for s in shingle_sets(batch.column("text"), words)]
 
     once = materialise(signed(docs, words))
-    classes = np.log2(np.maximum(joined(once.where("slice is not null"), SKETCH, np.uint32, np.add), 1)).astype(np.uint8)
+    classes = joined(once.where("slice is not null"), SKETCH, np.uint32, np.add, lambda x: np.log2(np.maximum(x, 1)).astype(np.uint8))
     small = once.where("slice is null").select("doc_id", "node", "n")
     nodes = materialise(small.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.max("n").alias("n")))
     rooted = nodes.select("node", "low").join(components(docs, nodes, classes, words, percent), "node", "left")
