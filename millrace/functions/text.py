@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -101,29 +102,31 @@ def collapsed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-#: Named character references that plain-text fields hold; &amp; comes last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
-_NUMERIC = r"(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};)"
+#: Names of character references by the standard's table, without those that need no semicolon; a no-break space reads as a space.
+NAMED = {name[:-1]: plain for name, plain in html5.items() if name.endswith(";")} | {"nbsp": " "}
+_REFERENCE = r"(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|&[a-zA-Z][a-zA-Z0-9]{1,31};)"
 
 
-def numeric_references(c: Column) -> Column:
-    """Numeric character references decoded; those of no character stay as they are. Only texts that hold one are cut up."""
-    parts = F.split(F.regexp_replace(c, _NUMERIC, "\u0000$1\u0000"), "\u0000")
+def references(c: Column) -> Column:
+    """Numeric and named character references decoded, in one pass; those of no character stay as they are. Only texts that hold
+    one are cut up."""
+    parts = F.split(F.regexp_replace(c, _REFERENCE, "\u0000$1\u0000"), "\u0000")
     number = lambda x: F.when(
         x.rlike("^&#[xX]"), F.conv(F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10)
     ).otherwise(F.regexp_extract(x, "^&#([0-9]+);$", 1)).try_cast("int")
     valid = lambda n: ((n > 0) & (n < 0xD800)) | ((n > 0xDFFF) & (n < 0x110000))
     utf32 = lambda n: F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
-    decoded = F.transform(parts, lambda x: F.when(x.rlike(f"^{_NUMERIC}$") & valid(number(x)), utf32(number(x))).otherwise(x))
-    return F.when(c.rlike(_NUMERIC), F.array_join(decoded, "")).otherwise(c)
+    # the whole table is one constant text, so that the plan holds no thousands of literals
+    table = F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in NAMED.items())), F.lit("\u0001"), F.lit("\u0002"))
+    named = lambda x: F.try_element_at(table, F.regexp_extract(x, "^&([a-zA-Z0-9]+);$", 1))
+    plain = lambda x: F.when(valid(number(x)), utf32(number(x))).otherwise(F.coalesce(named(x), x))
+    decoded = F.transform(parts, lambda x: F.when(x.rlike(f"^{_REFERENCE}$"), plain(x)).otherwise(x))
+    return F.when(c.rlike(_REFERENCE), F.array_join(decoded, "")).otherwise(c)
 
 
 def stripped_html(c: Column) -> Column:
-    """Text without tags, common and numeric references decoded, white space collapsed."""
-    out = numeric_references(F.regexp_replace(c, "<[^>]+>", " "))
-    for name, plain in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(plain))
-    return collapsed(out)
+    """Text without tags, character references decoded, white space collapsed."""
+    return collapsed(references(F.regexp_replace(c, "<[^>]+>", " ")))
 
 
 def context_text(html: Column, at_most: int = 12_000) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import clamp, decay, hours_between, points
@@ -47,6 +47,15 @@ def popular_searches(log: DataFrame, as_of: Column, days: int = 30, at_least: in
     return best.select(trimmed.alias("query"), "search_count").where(F.length(trimmed).between(2, 200))
 
 
+def issue_order(trending: DataFrame, new: DataFrame, n_trending: int = 10, n_new: int = 5) -> DataFrame:
+    """(app_id, place, part) of a newsletter: the first trending apps (app_id, clicks), then the newest ones (app_id, added_at), numbered on
+    from the last trending one; an app of both parts has both places (top-n reports)."""
+    first = trending.orderBy(F.desc("clicks"), F.asc("app_id")).limit(n_trending).select("app_id", F.lit("trending").alias("part"), F.lit(0).alias("_p"), F.col("clicks").cast("double").alias("_v"))
+    second = new.orderBy(F.desc("added_at"), F.asc("app_id")).limit(n_new).select("app_id", F.lit("new").alias("part"), F.lit(1).alias("_p"), F.unix_micros(F.col("added_at").cast("timestamp")).cast("double").alias("_v"))
+    place = F.row_number().over(Window.orderBy("_p", F.desc("_v"), "app_id"))  # of n_trending + n_new rows
+    return first.unionAll(second).select("app_id", place.alias("place"), "part")
+
+
 def quality_score(facts: DataFrame, as_of: Column) -> Column:
     """The 0 to 100 quality score from an app's facts (flags and counts joined beforehand)."""
     flag = lambda name: F.coalesce(F.col(name), F.lit(False))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialise
+
 
 def any_of(conditions: list[Column]) -> Column:
     """OR of the conditions; false without any."""
@@ -59,6 +61,34 @@ def page(df: DataFrame, number: int, size: int, *order: Column, largest: int = 1
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def counted_ranges(df: DataFrame, *order: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, ranges): df by ranges of an order, written with the number of the range, and how many rows each has and how many
+    lie before it. Done once for many pages; order columns are names, with - before those that fall, and should have no ties."""
+    places = [F.col(c[1:]).desc() if c[0] == "-" else F.col(c).asc() for c in order]
+    dealt = df.repartitionByRange(*places).withColumn("_range", F.spark_partition_id())
+    rows = materialise(dealt, by=["_range"])
+    counts = rows.groupBy("_range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows, materialise(counts.select("_range", "n", before.alias("before")))  # a row for each range
+
+
+def deep_page(rows: DataFrame, ranges: DataFrame, number: int, size: int, *order: str, largest: int = 100) -> DataFrame:
+    """page() of counted_ranges: only the ranges that hold the page are read, which are one or two, and only they are sorted."""
+    size, number = max(1, min(largest, size)), max(1, number)
+    start = (number - 1) * size
+    held = ranges.where((F.col("before") < start + size) & (F.col("before") + F.col("n") > start)).orderBy("_range").collect()  # as many as the page spans
+    if not held:
+        return rows.drop("_range").limit(0)
+    places = [F.col(c[1:]).desc() if c[0] == "-" else F.col(c).asc() for c in order]
+    own = rows.where(F.col("_range").isin(*(r._range for r in held))).drop("_range")
+    return own.orderBy(*places).offset(start - held[0].before).limit(size)
+
+
+def shown_page(df: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
+    """A page by number, or the last one where the number is beyond it."""
+    return page(df, last_valid_page(df.count(), number, size), size, *order)
+
+
 def last_valid_page(count: int, number: int, size: int) -> int:
     """The page to show: within 1 and the last page."""
     return max(1, min(number, -(-count // size)))

@@ -276,6 +276,19 @@ def page_offset_clamped(t: Tables) -> DataFrame:
     return rel.page(t.orders.select("o_orderkey", "o_totalprice"), 3, 24, F.desc("o_totalprice"), F.asc("o_orderkey"))
 
 
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 2475")
+def page_deep(t: Tables) -> DataFrame:
+    """A page far down an order: the counts of ranges tell which of them hold it, and only those are read."""
+    rows, ranges = rel.counted_ranges(t.orders.select("o_orderkey", "o_totalprice"), "-o_totalprice", "o_orderkey")
+    return rel.deep_page(rows, ranges, 100, 25, "-o_totalprice", "o_orderkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer ORDER BY c_name, c_custkey LIMIT 40 OFFSET (SELECT ((count(*) - 1) // 40) * 40 FROM customer)")
+def page_beyond_shows_last(t: Tables) -> DataFrame:
+    """A page number beyond the last shows the last page."""
+    return rel.shown_page(t.customer.select("c_custkey", "c_name"), 10**6, 40, F.asc("c_name"), F.asc("c_custkey"))
+
+
 @query("SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderkey < 500 ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 24")
 def page_keyset(t: Tables) -> DataFrame:
     return rel.page_after(t.orders.select("o_orderkey", "o_orderdate"), "o_orderkey", 500, 24, F.desc("o_orderdate"), F.desc("o_orderkey"))

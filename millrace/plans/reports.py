@@ -230,6 +230,19 @@ def capability_map_padded(t: Tables) -> DataFrame:
     return whole.select("app_id", text.alias("caps"), explicit.alias("n_explicit"))
 
 
+@query(
+    f"""WITH c AS (SELECT user_id AS app_id, count(*) AS clicks FROM events WHERE event_type = 'click' AND ts >= {_NOW} - INTERVAL 7 DAY GROUP BY ALL ORDER BY clicks DESC, app_id LIMIT 10),
+    n AS (SELECT o_orderkey AS app_id, o_orderdate AS added_at FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 5)
+    SELECT app_id, CAST(row_number() OVER (ORDER BY clicks DESC, app_id) AS INTEGER) AS place, 'trending' AS part FROM c
+    UNION ALL SELECT app_id, CAST((SELECT count(*) FROM c) + row_number() OVER (ORDER BY added_at DESC, app_id) AS INTEGER), 'new' FROM n"""
+)
+def newsletter_order(t: Tables) -> DataFrame:
+    """Places of a weekly issue: trending apps first, new ones numbered on."""
+    recent = t.events.where((F.col("event_type") == "click") & (F.col("ts") >= as_of() - F.make_dt_interval(F.lit(7))))
+    clicks = recent.groupBy(F.col("user_id").alias("app_id")).agg(F.count("*").alias("clicks"))
+    return rank.issue_order(clicks, t.orders.select(F.col("o_orderkey").alias("app_id"), F.col("o_orderdate").alias("added_at")))
+
+
 @query(
     """SELECT p_partkey AS app_id, coalesce(n, 0) AS n_clicks FROM part LEFT JOIN (SELECT user_id, count(*) AS n FROM events
     WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-24' GROUP BY user_id) e ON user_id = p_partkey

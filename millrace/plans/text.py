@@ -292,16 +292,16 @@ def exact_url_duplicates(t: Tables) -> DataFrame:
 
 
 @query(
-    """SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
-    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\\s+', ' ', 'g'))) AS digest FROM pages"""
+    """SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
+    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g'))) AS digest FROM pages"""
 )
 def html_strip_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.md5(tx.stripped_html(F.col("html"))).alias("digest"))
 
 
 @query(
-    """SELECT page_id, url, md5(substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
-    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')), 1, 2000)) AS digest FROM pages"""
+    """SELECT page_id, url, md5(substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'),
+    '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\\s+', ' ', 'g')), 1, 2000)) AS digest FROM pages"""
 )
 def fetched_context(t: Tables) -> DataFrame:
     """What a model is given of a fetched page: its text up to a limit, which is the feature (2,000 characters here)."""
