@@ -147,9 +147,9 @@ def first_other_paragraph(text: Column, current: Column, at_least: int, at_most:
 
 
 def client_ip(forwarded: Column, remote: Column) -> Column:
-    """The first hop of a forwarded header, else the remote address."""
+    """The first hop of a forwarded header, which may be empty; without a header the remote address, empty if unknown."""
     hop = F.trim(F.element_at(F.split(forwarded, ","), 1))
-    return F.coalesce(F.nullif(hop, F.lit("")), remote)
+    return F.when(F.length(forwarded) > 0, hop).otherwise(F.coalesce(remote, F.lit("")))
 
 
 def blank(c: Column) -> Column:

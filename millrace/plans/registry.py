@@ -38,7 +38,7 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import applied, catalog, derived, ingest, reports, rules, state, text, trust  # noqa: F401  they register themselves
+    from . import applied, catalog, derived, ingest, landed, reports, rules, state, streams, text, trust  # noqa: F401  they register themselves
 
     return dict(QUERIES)
 

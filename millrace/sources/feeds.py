@@ -53,7 +53,11 @@ def readme_text(content, at_most: int = 12_000):
 
 
 def seed_fixtures(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of {model, pk, fields}, with fields as a map of texts."""
-    raw = spark.read.text(path, wholetext=True)
+    """Files with a JSON array of {model, pk, fields} each."""
+    return fixture_rows(spark.read.text(path, wholetext=True))
+
+
+def fixture_rows(raw: DataFrame) -> DataFrame:
+    """Rows (model, pk, fields) of texts (value) with a JSON array of them, with fields as a map of texts."""
     rows = raw.select(F.explode(F.from_json("value", "array<struct<model:string,pk:bigint,fields:map<string,string>>>")).alias("r"))
     return rows.select("r.*")

@@ -44,3 +44,14 @@ def materialise(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     (writer.partitionBy(*by) if by else writer).parquet(path)
     delete_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """What a stream (append mode) puts out for all that its source has now, written to the shared folder and read again."""
+    spark = stream.sparkSession
+    path, marks = fresh_path(spark, "drained"), fresh_path(spark, "marks")
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", marks)
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    for folder in (path, marks):
+        delete_at_exit(spark, folder)
+    return spark.read.schema(stream.schema).parquet(path)

@@ -21,6 +21,11 @@ class Tables:
             self._read[name] = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
         return self._read[name]
 
+    def stream(self, name: str) -> DataFrame:
+        """A table as a stream of its files. The path is a pattern, as Spark streams files of a folder only."""
+        schema = self._spark.read.parquet(f"{self._folder}/{name}.parquet").schema
+        return self._spark.readStream.schema(schema).parquet(f"{self._folder}/{name}.parque[t]")
+
 
 def published(apps: DataFrame) -> DataFrame:
     """The public view: published, indexable and of a live launch status."""
