@@ -36,16 +36,24 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterato
             yield batch.slice(at, step)
 
 
+_uses = 0
+
+
 @contextmanager
 def without_gc():
     """Caches of a task hold no cycles; walking them again and again costs more than the work. Workers are used again, so
-    collection is on again afterwards."""
+    collection is on again afterwards. After the 1st, 2nd, 4th, 8th use and so on what lives then, mostly the caches, is left out
+    of later collections; it is freed as ever once nothing refers to it."""
+    global _uses
     on = gc.isenabled()
     gc.disable()
     try:
         yield
     finally:
+        _uses += 1
         if on:
+            if not _uses & (_uses - 1):
+                gc.freeze()
             gc.enable()
 
 
