@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources import feeds, registry
+from ..storage import spread
 from ..tables import Tables
 from .registry import query
 
@@ -55,7 +56,7 @@ def rss_entries(t: Tables) -> DataFrame:
     day = F.when(F.col("p_size") > 9, _text("<pubDate>day ", "$p_size", "</pubDate>")).otherwise("")
     rss = _text("<rss><channel>", linked, "<item>", guid, day, "</item></channel></rss>")
     atom = _text("<feed><entry><title>", "$p_name", '</title><link href="https://a.example/?a=1&amp;b=', "$p_partkey", '"/><summary>', "$p_brand", "</summary><updated>2024-01-01</updated></entry></feed>")
-    pages = t.part.select(k.alias("page"), F.when(k % 2 == 0, rss).otherwise(atom).alias("xml"))
+    pages = spread(t.part).select(k.alias("page"), F.when(k % 2 == 0, rss).otherwise(atom).alias("xml"))
     return feeds.rss_items(pages).select("page", "title", "url", "summary", "published", "external_id")
 
 

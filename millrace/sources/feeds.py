@@ -11,10 +11,16 @@ from ..functions.values import first_true
 RSS = "struct<title:string,link:string,guid:string,description:string,pubDate:string>"
 
 
+#: What is read of an item or entry, in this order.
+_PATHS = ("/*/title", "/item/link", "/entry/link/@href", "/item/guid", "/entry/id", "/item/description", "/entry/summary", "/item/pubDate", "/entry/published", "/entry/updated")
+_BREAK = "\u0001"  # no XML text may hold it
+
+
 def rss_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
-    """RSS 2.0 items and Atom entries: title, url, summary, published, external_id. Items without a url are left out."""
+    """RSS 2.0 items and Atom entries: title, url, summary, published, external_id. Items without a url are left out.
+
+    An item is parsed once: one path gives all its texts, each that of the first element found."""
     column = F.col(xml)
-    one = lambda path: F.xpath(column, F.lit(path))
     parts = {
         tag: F.regexp_extract_all(column, F.lit(rf"(?s)<{tag}[\s>].*?</{tag}>"), 0)
         for tag in ("item", "entry")
@@ -22,10 +28,13 @@ def rss_items(feeds: DataFrame, xml: str = "xml") -> DataFrame:
     each = feeds.select(*(c for c in feeds.columns if c != xml), F.posexplode(F.concat(parts["item"], parts["entry"])).alias("place", "item"))
     # prefixes that an item does not declare itself would stop the parser
     item = F.regexp_replace("item", r"(</?|\s)[A-Za-z]+:", "$1")
-    text = lambda path: F.nullif(F.trim(F.xpath_string(item, F.lit(path))), F.lit(""))
+    texts = F.split(F.xpath_string(item, F.lit(f"concat({f", '{_BREAK}', ".join(_PATHS)})")), _BREAK)
+    # a row of its own, as the filter on url would parse again otherwise
+    each = each.select(*(c for c in each.columns if c != "item"), F.explode(F.array(texts)).alias("_texts"))
+    text = lambda path: F.nullif(F.trim(F.col("_texts")[_PATHS.index(path)]), F.lit(""))
     url = first_true(F.array(text("/item/link"), text("/entry/link/@href"), text("/item/guid"), text("/entry/id")))
     out = each.select(
-        *(c for c in each.columns if c != "item"),
+        *(c for c in each.columns if c != "_texts"),
         F.coalesce(text("/*/title"), F.lit("")).alias("title"),
         url.alias("url"),
         stripped_html(F.coalesce(first_true(F.array(text("/item/description"), text("/entry/summary"))), F.lit(""))).alias("summary"),

@@ -46,6 +46,11 @@ def materialise(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small file over as many tasks as a shuffle has, for steps that take long for each row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def drained(stream: DataFrame) -> DataFrame:
     """What a stream (append mode) puts out for all that its source has now, written to the shared folder and read again."""
     spark = stream.sparkSession

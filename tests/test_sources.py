@@ -45,6 +45,14 @@ def test_rss_and_atom(spark):
     assert [(r.title, r.external_id, r.summary, r.published) for r in rows] == [("A", "rss:https://a.example", "x", None), ("B", "rss:https://b.example", "s", "2024")]
 
 
+def test_an_item_is_parsed_once(spark):
+    xml = """<rss><item><title>A<b>c</b></title><link> </link><guid>g1</guid><guid>g2</guid><dc:title>other</dc:title><pubDate>d</pubDate></item>
+    <entry><link href="https://b.example"/><id>i</id><updated>u</updated><published>p</published></entry></rss>"""
+    df = feeds.rss_items(spark.createDataFrame([(7, xml)], "k int, xml string"))
+    assert [(r.k, r.title, r.url, r.summary, r.published) for r in df.orderBy("url").collect()] == [(7, "Ac", "g1", "", "d"), (7, "", "https://b.example", "", "p")]
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("/item/link") == 1
+
+
 def test_code_search_and_readme(spark):
     raw = json.dumps({"items": [{"full_name": "O/my-tool", "html_url": "https://c.example/O"}, {"full_name": ""}]})
     found = feeds.candidate_drafts(feeds.search_candidates(spark.createDataFrame([(raw,), ("oops",)], "raw string"))).collect()
