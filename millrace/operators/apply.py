@@ -209,18 +209,18 @@ def resolved_moves(moves: DataFrame) -> DataFrame:
 
     Of several targets of a source the least counts. Moves that go round in a circle end at its least member, which stays; so
     do chains into it. Rounds are at most as many as the number of moves has binary digits, each a join by key of moves
-    with moves, and end when all chains have."""
+    with moves, and end when all chains have. The joins shuffle: broadcast, the moves would go through the driver once a round."""
     least = moves.where("source is not null and target is not null and source <> target").groupBy("source").agg(F.min("target").alias("target"))
     step = materialise(least.select("source", "target", F.least("source", "target").alias("least")))
     for _ in range(max(1, step.count()).bit_length()):
         to = step.select(F.col("source").alias("target"), F.col("target").alias("_next"), F.col("least").alias("_least"))
-        both = materialise(step.join(to, "target", "left"))
+        both = materialise(step.join(to.hint("merge"), "target", "left"))
         if not both.where("_next is not null").limit(1).count():
             return both.select("source", "target")
         step = materialise(both.select("source", F.coalesce("_next", "target").alias("target"), F.least("least", F.coalesce("_least", "least")).alias("least")))
     # what still goes on after as many steps as there are moves goes in circles; the place that is reached has met its whole circle
     to = step.select(F.col("source").alias("target"), F.col("least").alias("_circle"))
-    both = step.join(to, "target", "left").select("source", F.coalesce("_circle", "target").alias("target"))
+    both = step.join(to.hint("merge"), "target", "left").select("source", F.coalesce("_circle", "target").alias("target"))
     return both.where("source <> target")
 
 

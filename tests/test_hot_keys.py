@@ -203,3 +203,10 @@ def test_a_run_of_drafts_again_changes_nothing(spark, tmp_path):
         seen.append([rows(store.read(n)) for n in ("apps", "sources", "platforms")])
     assert seen[0] == seen[1] and len(seen[0][0]) == 9 and {r[0] for r in seen[0][2]} == {r[0] for r in seen[0][0]}
     assert {r.outcome for r in store.read("outcomes").collect()} == {"updated"} and store.read("candidates").count() == 0
+
+
+def test_rounds_of_moves_are_not_broadcast(spark):
+    ends = apply.resolved_moves(spark.createDataFrame([(2, 1), (3, 2), (5, 6), (6, 5)], "source bigint, target bigint"))
+    assert sorted((r.source, r.target) for r in ends.collect()) == [(2, 1), (3, 1), (6, 5)]
+    plan = ends._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
