@@ -4,11 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+#: Rows of a frame that a step gives out.
+CHUNK = 100_000
+_NO_TIME = np.iinfo("int64").min
+
+
+def _in_order(batches: Iterator[pd.DataFrame], *values: str) -> tuple[np.ndarray, ...]:
+    """ts in microseconds, event_id and the named values of a key's rows, in order of ts and event_id, rows without a time last.
+
+    Only these numbers are held, 16 bytes a row and their order; the other columns go with each batch."""
+    kept = [(b["ts"].to_numpy().astype("datetime64[us]").astype("int64"), *(np.array(b[c]) for c in ("event_id", *values))) for b in batches]
+    columns = [np.concatenate(c) for c in zip(*kept, strict=True)]
+    kept.clear()
+    order = np.lexsort((columns[1], columns[0], columns[0] == _NO_TIME))
+    for i, c in enumerate(columns):
+        columns[i] = c[order]
+    return tuple(columns)
+
+
+def _given(columns: dict) -> Iterator[pd.DataFrame]:
+    """The columns as frames of bounded size; what is no array is the same in all rows."""
+    size = len(columns["event_id"])
+    for at in range(0, size, CHUNK):
+        yield pd.DataFrame({k: v[at : at + CHUNK] if isinstance(v, np.ndarray) else v for k, v in columns.items()})
+
+
 STREAKS = "app_id bigint, target string, event_id bigint, ts timestamp, consecutive_failures bigint, crossed boolean"
 
 
@@ -18,15 +44,12 @@ def streaks(probes: DataFrame, threshold: int = 7) -> DataFrame:
     Rows of a micro-batch are taken in order of ts and event_id; a probe that comes in a later batch counts when it comes."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        run = state.get[0] if state.exists else 0
-        counts, crossed = [], []
-        for ok in rows["ok"]:
-            run = 0 if ok else run + 1
-            counts.append(run)
-            crossed.append(run == threshold)
-        state.update((run,))
-        yield pd.DataFrame({"app_id": key[0], "target": key[1], "event_id": rows["event_id"].to_numpy(), "ts": rows["ts"].to_numpy(), "consecutive_failures": counts, "crossed": crossed})
+        ts, ids, ok = _in_order(batches, "ok")
+        place = np.arange(1, len(ts) + 1)
+        last = np.maximum.accumulate(np.where(ok.astype(bool), place, 0))
+        counts = place - last + np.where(last == 0, state.get[0] if state.exists else 0, 0)
+        state.update((int(counts[-1]),))
+        yield from _given({"app_id": key[0], "target": key[1], "event_id": ids, "ts": ts.view("datetime64[us]"), "consecutive_failures": counts, "crossed": counts == threshold})
 
     return probes.groupBy("app_id", "target").applyInPandasWithState(step, STREAKS, "run bigint", "append", GroupStateTimeout.NoTimeout)
 
@@ -36,21 +59,27 @@ STARTS = "key string, event_id bigint, ts timestamp, start timestamp"
 
 def throttled(requests: DataFrame, interval: str) -> DataFrame:
     """When each request (key, event_id, ts) of a stream may start if starts of a key are an interval apart: the state of a
-    key is the time from which it is free. Rows of a micro-batch are taken in order of ts and event_id."""
+    key is the time from which it is free. Rows of a micro-batch are taken in order of ts and event_id; those of a key meet
+    in one task, which holds some numbers for each. A request without a time starts when its key is free."""
     step_us = pd.Timedelta(interval) // pd.Timedelta(microseconds=1)
+    never = _NO_TIME // 2
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+        ts, ids = _in_order(batches)
         free = state.get[0] if state.exists else None
-        starts = []
-        for at in (rows["ts"].astype("datetime64[us]").astype("int64")).tolist():
-            start = at if free is None else max(at, free)
-            starts.append(start)
-            free = start + step_us
-        state.update((free,))
-        yield pd.DataFrame({"key": key[0], "event_id": rows["event_id"].to_numpy(), "ts": rows["ts"].to_numpy(), "start": pd.to_datetime(starts, unit="us")})
+        start = np.arange(0, -len(ts) * step_us, -step_us)
+        start += ts  # as if no request took time
+        start[ts == _NO_TIME] = _NO_TIME
+        if free is not None:
+            np.maximum(start, free, out=start)
+        np.maximum.accumulate(start, out=start)
+        start += np.where(start < never, 0, np.arange(0, len(ts) * step_us, step_us))
+        if start[-1] != _NO_TIME:
+            state.update((int(start[-1]) + step_us,))
+        yield from _given({"key": key[0], "event_id": ids, "ts": ts.view("datetime64[us]"), "start": start.view("datetime64[us]")})
 
-    return requests.groupBy("key").applyInPandasWithState(step, STARTS, "free bigint", "append", GroupStateTimeout.NoTimeout)
+    needed = requests.select("key", "event_id", "ts")
+    return needed.groupBy("key").applyInPandasWithState(step, STARTS, "free bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 RETAINED = "key string, n_events bigint, last_at timestamp"
@@ -64,12 +93,12 @@ def retained(events: DataFrame, days: int, late: str = "1 hour") -> DataFrame:
         if state.hasTimedOut:
             n, last = state.get
             state.remove()
-            yield pd.DataFrame({"key": [key[0]], "n_events": [n], "last_at": pd.to_datetime([last], unit="us")})
+            yield pd.DataFrame({"key": [key[0]], "n_events": [n], "last_at": np.array([last], "datetime64[us]")})
             return
         n, last = state.get if state.exists else (0, 0)
         for rows in batches:
             n += len(rows)
-            last = max(last, int(rows["ts"].astype("datetime64[us]").astype("int64").max()))
+            last = max(last, int(rows["ts"].to_numpy().max().astype("datetime64[us]").astype("int64")))
         state.update((n, last))
         state.setTimeoutTimestamp(max(last // 1000 + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
 

@@ -38,3 +38,15 @@ def test_limits_and_opens(spark, tmp_path):
     assert [(r.k, r.n_events) for r in got] == [("a", 5)]
     firsts = drain(state.first_opens(stream, ["k"], "ts"), "opens")
     assert sorted(r.k for r in firsts) == ["a", "b", "z"]
+
+
+def test_large_keys_keep_only_numbers(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(state, "CHUNK", 4)
+    whole = pd.DataFrame({"ts": pd.to_datetime(["2024-01-07", "2024-01-01", "2024-01-01", None]), "event_id": [3, 2, 1, 4], "ok": [False, True, False, False], "key": "a", "user_id": 5})
+    ts, ids, ok = state._in_order(iter([whole[:2], whole[2:]]), "ok")
+    assert ids.tolist() == [1, 2, 3, 4] and ok.tolist() == [False, True, False, False] and np.isnat(ts.view("datetime64[us]")).tolist() == [False] * 3 + [True]
+    steps = list(state._given({"key": "a", "event_id": np.arange(9)}))
+    assert [len(x) for x in steps] == [4, 4, 1] and steps[2].key.tolist() == ["a"] and steps[2].event_id.tolist() == [8]
