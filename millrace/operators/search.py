@@ -19,8 +19,11 @@ STOPWORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in
 def postings(docs: DataFrame, key: str, fields: dict[str, list[str]], stems: bool = False) -> DataFrame:
     """(key, lexeme, weight): the best weight of each lexeme of a document. fields: columns by weight class; stems: lexemes
     are stems, and a query needs stems too."""
-    parts = [docs.select(key, F.explode(words(F.concat_ws(" ", *cols))).alias("lexeme"), F.lit(FIELD_WEIGHTS[w]).alias("weight")) for w, cols in fields.items()]
-    whole = reduce(DataFrame.unionAll, parts).where(~F.col("lexeme").isin(*STOPWORDS))
+    weighted = lambda cols, weight: F.transform(F.array_distinct(words(F.concat_ws(" ", *cols))), lambda x: F.struct(x.alias("lexeme"), F.lit(weight).alias("weight")))
+    found = [weighted(cols, FIELD_WEIGHTS[w]) for w, cols in fields.items()]
+    # texts are dealt by key, so that what is made of them need not be; the outer form cuts up each text once, and its nulls are no words
+    dealt = docs.select(key, *dict.fromkeys(c for cols in fields.values() for c in cols if c != key)).repartition(key)
+    whole = dealt.select(key, F.explode_outer(F.concat(*found)).alias("_w")).select(key, "_w.*").where(~F.col("lexeme").isin(*STOPWORDS))
     whole = whole.withColumn("lexeme", stemmed(F.col("lexeme"))) if stems else whole
     return whole.groupBy(key, "lexeme").agg(F.max("weight").alias("weight"))
 

@@ -91,3 +91,12 @@ def test_days_give_the_scores_of_all_clicks(spark, tmp_path):
     for as_of in (dt.datetime(2024, 2, 6), dt.datetime(2024, 2, 6, 17, 45, 1), dt.datetime(2024, 2, 5, 0, 0, 0, 1)):
         want = rank.trending(apps, df, F.lit(as_of))
         assert rows(derived.trending_of_days(days, apps, as_of)) == rows(want), as_of
+
+
+def test_postings_are_dealt_once(spark):
+    from millrace.operators import search
+
+    docs = spark.createDataFrame([(1, "One one two", "two three"), (2, None, "the"), (1, "four", "")], "id bigint, a string, b string")
+    found = search.postings(docs, "id", {"A": ["a"], "B": ["b"]})
+    assert sorted((r.id, r.lexeme, r.weight) for r in found.collect()) == [(1, "four", 1.0), (1, "one", 1.0), (1, "three", 0.4), (1, "two", 1.0)]
+    assert found.groupBy("id").count()._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
