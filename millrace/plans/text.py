@@ -10,6 +10,7 @@ from ..operators import index, relational as rel, search, trust
 from ..operators.identity import WEAK, close_pairs, name_ratio
 from ..operators.identity import unique_slugs as unique
 from ..sources.html_directory import cards, detail_drafts, details, first_seen_cards, with_details
+from ..storage import spread
 from ..tables import Tables
 from . import views
 from .derived import fresh_snapshots
@@ -256,7 +257,7 @@ def directory_drafts(t: Tables) -> DataFrame:
         F.when(size % 4 == 0, "<p>You can create and update.</p>").otherwise(""),
     )
     html = F.concat(F.lit("<html><h1>"), "p_name", F.lit("</h1><table>"), *rows, F.lit("</table>"), text, F.lit("</html>"))
-    found = details(t.part.select(k.alias("page"), F.concat(F.lit("https://d.example/apps/"), k).alias("url"), html.alias("html")), "page")
+    found = details(spread(t.part).select(k.alias("page"), F.concat(F.lit("https://d.example/apps/"), k).alias("url"), html.alias("html")), "page")
     listed = first_seen_cards(cards(_listing(t), "page").withColumn("slug", F.lit("")), [F.asc("page"), F.asc("place")])
     drafts = detail_drafts(with_details(listed.drop("page", "place", "slug"), found), "directory", {"economy": "budget"})
     has = lambda c: F.col("capabilities")[c].alias(c)
