@@ -37,3 +37,12 @@ def test_an_empty_stream(spark, tmp_path):
     spark.createDataFrame([], "user_id bigint, ts timestamp").write.parquet(str(tmp_path / "events.parquet"))
     stream = Tables(spark, str(tmp_path)).stream("events")
     assert drained(state.over_limit(stream, "user_id", "ts", "1 minute", 3)).collect() == []
+
+
+def test_detail_pages_are_spread(spark):
+    import re
+
+    from millrace.plans import registry
+
+    plan = registry.queries()["directory_drafts"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Repartition \d+, true", plan)
