@@ -129,7 +129,8 @@ def related_top(bridge: DataFrame, item: str, through: str, n: int, *order: str)
     best = top_by(bridge.select(through, item, *columns).distinct(), [through], n + 1, *places, F.col(item).asc())
     others = best.select(through, F.col(item).alias("other"), *columns)
     pairs = bridge.select(through, item).distinct().join(others, through).where(F.col(item) != F.col("other"))
-    pairs = pairs.select(item, "other", *columns).distinct()
+    # dealt by item once: the distinct pairs and their ranks are then both made where they lie
+    pairs = pairs.select(item, "other", *columns).repartition(item).distinct()
     return top_by(pairs, [item], n, *places, F.asc("other")).select(item, "other", "rank")
 
 

@@ -208,3 +208,14 @@ def test_similar_names_by_brute_force(spark, tmp_path):
         got = {(r.k1, r.k2): r.ratio for r in registry.queries()["ratio_name_pairs"](spark, sf).collect()}
         first = lambda k: name[k].split(" ")[0]
         assert got == {(a, b): ratio[b, a] for a, b in ratio if a < b and (ratio[b, a] >= 0.92 or first(a) == first(b))}
+
+
+def test_related_pairs_are_dealt_once(spark):
+    import re
+
+    from millrace.operators import relational as rel
+
+    bridge = spark.createDataFrame([(1, 7, 3), (2, 7, 9), (3, 7, 1), (1, 8, 3), (2, 8, 9)], "app bigint, via bigint, size int")
+    top = rel.related_top(bridge, "app", "via", 1, "-size")
+    assert sorted((r.app, r.other) for r in top.collect()) == [(1, 2), (2, 1), (3, 2)]
+    assert "hashpartitioning(app#" in (plan := top._jdf.queryExecution().executedPlan().toString()) and not re.search(r"hashpartitioning\(app#\w+, other#", plan)
