@@ -83,26 +83,45 @@ def throttled(requests: DataFrame, interval: str) -> DataFrame:
 
 
 RETAINED = "key string, n_events bigint, last_at timestamp"
+#: Groups of keys that share a state; a checkpoint holds for one number only.
+BUCKETS = 1024
 
 
-def retained(events: DataFrame, days: int, late: str = "1 hour") -> DataFrame:
+def retained(events: DataFrame, days: int, late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """Counts of keys of a stream (key, ts), each put out and forgotten once the watermark is `days` past its last event:
-    state is kept for live keys only, as a retention of rows keeps a table."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            n, last = state.get
+    state is kept for live keys only, as a retention of rows keeps a table. A key without any time stays.
+
+    Keys are dealt to buckets by a hash, and a state holds the live keys of a bucket: what a step costs besides its rows is
+    spent once a bucket and not once a key."""
+    kept_ms = days * 86_400_000
+
+    def counted(key, n, last) -> pd.DataFrame:
+        rows = pd.DataFrame({"key": pd.Series(key, dtype=object), "n": np.asarray(n, "int64"), "last": np.asarray(last, "int64")})
+        return rows.groupby("key", dropna=False, sort=False, as_index=False).agg({"n": "sum", "last": "max"})
+
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = counted(*(state.get if state.exists else ([], [], [])))
+        if not state.hasTimedOut:
+            for rows in batches:
+                ts = rows["ts"].to_numpy().astype("datetime64[us]").astype("int64")  # no time is the least number
+                new = counted(rows["key"], np.ones(len(rows)), ts)
+                held = counted(*(pd.concat([held[c], new[c]], ignore_index=True) for c in ("key", "n", "last")))
+        now = state.getCurrentWatermarkMs()
+        timed = held["last"] != _NO_TIME
+        over = timed & (held["last"] // 1000 + kept_ms < now)
+        gone, held = held[over], held[~over]
+        if len(held):
+            state.update(([None if pd.isna(k) else k for k in held["key"]], held["n"].tolist(), held["last"].tolist()))
+            if (timed & ~over).any():
+                state.setTimeoutTimestamp(max(int(held["last"][timed].min()) // 1000 + kept_ms, now, 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"key": [key[0]], "n_events": [n], "last_at": np.array([last], "datetime64[us]")})
-            return
-        n, last = state.get if state.exists else (0, 0)
-        for rows in batches:
-            n += len(rows)
-            last = max(last, int(rows["ts"].to_numpy().max().astype("datetime64[us]").astype("int64")))
-        state.update((n, last))
-        state.setTimeoutTimestamp(max(last // 1000 + days * 86_400_000, state.getCurrentWatermarkMs() + 1))
-
-    return events.withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, RETAINED, "n bigint, last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        if len(gone):
+            yield pd.DataFrame({"key": gone["key"], "n_events": gone["n"], "last_at": gone["last"].to_numpy().view("datetime64[us]")})
+
+    dealt = events.withWatermark("ts", late).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets))).select("bucket", "key", "ts")
+    state_of = "keys array<string>, n array<bigint>, last array<bigint>"
+    return dealt.groupBy("bucket").applyInPandasWithState(step, RETAINED, state_of, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def over_limit(events: DataFrame, key: str, at: str, window: str, limit: int, late: str = "1 hour") -> DataFrame:

@@ -50,3 +50,26 @@ def test_large_keys_keep_only_numbers(monkeypatch):
     assert ids.tolist() == [1, 2, 3, 4] and ok.tolist() == [False, True, False, False] and np.isnat(ts.view("datetime64[us]")).tolist() == [False] * 3 + [True]
     steps = list(state._given({"key": "a", "event_id": np.arange(9)}))
     assert [len(x) for x in steps] == [4, 4, 1] and steps[2].key.tolist() == ["a"] and steps[2].event_id.tolist() == [8]
+
+
+def test_retained_keys_share_states(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(f"k{i}", base + dt.timedelta(days=20 * (i % 2))) for i in range(4000)]
+    df = state.retained(landed(spark, rows, "key string, ts timestamp", tmp_path / "r", 1), 5)
+    q = df.writeStream.format("memory").queryName("shared_states").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    assert 0 < max(held) <= state.BUCKETS  # 4000 when each key had a state and a call of its own
+    assert {(r.key, r.n_events, r.last_at) for r in spark.table("shared_states").collect()} == {(k, 1, t) for k, t in rows if t == base}
+
+
+def test_retained_in_one_bucket_over_batches(spark, tmp_path):
+    base, schema = dt.datetime(2024, 1, 1), "key string, ts timestamp"
+    days = [[("a", 0), ("b", 1), (None, 0)], [("a", 4), ("c", 4), ("n", None)], [("c", 9), ("z", 9)], [("a", 12), ("z", 30)], [("b", 31), ("z", 60)]]
+    batches = [[(k, None if d is None else base + dt.timedelta(days=d)) for k, d in b] for b in days]
+    for i, b in enumerate(batches):
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "o"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "o"))
+    got = sorted(((r.key or "", r.n_events, (r.last_at - base).days) for r in drain(state.retained(stream, 5, buckets=1), "one_bucket")))
+    # a and c outlive a batch that another key leaves with, b comes again, z is live and n has no time
+    assert got == [("", 1, 0), ("a", 3, 12), ("b", 1, 1), ("b", 1, 31), ("c", 2, 9)]
