@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..storage import materialise  # noqa: F401
+from ..storage import materialise, measured  # noqa: F401
 
 #: Rows and bytes that are worked on at once. Spark bounds what Arrow hands to Python (spark.sql.execution.arrow.maxBytesPerBatch).
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20

@@ -1,15 +1,16 @@
-"""Line dedup by a suffix array over line-id sequences, built by distributed prefix doubling. DataFrame operations only.
+"""Line dedup by a suffix array over line-id sequences, built by distributed prefix doubling, two doublings a round. DataFrame
+operations only.
 
 Each text is a sequence of line ids (md5 of a line; lines without a word are passed over). Suffix i of the corpus
-starts at line i. Round k orders all suffixes by their first 2^k lines: the pair (rank of the first half, rank of
-the second half) is sorted by range, and the place of each distinct pair in that order is its new rank, so equal
-ranks are exactly the intervals of the suffix array whose longest common prefix is 2^k lines or more. A suffix alone
+starts at line i. Round k orders all suffixes by their first 4^k lines: the ranks of their four quarters are sorted by
+range, and the place of each distinct four in that order is its new rank, so equal
+ranks are exactly the intervals of the suffix array whose longest common prefix is 4^k lines or more. A suffix alone
 in its interval repeats nothing and leaves the work; most lines go before the first round.
 
 A run of lines is a copy if it has `min_words` words or more and occurred before. Its least windows (the shortest
 from each line forwards and from each line backwards that reach min_words) cover every such run, so rounds stop once
-2^k passes the longest window: every line has a word, hence after log2(min_words) rounds however long texts are. A
-window of m lines falls in the interval of two overlapping ranks of 2^k <= m lines. The first place of each interval
+4^k passes the longest window: every line has a word, hence after log4(min_words) rounds however long texts are. A
+window of m lines falls in the interval of up to four overlapping ranks of 4^k < m lines. The first place of each interval
 stays, and all later windows are deleted; overlapping windows join to the maximal runs.
 
 Scale: a line costs some 60 bytes in two shuffles; texts are shuffled once, to meet the numbers of their deleted
@@ -55,6 +56,12 @@ def _ranked(suffixes: DataFrame, *by: str) -> DataFrame:
     return suffixes.join(ranks, list(by))
 
 
+def _ahead(k: int) -> dict[str, Column]:
+    """The ranks k, 2 k and 3 k lines on, null where no other suffix has that rank or the block ends."""
+    onward = Window.partitionBy("_key", "block").orderBy("at")
+    return {f"rank{j}": F.first("rank").over(onward.rangeBetween(j * k, j * k)) for j in (1, 2, 3)}
+
+
 def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(_key, number) of each line to delete."""
     start = _ranked(lines(docs), "line_id").select("_key", "doc_id", "at", "number", "words", "rank", "first")
@@ -69,6 +76,7 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             "_key", "doc_id", "at", "number", "block", "rank", "first",
             F.when(F.sum("words").over(onward) >= min_words, F.count("*").over(onward)).alias("onward"),
             F.when(F.sum("words").over(back) >= min_words, F.count("*").over(back)).alias("back"),
+            *(c.alias(name) for name, c in _ahead(1).items()),
         )
     )
     windows = start.where("onward is not null").select("_key", "doc_id", "block", "at", F.col("onward").alias("n"))
@@ -77,20 +85,21 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = windows.where("n = 1").join(start.select("_key", "at", "first"), ["_key", "at"]).where(later).select("_key", "at", "n")
 
     longest = windows.agg(F.max("n")).first()[0] or 0
-    level, k = start.select("_key", "doc_id", "block", "at", "rank"), 1  # ranks of the first k lines
+    level, k = start.select("_key", "doc_id", "block", "at", "rank", "rank1", "rank2", "rank3"), 1  # ranks of k lines
     while k < longest:
-        mine = windows.where((F.col("n") > k) & (F.col("n") <= 2 * k))
+        mine = windows.where((F.col("n") > k) & (F.col("n") <= 4 * k))
         tail = level.select("_key", "block", F.col("at").alias("to"), F.col("rank").alias("tail"))
-        pairs = mine.join(level.select("_key", "at", "rank"), ["_key", "at"]).withColumn("to", F.col("at") + F.col("n") - k)
-        pairs = pairs.join(tail, ["_key", "block", "to"])
-        hits = _firsts(pairs, "n", "rank", "tail").where(later)
+        pairs = mine.join(level.select("_key", "at", "rank", "rank1", "rank2"), ["_key", "at"])
+        # runs of k lines at 0, k and 2 k, as far as they end before the window does, and at its end cover it
+        inner = {f"rank{j}": F.when(F.col("n") > (j + 1) * k, F.col(f"rank{j}")).otherwise(-1) for j in (1, 2)}
+        pairs = pairs.withColumns(inner).where("rank1 is not null and rank2 is not null")
+        pairs = pairs.withColumn("to", F.col("at") + F.col("n") - k).join(tail, ["_key", "block", "to"])
+        hits = _firsts(pairs, "n", "rank", "rank1", "rank2", "tail").where(later)
         found = found.union(materialise(hits.select("_key", "at", "n")))
-        if 2 * k < longest:
-            ahead = Window.partitionBy("_key", "block").orderBy("at").rangeBetween(k, k)
-            doubled = level.withColumn("tail", F.first("rank").over(ahead)).where("tail is not null")
-            doubled = _ranked(doubled.withColumnRenamed("rank", "head"), "head", "tail")
-            level = materialise(doubled.select("_key", "doc_id", "block", "at", "rank"))
-        k *= 2
+        if 4 * k < longest:
+            grown = _ranked(level.where("rank3 is not null").withColumnRenamed("rank", "rank0"), "rank0", "rank1", "rank2", "rank3")
+            level = materialise(grown.select("_key", "doc_id", "block", "at", "rank").withColumns(_ahead(4 * k)))
+        k *= 4
     gone = found.select("_key", F.explode(F.sequence("at", F.expr("at + cast(n as int) - 1"))).alias("at")).distinct()
     return gone.join(start.select("_key", "at", "number"), ["_key", "at"]).select("_key", "number")
 

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import arrow_schema, materialise, sliced, table, with_column_from_text
+from .common import arrow_schema, materialise, measured, sliced, table, with_column_from_text
 from .lm import mixed
 
 WORDS = 5
@@ -380,16 +380,15 @@ def star_pairs(members: DataFrame, percent: int, others_only: bool = False) -> D
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes with an edge; root is the least node of the component. Alternating stars: every
     round hangs larger neighbours on the least one, in a number of rounds that grows with the logarithm of the size."""
-    edges = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    kept = lambda e: measured(e, n=F.count("*"), seen=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    edges, mark = kept(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = edges.union(edges.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = materialise(small.union(low.select("a", "m")).distinct())
-        seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        edges, seen = kept(small.union(low.select("a", "m")).distinct())
         if seen == mark:
             break
         mark = seen

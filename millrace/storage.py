@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +46,13 @@ def materialise(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def measured(df: DataFrame, **values: Column) -> tuple[DataFrame, dict]:
+    """materialise(df), and aggregates of its rows by name, which are taken while they are written and cost no job."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *(c.alias(name) for name, c in values.items())))
+    return out, seen.get
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The rows of a small file over as many tasks as a shuffle has, for steps that take long for each row."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))

@@ -457,3 +457,31 @@ def test_shared_sizes_of_a_shingle_that_all_sets_hold(spark, monkeypatch):
     holders = Counter(x for s in sets.values() for x in s)
     want = {n: e for n, s in sets.items() if (e := sum(holders[x] > 1 for x in s))}
     assert {r.node: r.e for r in ngramjoin.shared_sizes(df, 13).collect()} == want
+
+
+def test_line_dedup_of_windows_of_all_lengths(spark, monkeypatch):
+    """Runs of 1 to 50 lines that reach 50 words, whole and with a line changed, against the SQL; two doublings a round."""
+    rng, docs = random.Random(5), []
+    for m in range(1, 51):
+        run = [" ".join(f"w{m}x{j}" for _ in range(-(-50 // m))) for j in range(m)]
+        changed = [*run]
+        changed[rng.randrange(m)] = "another line"
+        docs += ["\n".join([f"before {m}", *run, "after"]), "\n".join([*run, f"end {m}"]), "\n".join(["x", *changed, "y"])]
+    docs += ["\n".join(rng.choice(["a", "b b", "c c c c c c c", "d " * 20]) for _ in range(rng.randrange(90))) for _ in range(40)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(docs)]
+    written, real = [], linededup.materialise
+    monkeypatch.setattr(linededup, "materialise", lambda df: written.append(1) or real(df))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_deleted) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    db = duckdb.connect()
+    db.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    db.executemany("INSERT INTO documents VALUES (?, ?)", [r[:2] for r in rows])
+    assert got == {r[0]: tuple(r[1:]) for r in db.sql(linededup.OP3_SQL).fetchall()}
+    assert sum(n for _, _, n in got.values()) > 1000 and len(written) <= 12  # 24 with a round for each doubling
+
+
+def test_connected_of_a_star_takes_one_round(spark, monkeypatch):
+    written, real = [], ngramjoin.measured
+    monkeypatch.setattr(ngramjoin, "measured", lambda df, **values: written.append(1) or real(df, **values))
+    found = {r.node: r.root for r in ngramjoin.connected(spark.createDataFrame([(1, k) for k in range(1, 9)], "a long, b long")).collect()}
+    assert found == dict.fromkeys(range(1, 9), 1) and len(written) == 2
+    assert ngramjoin.connected(spark.createDataFrame([], "a long, b long")).count() == 0 and len(written) == 4
